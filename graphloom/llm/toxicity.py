@@ -149,9 +149,8 @@ class Index:
         return rows, cos
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
-        """Distance-weighted share of label 1, shrunk to the sample's middle by one far example."""
-        w = 1 / (0.05 + np.maximum(0, 1 - cos))
-        return float((w @ self.y[rows] + 0.02) / (w.sum() + 0.04)) if len(rows) else 0.0
+        """Mean over k of the label-1 neighbours' squared cosines: far or missing neighbours vote for little."""
+        return float((cos * cos) @ self.y[rows] / K)
 
     def calibrate(self, texts_vectors, prior: float, k: int = K) -> "Index":
         """Fit score = sigmoid(a * logit(vote) + b) on left-one-out votes, classes reweighted to ``prior``."""
