@@ -75,7 +75,7 @@ def demand_time(share: Column, start: Column, end: Column) -> Column:
 
 
 def mix(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
-    """One row per document: id, source, size, source_size, weight, target, taken, copies and the times of its copies.
+    """One row per document: id, source, size, source_size, weight, target, taken, copies, the times of its copies, and a hash of the text.
 
     ``taken`` is how many words the mix takes: whole epochs of its source, and in the last, partial epoch the
     documents that come first in an md5 order of ids, the last of them in part, so that a source's words sum to its
@@ -113,7 +113,7 @@ def mix(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="te
     at = lambda copy: demand_time(F.least((middle + copy * F.col("source_size")) / F.col("target"), F.lit(1.0)), start, end)
     times = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), at)).otherwise(F.array().cast("array<double>"))
     d = d.withColumn("times", times)
-    return d.select(F.col("_id").alias(id_col), "source", "size", "source_size", "weight", "target", "taken", "copies", "times")
+    return d.select(F.col("_id").alias(id_col), "source", "size", "source_size", "weight", "target", "taken", "copies", "times", F.col("_h").alias("row_hash"))
 
 
 def in_training_order(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ average, so each feature needs one number. Scoring is one pass of batches withou
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,3 +153,21 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], *, mod=4, held=
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(documents, fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def accept(documents: DataFrame, model: tuple[np.ndarray, float], *, threshold=THRESHOLD) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns as they are."""
+    logits, bias = model
+    bits = int(np.log2(len(logits)))
+    least = np.log(threshold / (1 - threshold))
+
+    def run(batches):
+        hasher = Hasher(bits)
+        for batch in batches:
+            keep = []
+            for t in batch.column("text"):
+                ids = hasher(t.as_py())
+                keep.append(bias + (float(logits[ids].mean(dtype=np.float64)) if len(ids) else 0.0) >= least)
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
