@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 import numpy as np
@@ -56,6 +57,11 @@ class Scratch:
             if path := getattr(t, "_graphloom_path", None):
                 remove_path(self.spark, path)
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now: it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
@@ -120,7 +126,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     e = scratch.write(pairs.mapInPandas(_contract, "a long, b long"), "edges")
     seen = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if not e.isEmpty() else 0):
         # large star: every larger neighbour moves to the smallest neighbour
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -136,7 +142,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
             break
         seen = stats
     else:
-        raise RuntimeError("connected components did not converge")
+        if seen:
+            raise RuntimeError("connected components did not converge")
     low = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return low.unionAll(roots)

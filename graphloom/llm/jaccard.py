@@ -226,14 +226,6 @@ def _check_pairs(batches):
         yield pdf.loc[keep, ["a", "b"]]
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the candidate pairs of representatives (long ids a, b)."""
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("members").alias(f"s{x}"), F.col("n").alias(f"n{x}"), *[F.col(f"q{i}").alias(f"{x}{i}") for i in range(SKETCH_WORDS)])
-    near = _distance(lambda i: F.col(f"a{i}"), lambda i: F.col(f"b{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b", "sa", "sb")
-    return both.mapInPandas(_check_pairs, "a long, b long")
-
-
 def _distance(x, y) -> Column:
     out = F.bit_count(x(0).bitwiseXOR(y(0)))
     for i in range(1, SKETCH_WORDS):
@@ -279,54 +271,72 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id
     pairs = met.where("kind = 0").select("a", "b").distinct()
     crowded = met.where("kind = 1").select("cell", F.col("a").alias("cls"), "n")
 
-    # ids for classes, and the exact sets of the classes that are in question
-    r = reps.select("cls", "rep")
-    pairs = pairs.join(r.withColumnsRenamed({"cls": "a", "rep": "ra"}), "a").join(r.withColumnsRenamed({"cls": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     pairs = scratch.write(pairs, "pairs")
-    crowded = scratch.write(crowded.distinct().join(r, "cls").select("cell", "rep", "n"), "crowded")
-    wanted = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionAll(crowded.select("rep")).distinct(), "wanted")
-    bitmap = _id_filter(wanted)
+    crowded = scratch.write(crowded.distinct(), "crowded")
+    scratch.drop(met)
+    scratch.free()
 
-    def sets_of(batches):
-        for pdf in batches:
-            h = pdf["h"].to_numpy()
-            hit = (bitmap[h >> 6] >> (h & 63)) & 1 == 1
-            rows = []
-            for i, t in zip(pdf["id"][hit], pdf["text"][hit], strict=True):
-                s = shingles(space_words(t, lower=True), shingle)
-                if len(s):
-                    rows.append((i, len(s), _class(s), s.tobytes(), *sketch(s).tolist()))
-            yield pd.DataFrame(rows, columns=["rep", "n", "cls", "members", *[f"q{i}" for i in range(SKETCH_WORDS)]])
+    some = documents.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << FILTER_BITS)).alias("h"))
+    r = reps.select("cls", "rep")
 
-    q = ", ".join(f"q{i} long" for i in range(SKETCH_WORDS))
-    some = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << FILTER_BITS)).alias("h"))
-    sets = some.mapInPandas(sets_of, f"rep long, n int, cls binary, members binary, {q}")
-    # a repeated id may stand for other texts too: the class tells them apart
-    sets = sets.join(wanted, "rep", "left_semi").join(r, ["rep", "cls"], "left_semi").dropDuplicates(["rep", "cls"]).drop("cls")
-    sets = scratch.write(sets, "sets")
+    def scan(wanted: DataFrame, name: str, exact: bool) -> DataFrame:
+        """Sizes and sketches, or exact sets, of the wanted classes (cls), from their representatives' texts."""
+        bitmap = _id_filter(wanted.distinct().join(r, "cls").select("rep"))
+        kind = "members binary" if exact else "n int, " + ", ".join(f"q{i} long" for i in range(SKETCH_WORDS))
+
+        def run(batches):
+            for pdf in batches:
+                h = pdf["h"].to_numpy()
+                rows = []
+                for t in pdf["text"][(bitmap[h >> 6] >> (h & 63)) & 1 == 1]:
+                    s = shingles(space_words(t, lower=True), shingle)
+                    if len(s):
+                        rows.append((_class(s), s.tobytes()) if exact else (_class(s), len(s), *sketch(s).tolist()))
+                yield pd.DataFrame(rows, columns=["cls", *[x.split()[0] for x in kind.split(", ")]])
+
+        return scratch.write(some.mapInPandas(run, f"cls binary, {kind}"), name)
+
+    def verify(near: DataFrame, name: str) -> DataFrame:
+        """Links, as ids, among pairs of classes (a, b), by their exact sets."""
+        sets = scan(near.select(F.explode(F.array("a", "b")).alias("cls")), f"sets-{name}", True)
+        both = near.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+        links = both.mapInPandas(_check_pairs, "a binary, b binary")
+        links = links.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        links = scratch.write(links, f"links-{name}")
+        scratch.drop(sets)
+        scratch.free()
+        return links
 
     # crowded cells: a star around the class with most of its cells crowded
-    central = crowded.groupBy("rep").agg((F.count("*") / F.first("n")).alias("share"))
-    ranked = crowded.join(central, "rep")
-    heads = ranked.groupBy("cell").agg(F.max_by(F.struct("rep", "n"), F.struct("share", -F.col("rep"))).alias("h"))
+    central = crowded.groupBy("cls").agg((F.count("*") / F.first("n")).alias("share"))
+    ranked = crowded.join(central, "cls")
+    heads = ranked.groupBy("cell").agg(F.max_by(F.struct("cls", "n"), F.struct("share", "cls")).alias("h"))
     sized = lambda x, y: DEN * F.least(x, y) >= NUM * F.greatest(x, y)
-    stars = crowded.join(heads, "cell").where((F.col("rep") != F.col("h.rep")) & sized(F.col("n"), F.col("h.n"))).select(F.col("h.rep").alias("a"), F.col("rep").alias("b"))
-    links = scratch.write(_verify(pairs.unionAll(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets), "links")
+    stars = crowded.join(heads, "cell").where((F.col("cls") != F.col("h.cls")) & sized(F.col("n"), F.col("h.n"))).select(F.col("h.cls").alias("a"), F.col("cls").alias("b"))
+    pairs = scratch.write(pairs.unionAll(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionAll(crowded.select("cls"))
+    # a class may have been read from several rows
+    sketches = scratch.write(scan(wanted, "sketches", False).dropDuplicates(["cls"]), "distinct-sketches")
+    side = lambda x: sketches.toDF(x, f"n{x}", *[f"{x}{i}" for i in range(SKETCH_WORDS)])
+    close = _distance(lambda i: F.col(f"a{i}"), lambda i: F.col(f"b{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))
+    near = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "near")
+    links = verify(near, "first")
     comps = scratch.write(connected_components(links, scratch), "components")
 
     # crowded cells that still hold several components: their pairs across components, under size and sketch bounds
-    left = crowded.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    left = crowded.join(r, "cls").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "cls", F.coalesce("component", "rep").alias("component"))
     left = scratch.write(left, "left")
     open_cells = left.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cell")
-    left = left.join(open_cells, "cell", "left_semi").join(sets.drop("n", "members"), "rep")
+    left = left.join(open_cells, "cell", "left_semi").join(sketches, "cls")
     x = left.toDF(*[f"x_{c}" for c in left.columns])
     y = left.toDF(*[f"y_{c}" for c in left.columns])
-    near = _distance(lambda i: F.col(f"x_q{i}"), lambda i: F.col(f"y_q{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("x_n") + F.col("y_n"))
-    on = (F.col("x_cell") == F.col("y_cell")) & (F.col("x_rep") < F.col("y_rep")) & (F.col("x_component") != F.col("y_component")) & sized(F.col("x_n"), F.col("y_n")) & near
-    more = x.join(y, on).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
-    late = scratch.write(_verify(more, sets), "late")
-    stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
-    comps = connected_components(stars.unionAll(late), scratch)
+    close = _distance(lambda i: F.col(f"x_q{i}"), lambda i: F.col(f"y_q{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("x_n") + F.col("y_n"))
+    on = (F.col("x_cell") == F.col("y_cell")) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")) & sized(F.col("x_n"), F.col("y_n")) & close
+    more = scratch.write(x.join(y, on).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct(), "more")
+    if not more.isEmpty():
+        late = verify(more, "late")
+        stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+        comps = connected_components(stars.unionAll(late), scratch)
 
     out = docs.join(r, "cls", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
