@@ -30,8 +30,8 @@ NUM, DEN = 75, 100
 #: Classes sharing a cell that are paired outright.
 FEW = 24
 #: Words of the corpus per bucket of the packed shuffle.
-WORDS_PER_BUCKET = 4_000_000
-WORDS_PER_PACK = 3_000_000
+WORDS_PER_BUCKET = 2_000_000
+WORDS_PER_PACK = 1_200_000
 RARITY_BITS = 17
 #: 64-bit words of the sketches that guard the join of crowded cells.
 SKETCH_WORDS = 32
@@ -320,19 +320,22 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id
     side = lambda x: sketches.toDF(x, f"n{x}", *[f"{x}{i}" for i in range(SKETCH_WORDS)])
     close = _distance(lambda i: F.col(f"a{i}"), lambda i: F.col(f"b{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))
     near = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "near")
-    links = verify(near, "first")
+    # each class is first verified with one near partner; of the other near pairs, only those across components are left to verify
+    links = verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     comps = scratch.write(connected_components(links, scratch), "components")
+    named = scratch.write(r.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component")), "named")
+    rest = near.join(named.toDF("a", "ca"), "a").join(named.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
 
     # crowded cells that still hold several components: their pairs across components, under size and sketch bounds
-    left = crowded.join(r, "cls").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "cls", F.coalesce("component", "rep").alias("component"))
-    left = scratch.write(left, "left")
+    left = scratch.write(crowded.join(named, "cls").select("cell", "cls", "component"), "left")
     open_cells = left.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cell")
     left = left.join(open_cells, "cell", "left_semi").join(sketches, "cls")
     x = left.toDF(*[f"x_{c}" for c in left.columns])
     y = left.toDF(*[f"y_{c}" for c in left.columns])
     close = _distance(lambda i: F.col(f"x_q{i}"), lambda i: F.col(f"y_q{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("x_n") + F.col("y_n"))
     on = (F.col("x_cell") == F.col("y_cell")) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")) & sized(F.col("x_n"), F.col("y_n")) & close
-    more = scratch.write(x.join(y, on).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct(), "more")
+    more = x.join(y, on).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
+    more = scratch.write(more.unionAll(rest).distinct(), "more")
     if not more.isEmpty():
         late = verify(more, "late")
         stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")

@@ -25,9 +25,9 @@ from .packing import as_array, bucket_of, double, hashes, slices, space_words, w
 WINDOW = 20
 BASE = 10
 #: Words of the corpus per bucket of the packed shuffles.
-WORDS_PER_BUCKET = 4_000_000
+WORDS_PER_BUCKET = 2_000_000
 #: Words of a batch that are packed together at most.
-WORDS_PER_PACK = 3_000_000
+WORDS_PER_PACK = 1_200_000
 _PACKED = "bucket long, kind int, ids binary, hs binary, doc binary, pos binary, name binary"
 _PLACES = "_id long, _h long, places binary"
 
