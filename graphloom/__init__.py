@@ -1,0 +1 @@
+"""graphloom: property-graph ETL and analytics on Spark DataFrames."""
