@@ -47,7 +47,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return it read back with the same schema."""
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._graphloom_path = path
         return out
