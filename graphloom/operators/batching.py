@@ -21,19 +21,24 @@ def chunk_ids(rows: DataFrame, order: list[str], size: int, partition: list[str]
 def pack_batches(rows: DataFrame, *, group: list[str], order: str, size: str, limit: int) -> DataFrame:
     """Greedy sequential packing inside each group: a new batch starts when the row would bring the batch to the limit.
 
-    Rows beyond the limit alone are dropped; empty batches are not numbered. A group is folded as one array, so choose
-    groups (a step and a chunk of it) of bounded size.
+    Rows beyond the limit alone are dropped; empty batches are not numbered. The fold resets as it goes, which no window frame
+    does and which an array fold does in quadratic time, so each group is one pass of pandas: choose groups (a step and
+    a chunk of it) of bounded size.
     """
-    kept = rows.where(F.col(size) <= limit)
-    g = kept.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    zero = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("filled"), F.array().cast("array<struct<o:" + rows.schema[order].dataType.simpleString() + ",s:bigint,batch:bigint>>").alias("out"))
 
-    def step(acc, r):
-        over = (acc["filled"] + r["s"] >= limit) & (acc["filled"] > 0)
-        batch = acc["batch"] + F.when(over, 1).otherwise(0)
-        return F.struct(batch.alias("batch"), (F.when(over, 0).otherwise(acc["filled"]) + r["s"]).alias("filled"), F.array_append(acc["out"], F.struct(r["o"].alias("o"), r["s"].alias("s"), batch.alias("batch"))).alias("out"))
-
-    return g.select(*group, F.explode(F.aggregate("rows", zero, step, lambda a: a["out"])).alias("r")).select(*group, F.col("r.o").alias(order), F.col("r.s").alias(size), F.col("r.batch").alias("batch"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        batch, filled, out = 0, 0, []
+        for s in pdf[size].tolist():
+            if filled and filled + s >= limit:
+                batch, filled = batch + 1, 0
+            filled += s
+            out.append(batch)
+        return pdf.assign(batch=out)
+
+    kept = rows.select(*group, order, F.col(size).cast("long").alias(size)).where(F.col(size) <= limit)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.groupBy(*group).applyInPandas(run, f"{fields}, batch long")
 
 
 def shrink(entities: list[dict], limit: int) -> list[dict]:
