@@ -36,10 +36,11 @@ def source_mixing(spark, docs, sf_dir):
     """
     plan = mixing.mix(docs, Scratch(spark, "pipeline-mixing"))
     whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    plan = plan.select("doc_id", F.slice("times", 1, F.least(whole, F.size("times"))).alias("times"), "row_hash").where(F.size("times") > 0).dropDuplicates(["doc_id", "row_hash"])
-    taken = docs.withColumn("row_hash", F.xxhash64("text")).join(plan, ["doc_id", "row_hash"]).select(*docs.columns, F.explode("times").alias("_at"))
+    plan = plan.select("doc_id", F.slice("times", 1, F.least(whole, F.size("times"))).alias("times"), F.col("row_hash").alias("_graphloom_row")).withColumnRenamed("times", "_graphloom_times").where(F.size("_graphloom_times") > 0).dropDuplicates(["doc_id", "_graphloom_row"])
+    taken = docs.withColumn("_graphloom_row", F.xxhash64("text")).join(plan, ["doc_id", "_graphloom_row"]).select(*docs.columns, F.explode("_graphloom_times").alias("_graphloom_at"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return taken.withColumn("_part", F.floor(F.col("_at") * parts)).repartition(parts, "_part").sortWithinPartitions("_part", "_at", "doc_id").drop("_at", "_part")
+    taken = taken.withColumn("_graphloom_part", F.floor(F.col("_graphloom_at") * parts)).repartition(parts, "_graphloom_part")
+    return taken.sortWithinPartitions("_graphloom_part", "_graphloom_at", "doc_id").drop("_graphloom_at", "_graphloom_part")
 
 
 def token_output(spark, docs, sf_dir):
