@@ -298,6 +298,7 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id
 
     def verify(near: DataFrame, name: str) -> DataFrame:
         """Links, as ids, among pairs of classes (a, b), by their exact sets."""
+        near = near.select("a", "b")
         sets = scan(near.select(F.explode(F.array("a", "b")).alias("cls")), f"sets-{name}", True)
         both = near.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
         links = both.mapInPandas(_check_pairs, "a binary, b binary")
@@ -318,13 +319,13 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id
     # a class may have been read from several rows
     sketches = scratch.write(scan(wanted, "sketches", False).dropDuplicates(["cls"]), "distinct-sketches")
     side = lambda x: sketches.toDF(x, f"n{x}", *[f"{x}{i}" for i in range(SKETCH_WORDS)])
-    close = _distance(lambda i: F.col(f"a{i}"), lambda i: F.col(f"b{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))
-    near = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "near")
+    apart = _distance(lambda i: F.col(f"a{i}"), lambda i: F.col(f"b{i}"))
+    near = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(apart * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b", (apart / (F.col("na") + F.col("nb"))).alias("gap")), "near")
     # each class is first verified with one near partner; of the other near pairs, only those across components are left to verify
     links = verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     comps = scratch.write(connected_components(links, scratch), "components")
     named = scratch.write(r.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component")), "named")
-    rest = near.join(named.toDF("a", "ca"), "a").join(named.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
+    rest = near.join(named.toDF("a", "ca"), "a").join(named.toDF("b", "cb"), "b").where("ca <> cb")
 
     # crowded cells that still hold several components: their pairs across components, under size and sketch bounds
     left = scratch.write(crowded.join(named, "cls").select("cell", "cls", "component"), "left")
@@ -332,14 +333,28 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id
     left = left.join(open_cells, "cell", "left_semi").join(sketches, "cls")
     x = left.toDF(*[f"x_{c}" for c in left.columns])
     y = left.toDF(*[f"y_{c}" for c in left.columns])
-    close = _distance(lambda i: F.col(f"x_q{i}"), lambda i: F.col(f"y_q{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("x_n") + F.col("y_n"))
+    apart = _distance(lambda i: F.col(f"x_q{i}"), lambda i: F.col(f"y_q{i}"))
+    close = apart * (DEN + NUM) <= (DEN - NUM) * (F.col("x_n") + F.col("y_n"))
     on = (F.col("x_cell") == F.col("y_cell")) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")) & sized(F.col("x_n"), F.col("y_n")) & close
-    more = x.join(y, on).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
-    more = scratch.write(more.unionAll(rest).distinct(), "more")
-    if not more.isEmpty():
-        late = verify(more, "late")
+    columns = ["a", "b", "gap", "ca", "cb"]
+    more = x.join(y, on).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"), (apart / (F.col("x_n") + F.col("y_n"))).alias("gap"), F.col("x_component").alias("ca"), F.col("y_component").alias("cb"))
+    more = scratch.write(more.unionAll(rest.select(*columns)).dropDuplicates(["a", "b"]), "more")
+    # of the pairs between two components the nearest is verified first; then all pairs still across components are
+    for name in ("bridges", "late"):
+        if more.isEmpty():
+            break
+        picked = more
+        if name == "bridges":
+            nearest = F.min(F.struct("gap", "a", "b")).alias("p")
+            picked = scratch.write(more.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(nearest).select("p.a", "p.b"), "picked")
+        found = verify(picked, name)
         stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
-        comps = connected_components(stars.unionAll(late), scratch)
+        comps = scratch.write(connected_components(stars.unionAll(found), scratch), f"components-{name}")
+        if name == "bridges":
+            # components are named by their smallest id, which is a node if it has a link
+            joined = lambda c: comps.toDF(c, f"_{c}")
+            open_pairs = more.join(joined("ca"), "ca", "left").join(joined("cb"), "cb", "left").where(F.coalesce("_ca", "ca") != F.coalesce("_cb", "cb"))
+            more = scratch.write(open_pairs.select("a", "b").join(picked, ["a", "b"], "left_anti"), "open")
 
     out = docs.join(r, "cls", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
