@@ -91,7 +91,8 @@ def sketch(s: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
 
 
 def _class(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    """Name of a set: a 64-bit hash and its size."""
+    return hashlib.blake2b(s.tobytes(), digest_size=8).digest() + np.int32(len(s)).tobytes()
 
 
 def _describe(shingle: int):
@@ -118,7 +119,7 @@ def _describe(shingle: int):
 def _offer(rarity: np.ndarray, buckets: int, shingle: int):
     """Packed cells of the distinct sets of a batch. kind 0: to be compared; kind 1: cells crowded already in the batch."""
 
-    def pack(keys, sizes, names, owner):
+    def pack(keys, names, owner):
         value = (names & ~_LOW) | owner.astype(np.uint64)
         b = bucket_of(names & ~_LOW, buckets)
         order = np.lexsort((value, b))
@@ -137,32 +138,31 @@ def _offer(rarity: np.ndarray, buckets: int, shingle: int):
             v = ks[lo:hi]
             used, local = np.unique((v & _LOW).astype(np.int64), return_inverse=True)
             v = (v & ~_LOW) | local.astype(np.uint64)
-            out.append((int(kb[lo]), 0, b"".join(keys[i] for i in used), sizes[used].tobytes(), v.tobytes(), np.flatnonzero(hot[lo:hi]).astype(np.int32).tobytes()))
+            out.append((int(kb[lo]), 0, b"".join(keys[i] for i in used), v.tobytes(), np.flatnonzero(hot[lo:hi]).astype(np.int32).tobytes()))
         rest = crowded & ~head
         if rest.any():
             v = value[rest]
             used, local = np.unique((v & _LOW).astype(np.int64), return_inverse=True)
             v = (v & ~_LOW) | local.astype(np.uint64)
-            out.append((buckets + int(v[0] % np.uint64(buckets)), 1, b"".join(keys[i] for i in used), sizes[used].tobytes(), v.tobytes(), b""))
-        return pd.DataFrame(out, columns=["bucket", "kind", "keys", "sizes", "cells", "hot"])
+            out.append((buckets + int(v[0] % np.uint64(buckets)), 1, b"".join(keys[i] for i in used), v.tobytes(), b""))
+        return pd.DataFrame(out, columns=["bucket", "kind", "keys", "cells", "hot"])
 
     def run(batches):
         for pdf in batches:
-            keys, sizes, names, known, words = [], [], [], set(), 0
+            keys, names, known, words = [], [], set(), 0
             for t in pdf["text"]:
                 s = shingles(space_words(t, lower=True), shingle)
                 if not len(s) or (key := _class(s)) in known:
                     continue
                 known.add(key)
                 keys.append(key)
-                sizes.append(len(s))
                 names.append(cells(s, rarity))
                 words += len(s)
                 if words > WORDS_PER_PACK or len(keys) == 1 << 16:
-                    yield pack(keys, np.array(sizes, dtype=np.int32), np.concatenate(names), np.repeat(np.arange(len(keys)), [len(x) for x in names]))
-                    keys, sizes, names, known, words = [], [], [], set(), 0
+                    yield pack(keys, np.concatenate(names), np.repeat(np.arange(len(keys)), [len(x) for x in names]))
+                    keys, names, known, words = [], [], set(), 0
             if keys:
-                yield pack(keys, np.array(sizes, dtype=np.int32), np.concatenate(names), np.repeat(np.arange(len(keys)), [len(x) for x in names]))
+                yield pack(keys, np.concatenate(names), np.repeat(np.arange(len(keys)), [len(x) for x in names]))
 
     return run
 
@@ -176,8 +176,8 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     at = 0
     passed = []
     for r in pdf.itertuples(index=False):
-        k = np.frombuffer(r.keys, dtype="V16")
-        n = as_array(r.sizes, np.int32)
+        k = np.frombuffer(r.keys, dtype="V12")
+        n = as_array(r.keys, np.int32)[2::3]
         v = as_array(r.cells, np.uint64)
         local = (v & _LOW).astype(np.int64)
         if r.kind:
@@ -266,7 +266,7 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id
     buckets = max(8, int(chars // (6 * WORDS_PER_BUCKET)) + 1)
     docs, reps, rarity = classes(documents, scratch, id_col=id_col, text_col=text_col, shingle=shingle)
     d = documents.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
-    packed = d.mapInPandas(_offer(rarity, buckets, shingle), "bucket long, kind int, keys binary, sizes binary, cells binary, hot binary")
+    packed = d.mapInPandas(_offer(rarity, buckets, shingle), "bucket long, kind int, keys binary, cells binary, hot binary")
     met = scratch.write(packed.groupBy("bucket").applyInPandas(_meet, "kind int, a binary, b binary, cell long, n int"), "met")
     pairs = met.where("kind = 0").select("a", "b").distinct()
     crowded = met.where("kind = 1").select("cell", F.col("a").alias("cls"), "n")
