@@ -333,11 +333,10 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id
     left = left.join(open_cells, "cell", "left_semi").join(sketches, "cls")
     x = left.toDF(*[f"x_{c}" for c in left.columns])
     y = left.toDF(*[f"y_{c}" for c in left.columns])
-    apart = _distance(lambda i: F.col(f"x_q{i}"), lambda i: F.col(f"y_q{i}"))
-    close = apart * (DEN + NUM) <= (DEN - NUM) * (F.col("x_n") + F.col("y_n"))
+    close = _distance(lambda i: F.col(f"x_q{i}"), lambda i: F.col(f"y_q{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("x_n") + F.col("y_n"))
     on = (F.col("x_cell") == F.col("y_cell")) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")) & sized(F.col("x_n"), F.col("y_n")) & close
     columns = ["a", "b", "gap", "ca", "cb"]
-    more = x.join(y, on).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"), (apart / (F.col("x_n") + F.col("y_n"))).alias("gap"), F.col("x_component").alias("ca"), F.col("y_component").alias("cb"))
+    more = x.join(y, on).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"), (F.abs(F.col("x_n") - F.col("y_n")) / (F.col("x_n") + F.col("y_n"))).alias("gap"), F.col("x_component").alias("ca"), F.col("y_component").alias("cb"))
     more = scratch.write(more.unionAll(rest.select(*columns)).dropDuplicates(["a", "b"]), "more")
     # of the pairs between two components the nearest is verified first; then all pairs still across components are
     for name in ("bridges", "late"):
