@@ -39,6 +39,8 @@ MissingTargetTypeError = _error("MissingTargetTypeError", "MISSING_RELATIONSHIP_
 InvalidFileError = _error("InvalidFileError", "INVALID_FILE_DATA")
 UploadFailedError = _error("UploadFailedError", "INTEGRATION_UPLOAD_FAILED")
 UploadAfterJobEndedError = _error("UploadAfterJobEndedError", "INTEGRATION_UPLOAD_AFTER_JOB_ENDED", fatal=True)
+SyncResponseError = _error("SyncResponseError", "SYNCHRONIZATION_API_RESPONSE_ERROR")
+SyncUnexpectedError = _error("SyncUnexpectedError", "UNEXPECTED_SYNCRONIZATION_ERROR")
 
 
 def describe(error: BaseException, message: str, event: str = "step_failure") -> dict[str, str]:

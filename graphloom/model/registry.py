@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -96,6 +97,23 @@ class Registry:
         return name.upper() in self.relationship_classes
 
 
+def dedup_types(schema: dict) -> dict:
+    """A JSON schema with each type, required name and enum value listed once, in order."""
+    once = lambda x: list(dict.fromkeys(x)) if isinstance(x, list) else x
+    out = dict(schema)
+    if "required" in out:
+        out["required"] = once(out["required"])
+    if "properties" in out:
+        out["properties"] = {k: {n: once(v) if n in ("type", "enum") else v for n, v in p.items()} for k, p in out["properties"].items()}
+    return out
+
+
+@functools.cache
+def shared_registry() -> Registry:
+    """The one registry of this process, made when first asked for."""
+    return default_registry()
+
+
 def default_registry() -> Registry:
     """The base classes and the classes used by the bundled projections."""
     base = ClassSchema("GraphObject", (), {"_key": _TEXT, "_type": _TEXT, "_class": _LIST}, ("_key", "_type", "_class"))
