@@ -26,9 +26,12 @@ WINDOW = 20
 BASE = 10
 #: Words of the corpus per bucket of the packed shuffles.
 WORDS_PER_BUCKET = 2_000_000
+#: Words of the corpus per group in which places return to their documents.
+WORDS_PER_HOME = 4_000_000
 #: Words of a batch that are packed together at most.
 WORDS_PER_PACK = 1_200_000
 _PACKED = "bucket long, kind int, ids binary, hs binary, doc binary, pos binary, name binary"
+_HOMES = "home long, ids binary, hs binary, doc binary, pos binary"
 _PLACES = "_id long, _h long, places binary"
 
 
@@ -98,8 +101,12 @@ def _packer(entries, buckets: int, tag: int):
     return run
 
 
-def _compare(tag: int):
-    """applyInPandas function on a bucket: the places whose name repeats (tag 0), or repeats an earlier place (tag 1)."""
+def _compare(tag: int, homes: int):
+    """applyInPandas function on a bucket: the places whose name repeats (tag 0), or repeats an earlier place (tag 1).
+
+    They go back to their documents packed, one row per home: a document has places in many buckets, and a row for each
+    pair of document and bucket would grow with the number of buckets.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, hs, pos = [], [], []
@@ -124,17 +131,33 @@ def _compare(tag: int):
                 pick = np.bincount(run_no)[run_no] > 1
             ids.append(i[pick]), hs.append(h[pick]), pos.append(p[pick])
         if not ids or not sum(map(len, ids)):
-            return pd.DataFrame({"_id": np.empty(0, np.int64), "_h": np.empty(0, np.int64), "places": []})
+            return pd.DataFrame(columns=["home", "ids", "hs", "doc", "pos"])
         i, h, p = np.concatenate(ids), np.concatenate(hs), np.concatenate(pos)
-        order = np.lexsort((h, i))
-        i, h, p = i[order], h[order], p[order]
-        cut = np.flatnonzero((i[1:] != i[:-1]) | (h[1:] != h[:-1])) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(i)]])
-        return pd.DataFrame({"_id": i[starts], "_h": h[starts], "places": [p[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
+        home = bucket_of(i.view(np.uint64) ^ h.view(np.uint64), homes)
+        order = np.lexsort((h, i, home))
+        i, h, p, home = i[order], h[order], p[order], home[order]
+        new = np.ones(len(i), dtype=bool)
+        new[1:] = (i[1:] != i[:-1]) | (h[1:] != h[:-1])
+        out = []
+        for value, lo, hi in slices(home):
+            head = lo + np.flatnonzero(new[lo:hi])
+            out.append((value, i[head].tobytes(), h[head].tobytes(), (np.cumsum(new[lo:hi]) - 1).astype(np.int32).tobytes(), p[lo:hi].tobytes()))
+        return pd.DataFrame(out, columns=["home", "ids", "hs", "doc", "pos"])
 
     return run
 
 
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    """applyInPandas function on a home: one row per document with all its places, each once."""
+    parts = [(as_array(r.ids, np.int64), as_array(r.hs, np.int64), as_array(r.doc, np.int32), as_array(r.pos, np.int32)) for r in pdf.itertuples(index=False)]
+    i, h, p = np.concatenate([q[0][q[2]] for q in parts]), np.concatenate([q[1][q[2]] for q in parts]), np.concatenate([q[3] for q in parts])
+    order = np.lexsort((p, h, i))
+    i, h, p = i[order], h[order], p[order]
+    cut = np.flatnonzero((i[1:] != i[:-1]) | (h[1:] != h[:-1])) + 1
+    starts = np.concatenate([[0], cut])
+    return pd.DataFrame({"_id": i[starts], "_h": h[starts], "places": [np.unique(x).tobytes() for x in np.split(p, cut)]})
+
+
 def _minimizers(names: np.ndarray, span: int) -> np.ndarray:
     """For each run of ``span`` names, the place of its smallest one (the leftmost of equals)."""
     if len(names) < span:
@@ -144,7 +167,7 @@ def _minimizers(names: np.ndarray, span: int) -> np.ndarray:
 
 
 def repeated_windows(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", window=WINDOW, base=BASE) -> DataFrame:
-    """(_id, _h, places): starts of the windows that also start earlier, by document (id and text hash), as int32 bytes.
+    """(_id, _h, places): per document (id and text hash) with any, the starts of its windows that also start earlier, as int32 bytes.
 
     ``window`` must be ``base`` times a power of two.
     """
@@ -156,6 +179,7 @@ def repeated_windows(documents: DataFrame, scratch: Scratch, *, id_col="doc_id",
     d = _keyed(documents, id_col, text_col)
     chars = documents.agg(F.sum(F.length(text_col))).first()[0] or 0
     buckets = max(8, int(chars // (6 * WORDS_PER_BUCKET)) + 1)
+    homes = max(8, int(chars // (6 * WORDS_PER_HOME)) + 1)
     span = window - base + 1
 
     def anchors(row):
@@ -166,11 +190,15 @@ def repeated_windows(documents: DataFrame, scratch: Scratch, *, id_col="doc_id",
         at = np.unique(_minimizers(names, span))
         return at, names[at], len(words)
 
-    places = d.toDF("_0", "_1", "_2").mapInPandas(_packer(anchors, buckets, 0), _PACKED).groupBy("bucket").applyInPandas(_compare(0), _PLACES)
+    def compared(packed: DataFrame, tag: int) -> DataFrame:
+        back = packed.groupBy("bucket").applyInPandas(_compare(tag, homes), _HOMES)
+        return back.groupBy("home").applyInPandas(_gather, _PLACES)
+
+    places = compared(d.toDF("_0", "_1", "_2").mapInPandas(_packer(anchors, buckets, 0), _PACKED), 0)
     # later levels: windows of each length whose anchor and halves repeat
     for level, length in enumerate(levels):
         last = length * 2 == window
-        held = scratch.write(places.groupBy("_id", "_h").agg(F.collect_list("places").alias("places")), f"places{length}")
+        held = scratch.write(places, f"places{length}")
         scratch.free()
         again = d.join(held, ["_id", "_h"]).select("_id", "_h", "_text", "places").toDF("_0", "_1", "_2", "_3")
 
@@ -178,7 +206,7 @@ def repeated_windows(documents: DataFrame, scratch: Scratch, *, id_col="doc_id",
             words = space_words(row._2)
             names = window_names(hashes(words), base)
             mine = np.zeros(len(names), dtype=bool)
-            mine[np.concatenate([as_array(x, np.int32) for x in row._3])] = True
+            mine[as_array(row._3, np.int32)] = True
             if level == 0:
                 # wanted windows with a repeated anchor; on this level every window inside one
                 want = mine[_minimizers(names, span)]
@@ -201,8 +229,7 @@ def repeated_windows(documents: DataFrame, scratch: Scratch, *, id_col="doc_id",
                 at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
             return at, names[at], len(words)
 
-        packed = again.mapInPandas(_packer(longer, buckets, int(last)), _PACKED)
-        places = packed.groupBy("bucket").applyInPandas(_compare(int(last)), _PLACES)
+        places = compared(again.mapInPandas(_packer(longer, buckets, int(last)), _PACKED), int(last))
     return places
 
 
@@ -221,7 +248,7 @@ def remove_repeats(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", t
     equal places are not earlier than each other, so a row given twice keeps its words twice. Null ids come first.
     """
     places = repeated_windows(documents, scratch, id_col=id_col, text_col=text_col, window=window, base=base)
-    spans = scratch.write(places.groupBy("_id", "_h").agg(F.collect_list("places").alias("places")), "repeats")
+    spans = scratch.write(places, "repeats")
     scratch.free()
     d = _keyed(documents, id_col, text_col).join(spans, ["_id", "_h"], "left").select("_id", "_text", "places")
 
@@ -232,9 +259,9 @@ def remove_repeats(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", t
                 words = space_words(text)
                 gone = 0
                 n = len(words)
-                if places is not None and len(places):
+                if places is not None:
                     cover = np.zeros(n + 1, dtype=np.int32)
-                    starts = np.unique(np.concatenate([as_array(x, np.int32) for x in places]))
+                    starts = as_array(places, np.int32)
                     cover[starts] += 1
                     np.add.at(cover, starts + window, -1)
                     keep = np.cumsum(cover[:n]) == 0
