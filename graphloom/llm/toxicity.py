@@ -1,11 +1,12 @@
-"""Operator 2: toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted indexes.
-
-Terms are character n-grams of the lower-cased text, of the sizes in ``SIZES``. Of a bounded
-sample of labelled examples, the terms that best tell the labels apart make the vocabulary. Document frequencies are
-counted over all documents. Examples are TF-IDF vectors of unit length in an inverted index whose postings are cut in
-blocks of examples; each term knows its largest weight per block. A query visits blocks by falling upper bound and stops when no
-block left can reach its k-th best, so its k nearest are exact. Their distance-weighted vote is calibrated by a
-logistic fit on left-one-out votes of the examples themselves. The index has a fixed bound and goes to every task.
+"""Operator 2: toxicity from the nearest labelled examples, by exact TF-IDF cosine over an inverted index.
+
+Terms are character n-grams of the lower-cased text, of the sizes in ``SIZES``. All terms of a bounded
+sample of labelled examples make the vocabulary; no term of an example is left out. Document frequencies are
+counted over all documents. Examples are TF-IDF vectors of unit length in an inverted index, each term's idf times its relevance,
+log2(2 + examples of label 1 that hold it / those of label 0), which is at least 1. A query reads all postings of
+its terms: those of the terms that most examples hold as a matrix product, the others posting by posting; the best rows
+are then added up anew in double precision, so its k nearest are exact. Their distance-weighted vote is calibrated by a
+logistic fit on left-one-out votes of the examples themselves. The index grows with the examples' text alone and goes to every task.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ from .common import fold_bucket, stratified_sample
 #: Labelled examples per class in the index.
 PER_CLASS = 1500
 SIZES = (4, 5, 6)
-TERM_BITS = 20
-#: Terms kept for each label.
-TERMS = 384
+#: Terms of the most postings, whose part of the cosine is a matrix product. It only saves time.
+DENSE = 8192
 K = 15
-BLOCK = 64
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Texts per matrix product.
+BATCH = 64
 _KEEP = np.array([i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256)], dtype=np.uint8).tobytes()
 
 
@@ -43,121 +43,122 @@ def terms_of(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
-def _bucket(terms: np.ndarray) -> np.ndarray:
-    return ((terms * _MIX) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
-
-
 class Vocabulary:
-    """Positions of known terms: a table by hash bucket finds a candidate, its whole term confirms it."""
+    """All terms of some texts, in order; a term's position is its number."""
 
-    def __init__(self, terms: np.ndarray):
-        bucket, first = np.unique(_bucket(terms), return_index=True)
-        self.terms = terms[first]
-        self.slot = np.full(1 << TERM_BITS, -1, dtype=np.int16)
-        self.slot[bucket] = np.arange(len(first))
+    def __init__(self, texts):
+        terms, held = np.empty(0, dtype=np.uint64), []
+        for i, t in enumerate(texts, 1):
+            held.append(np.unique(terms_of(t)))
+            if i % 256 == 0:
+                terms, held = np.unique(np.concatenate([terms, *held])), []
+        self.terms = np.unique(np.concatenate([terms, *held]))
 
     def __len__(self) -> int:
         return len(self.terms)
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Positions of the text's terms that are known, with repeats."""
-        terms = terms_of(text)
-        s = self.slot[_bucket(terms)]
-        near = np.flatnonzero(s >= 0)
-        s = s[near]
-        return s[self.terms[s] == terms[near]] if len(s) else s
-
-
-def choose_terms(texts: list[str], y: np.ndarray, per_label: int = TERMS) -> Vocabulary:
-    """The terms whose document frequencies differ most between the labels (signed log-likelihood ratio).
-
-    Frequencies are counted by hash bucket; each chosen bucket then stands for its most frequent term.
-    """
-    n = np.zeros((2, 1 << TERM_BITS), dtype=np.int32)
-    for t, label in zip(texts, y, strict=True):
-        n[label, np.unique(_bucket(terms_of(t)))] += 1
-    size = np.maximum(np.array([(y == 0).sum(), (y == 1).sum()], dtype=float), 1)
-    seen = np.flatnonzero(n.sum(axis=0) >= 3)
-    a, b = n[1, seen] + 0.0, n[0, seen] + 0.0
-    both = (a + b) / size.sum()
-    ll = lambda k, m: k * np.log(np.maximum(k, 1e-9) / (m * both)) + (m - k) * np.log(np.maximum(m - k, 1e-9) / np.maximum(m * (1 - both), 1e-9))
-    gain = ll(a, size[1]) + ll(b, size[0])
-    up = a / size[1] > b / size[0]
-    order = np.argsort(-gain, kind="stable")
-    # n-grams far from any doubt: a clean margin keeps chance differences between the samples out
-    strong = order[gain[order] > 12.0]
-    chosen = np.zeros(1 << TERM_BITS, dtype=bool)
-    chosen[seen[strong[up[strong]][:per_label]]] = chosen[seen[strong[~up[strong]][: per_label // 4]]] = True
-    often: dict[int, int] = {}
-    for t in texts:
-        terms = np.unique(terms_of(t))
-        for x in terms[chosen[_bucket(terms)]].tolist():
-            often[x] = often.get(x, 0) + 1
-    ranked = np.array(sorted(often, key=lambda x: (-often[x], x)), dtype=np.uint64)
-    return Vocabulary(ranked)
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the text's terms that are known, each once, and how often they come."""
+        terms, count = np.unique(terms_of(text), return_counts=True)
+        if not len(terms) or not len(self.terms):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[at] == terms
+        return at[known], count[known]
 
 
 class Index:
-    """Block-max inverted index of unit TF-IDF vectors."""
+    """Inverted index of unit TF-IDF vectors, in one block: the postings of term t are ``ptr[t]`` to ``ptr[t + 1]``."""
+
+    blocks = 1
 
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids, texts, y):
         self.vocabulary = vocabulary
+        self._made_of = idf, ids, texts, y
         self.idf = idf.astype(np.float64)
-        vectors = [self.vector(t) for t in texts]
-        # examples with the same strongest term share blocks: tighter block maxima
-        lead = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
-        order = sorted(range(len(texts)), key=lambda i: (lead[i], int(y[i]), i))
-        self.y = np.asarray(y, dtype=np.float64)[order]
-        self.ids = np.asarray(ids)[order]
-        n = len(order)
-        self.blocks = -(-n // BLOCK)
-        term = np.concatenate([vectors[i][0] for i in order] or [np.empty(0, dtype=np.int64)])
-        row = np.repeat(np.arange(n), [len(vectors[i][0]) for i in order])
-        w = np.concatenate([vectors[i][1] for i in order] or [np.empty(0)])
-        by = np.lexsort((row, term))
-        self.row, self.w = row[by], w[by]
-        key = term[by] * self.blocks + self.row // BLOCK
-        self.ptr = np.searchsorted(key, np.arange(len(vocabulary) * self.blocks + 1))
-        self.most = np.zeros(len(vocabulary) * self.blocks)
-        np.maximum.at(self.most, key, self.w)
-        self.most = self.most.reshape(len(vocabulary), self.blocks)
+        self.y, self.ids = np.asarray(y, dtype=np.float64), np.asarray(ids)
+        held = np.zeros((2, len(vocabulary)), dtype=np.int64)
+        for t, label in zip(texts, y, strict=True):
+            held[int(label), vocabulary.of(t)[0]] += 1
+        n = held.sum(axis=0)
+        # relevance: a term typical of label 1 counts for more, none for less than 1
+        self.idf *= np.log2(2 + held[1] / np.maximum(held[0], 1))
+        self.ptr = np.concatenate([[0], np.cumsum(n)])
+        self.row, self.w = np.empty(self.ptr[-1], dtype=np.int32), np.empty(self.ptr[-1], dtype=np.float32)
+        free = self.ptr[:-1].copy()
+        for i, text in enumerate(texts):
+            t, w = self.vector(text)
+            self.row[free[t]], self.w[free[t]] = i, w
+            free[t] += 1
+        self.heavy = np.sort(np.argsort(-n, kind="stable")[:DENSE])
         self.a, self.b = 1.0, 0.0
+        self._table = None
+
+    def __getstate__(self):
+        """What the index is made of is a tenth of its size: workers build it again."""
+        return self._made_of, self.a, self.b
+
+    def __setstate__(self, state):
+        made_of, a, b = state
+        self.__init__(Vocabulary(made_of[2]), *made_of)
+        self.a, self.b = a, b
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        t, c = np.unique(self.vocabulary.of(text), return_counts=True)
+        t, c = self.vocabulary.of(text)
         w = (1 + np.log(c)) * self.idf[t]
         norm = np.sqrt((w * w).sum())
-        return t.astype(np.int64), w / norm if norm > 0 else w
+        return t, w / norm if norm > 0 else w
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """(column of each term in the product or -1, examples' weights in those columns)."""
+        if self._table is None:
+            column = np.full(len(self.vocabulary), -1, dtype=np.int32)
+            column[self.heavy] = np.arange(len(self.heavy))
+            dense = np.zeros((len(self.y), len(self.heavy)), dtype=np.float32)
+            for i, t in enumerate(self.heavy.tolist()):
+                at = slice(self.ptr[t], self.ptr[t + 1])
+                dense[self.row[at], i] = self.w[at]
+            self._table = column, dense
+        return self._table
+
+    def nearest_of(self, vectors, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per vector, rows and cosines of the k nearest examples with a positive cosine: exact, ties by row."""
+        column, dense = self._tables()
+        out = []
+        for lo in range(0, len(vectors), BATCH):
+            some = vectors[lo : lo + BATCH]
+            q = np.zeros((len(some), len(self.heavy)))
+            for i, (t, w) in enumerate(some):
+                c = column[t]
+                q[i, c[c >= 0]] = w[c >= 0]
+            product = q.astype(np.float32) @ dense.T
+            for (t, w), x, about in zip(some, q, product, strict=True):
+                rare = column[t] < 0
+                start, n = self.ptr[t[rare]], self.ptr[t[rare] + 1] - self.ptr[t[rare]]
+                at = np.repeat(start - (np.cumsum(n) - n), n)
+                at += np.arange(len(at))
+                rest = np.bincount(self.row[at], weights=self.w[at] * np.repeat(w[rare], n), minlength=len(self.y))
+                # single precision only proposes: the rows near the k-th best are added up anew
+                cos = about + rest
+                least = np.partition(cos, -k)[-k] - 1e-4 if len(cos) > k else 0.0
+                rows = np.flatnonzero((cos > 0) & (cos >= least))
+                cos = dense[rows].astype(np.float64) @ x + rest[rows]
+                best = np.lexsort((rows, -cos))[:k]
+                out.append((rows[best], cos[best]))
+        return out
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples with a positive cosine: exact, ties by row."""
-        if not len(t) or not self.blocks:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        bound = w @ self.most[t]
-        rows, cos = np.empty(0, dtype=np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(cos) == k and bound[b] < cos[-1] - 1e-12):
-                break
-            start, end = self.ptr[t * self.blocks + b], self.ptr[t * self.blocks + b + 1]
-            n = end - start
-            at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            got = np.bincount(self.row[at] - b * BLOCK, weights=self.w[at] * np.repeat(w, n), minlength=BLOCK)
-            new = np.flatnonzero(got > 0)
-            rows, cos = np.concatenate([rows, new + b * BLOCK]), np.concatenate([cos, got[new]])
-            best = np.lexsort((rows, -cos))[:k]
-            rows, cos = rows[best], cos[best]
-        return rows, cos
+        return self.nearest_of([(t, w)], k)[0]
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
-        """Mean over k of the label-1 neighbours' squared cosines: far or missing neighbours vote for little."""
-        return float((cos * cos) @ self.y[rows] / K)
+        """Share of label 1 among the neighbours, weighted by squared cosines; 0 without neighbours."""
+        return float((cos * cos) @ self.y[rows] / (cos @ cos)) if len(rows) else 0.0
 
-    def calibrate(self, texts_vectors, prior: float, k: int = K) -> "Index":
+    def calibrate(self, texts, prior: float, k: int = K) -> "Index":
         """Fit score = sigmoid(a * logit(vote) + b) on left-one-out votes, classes reweighted to ``prior``."""
         v, y, wt = [], [], []
         share = float(np.clip(self.y.mean(), 1e-3, 1 - 1e-3)) if len(self.y) else 0.5
-        for i, (t, w) in enumerate(texts_vectors):
-            rows, cos = self.nearest(t, w, k + 1)
+        for i, (rows, cos) in enumerate(near for lo in range(0, len(texts), BATCH) for near in self.nearest_of([*map(self.vector, texts[lo : lo + BATCH])], k + 1)):
             other = rows != i
             v.append(self.vote(rows[other][:k], cos[other][:k]))
             y.append(self.y[i])
@@ -180,29 +181,36 @@ class Index:
         v = np.clip(v, 1e-4, 1 - 1e-4)
         return np.log(v / (1 - v))
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        rows, cos = self.nearest(*self.vector(text))
-        z = self.a * float(self._logit(np.array(self.vote(rows, cos)))) + self.b
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40)))), rows, cos
+    def score(self, texts) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, rows and cosines of each text."""
+        out = []
+        for lo in range(0, len(texts), BATCH):
+            for rows, cos in self.nearest_of([*map(self.vector, texts[lo : lo + BATCH])]):
+                z = self.a * float(self._logit(np.array(self.vote(rows, cos)))) + self.b
+                out.append((float(1 / (1 + np.exp(-np.clip(z, -40, 40)))), rows, cos))
+        return out
 
 
 def document_frequencies(documents: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
     """Documents that hold each vocabulary term, over all documents, and the number of documents.
 
-    One row of counts per task goes to the sum: its size is that of the vocabulary.
+    A task sends one row for each term that it has seen, at most the size of the vocabulary.
     """
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        n = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+        known = shared.value
+        n = np.zeros(len(known) + 1, dtype=np.int64)
         for pdf in batches:
             n[-1] += len(pdf)
             for t in pdf["text"]:
-                n[np.unique(vocabulary.of(t))] += 1
-        yield pd.DataFrame({"term": np.arange(len(n)), "n": n})
+                n[known.of(t)[0]] += 1
+        seen = np.flatnonzero(n)
+        yield pd.DataFrame({"term": seen, "n": n[seen]})
 
     out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    for r in documents.select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
+    counts = documents.select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[counts["term"].to_numpy()] = counts["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
@@ -218,27 +226,26 @@ def fit(documents: DataFrame, labels: DataFrame, *, mod=5, held=0, per_class=PER
     texts, y = rows["text"].fillna("").tolist(), rows["_y"].to_numpy(dtype=np.int64)
     if not len(y):
         return None
-    vocabulary = choose_terms(texts, y)
+    vocabulary = Vocabulary(texts)
     df, n = document_frequencies(documents, vocabulary)
     index = Index(vocabulary, np.log((n + 1) / (df + 1)) + 0.1, rows["doc_id"].to_numpy(), texts, y)
-    where = {d: i for i, d in enumerate(index.ids)}
-    vectors = [None] * len(texts)
-    for d, t in zip(rows["doc_id"], texts, strict=True):
-        vectors[where[d]] = index.vector(t)
-    return index.calibrate([v if v is not None else (np.empty(0, dtype=np.int64), np.empty(0)) for v in vectors], float(np.clip(prior, 1e-3, 1 - 1e-3)))
+    return index.calibrate(texts, float(np.clip(prior, 1e-3, 1 - 1e-3)))
 
 
 def score(documents: DataFrame, index: Index | None, *, mod=5, held=0, threshold=0.5, evidence=3) -> DataFrame:
     """doc_id, held_out, score, predicted, and as evidence the nearest examples (ids and cosines), for every row.
 
-    Texts without a term of the vocabulary (empty and null ones too) have no neighbour: their vote is 0, calibrated
+    Texts without a term of any example (empty and null ones too) have no neighbour: their vote is 0, calibrated
     as any other. Without labels every score is 0.
     """
     d = documents.select("doc_id", fold_bucket(F.col("doc_id"), mod).eqNullSafe(F.lit(held)).alias("held_out"), F.col("text").alias("_text"))
 
+    shared = documents.sparkSession.sparkContext.broadcast(index)
+
     def run(batches):
+        index = shared.value
         for pdf in batches:
-            got = [index.score(t) if index else (0.0, np.empty(0, dtype=np.int64), np.empty(0)) for t in pdf["_text"]]
+            got = index.score(pdf["_text"].tolist()) if index else [(0.0, np.empty(0, dtype=np.int64), np.empty(0))] * len(pdf)
             s = np.array([g[0] for g in got], dtype=float)
             yield pdf[["doc_id", "held_out"]].assign(
                 score=s,

@@ -269,6 +269,17 @@ def test_toxicity_held_out_and_exact_search(spark):
     assert toxicity.fit(d, labels.limit(0)) is None and toxicity.score(d, None).where("score <> 0").count() == 0
 
 
+def test_toxicity_cosine_takes_all_terms(spark):
+    """Examples of words of their own: no term is frequent enough to tell the labels apart, and all must count."""
+    d = docs(spark, [(i, " ".join(words(30, i // 2))) for i in range(40)])
+    index = toxicity.fit(d, spark.createDataFrame([(i, 0, i // 2 % 2) for i in range(40)], "doc_id long, quality int, toxic int"), held=-1)
+    known = {int(x) for x in index.vocabulary.terms}
+    for r in d.collect():
+        assert known.issuperset(toxicity.terms_of(r["text"]).tolist())
+        rows, cos = index.nearest(*index.vector(r["text"]), 2)
+        assert {index.ids[i] // 2 for i in rows} == {r["doc_id"] // 2} and np.allclose(cos, 1, atol=1e-6)
+
+
 def test_language_held_out(spark):
     d, _ = labelled(spark, "toxic")
     model = language.fit(d)
