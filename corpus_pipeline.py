@@ -44,8 +44,8 @@ def source_mixing(spark, docs, sf_dir):
 
 
 def token_output(spark, docs, sf_dir):
-    """Fixed-stride token sequences in training order."""
-    return tokens.materialize(docs, Scratch(spark, "pipeline-tokens"))
+    """Fixed-stride token sequences in training order, read back from the shards they are written to."""
+    return tokens.through_shards(docs, Scratch(spark, "pipeline-tokens"))
 
 
 STAGES = [

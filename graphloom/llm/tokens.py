@@ -3,8 +3,8 @@
 Texts become token ids of a public byte-level BPE vocabulary, and each text's ids (with an end mark) sequences of a fixed
 length, the last one padded. Sequences are numbered densely, and a keyed Feistel permutation with cycle-walking gives each
 number a global slot: a bijection of [0, N), so training order needs no sort keys and no shuffle buffer. Slots fall into
-shards, ranges of equal size; sequences are partitioned by shard, sorted by slot and have a fixed stride, so slot
-s is found at byte (s - first slot of its shard) * stride, and a reader resumes from any slot.
+shards, ranges of equal size; tasks take ranges of shards, sort by slot and write a file per shard at a fixed stride, so slot
+s is found at byte (s - first slot of its shard) * stride, and a reader resumes from any slot. Results are what is read back from those files.
 
 Tokenising happens once, into a written table; numbers come from counts per task of that table, without a window over documents.
 """
@@ -134,7 +134,7 @@ def tokenize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, s
 
 
 def materialize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, sequence=SEQUENCE, shard_rows=SHARD_ROWS, key=KEY, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per sequence (shard, slot, id, seq, n_tokens, tokens), partitioned by shard and sorted by slot.
+    """One row per sequence (shard, slot, id, seq, n_tokens, tokens), in ranges of whole shards and sorted by slot.
 
     ``tokens`` has the fixed stride of ``sequence`` ids, little-endian, padded with the end mark. Slots are 0 to N - 1, each once. The
     order depends on the key and on how the input is split into tasks. An empty table gives no rows.
@@ -166,13 +166,23 @@ def materialize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY
                 yield pd.DataFrame({"shard": slot // shard_rows, "slot": slot, id_col: np.repeat(p["id"].astype("Int64").array, n), "seq": seq, "n_tokens": np.array(used, dtype=np.int32), "tokens": blobs})
 
     out = rows.mapInPandas(run, f"shard long, slot long, {id_col} long, seq long, n_tokens int, tokens binary")
-    return out.repartition(default_partitions(documents.sparkSession), "shard").sortWithinPartitions("shard", "slot")
+    return _in_ranges(out, -(-total // shard_rows)).sortWithinPartitions("shard", "slot")
 
 
-def write_shards(sequences: DataFrame, path: str) -> DataFrame:
+def _in_ranges(rows: DataFrame, shards: int) -> DataFrame:
+    """Deal ranges of whole shards to tasks, in order. Slots are dense, so the bounds are known without sampling."""
+    parts = default_partitions(rows.sparkSession)
+    return rows.repartitionById(parts, F.floor(F.col("shard") * parts / max(shards, 1)).cast("int"))
+
+
+#: A record of the file beside a shard: whether the id is known, the id, the sequence's number in its text, its tokens.
+_ORIGIN = np.dtype([("known", "<i1"), ("id", "<i8"), ("seq", "<i8"), ("n_tokens", "<i4")])
+
+
+def write_shards(sequences: DataFrame, path: str, *, id_col="doc_id") -> DataFrame:
     """Write one flat binary file per shard of :func:`materialize` into a folder that all executors share; return what was written.
 
-    A file holds its slots in order at a fixed stride. It is written under another name and renamed, so a task that is run again
+    A file holds its slots in order at a fixed stride; a smaller one beside it says in the same order where each came from. A file is written under another name and renamed, so a task that is run again
     replaces it whole. ``path`` is a URI that pyarrow can open (file, hdfs, s3).
     """
     stamp = hashlib.blake2b(path.encode(), digest_size=4).hexdigest()
@@ -183,26 +193,29 @@ def write_shards(sequences: DataFrame, path: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
         task = TaskContext.get()
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, bytes, tuple]] = []
 
         def flush():
             if held:
-                shard, data = held[0][0], b"".join(b for _, _, b in held)
-                tmp = f"{root}/.{stamp}-{shard}-{task.taskAttemptId()}"
-                with store.open_output_stream(tmp) as f:
-                    f.write(data)
-                store.move(tmp, f"{root}/shard-{shard:08d}.bin")
+                shard, data = held[0][0], b"".join(x[2] for x in held)
+                for kind, what in (("idx", np.array([x[3] for x in held], dtype=_ORIGIN).tobytes()), ("bin", data)):
+                    tmp = f"{root}/.{stamp}-{shard}-{task.taskAttemptId()}.{kind}"
+                    with store.open_output_stream(tmp) as f:
+                        f.write(what)
+                    store.move(tmp, f"{root}/shard-{shard:08d}.{kind}")
                 yield pd.DataFrame({"shard": [shard], "first_slot": [held[0][1]], "rows": [len(held)], "stride": [len(held[0][2])], "sha256": [hashlib.sha256(data).hexdigest()]})
                 held.clear()
 
         for pdf in batches:
-            for shard, slot, b in zip(pdf["shard"], pdf["slot"], pdf["tokens"], strict=True):
+            known, ids = pdf["known"].tolist(), pdf["id"].tolist()
+            for shard, slot, b, *origin in zip(pdf["shard"], pdf["slot"], pdf["tokens"], known, ids, pdf["seq"], pdf["n_tokens"], strict=True):
                 if held and held[0][0] != shard:
                     yield from flush()
-                held.append((shard, slot, bytes(b)))
+                held.append((shard, slot, bytes(b), tuple(origin)))
         yield from flush()
 
-    return sequences.select("shard", "slot", "tokens").mapInPandas(run, "shard long, first_slot long, rows long, stride long, sha256 string")
+    rows = sequences.select("shard", "slot", "tokens", F.col(id_col).isNotNull().alias("known"), F.coalesce(id_col, F.lit(0)).cast("long").alias("id"), "seq", "n_tokens")
+    return rows.mapInPandas(run, "shard long, first_slot long, rows long, stride long, sha256 string")
 
 
 def read_slots(path: str, manifest: DataFrame, start: int, count: int):
@@ -219,6 +232,39 @@ def read_slots(path: str, manifest: DataFrame, start: int, count: int):
                 yield f.read(s["stride"])
 
 
+def read_shards(path: str, manifest: DataFrame, *, id_col="doc_id") -> DataFrame:
+    """The rows of :func:`materialize` from the files of :func:`write_shards`, in slot order across tasks. A shard that is short or changed is an error."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                with store.open_input_file(f"{root}/shard-{r.shard:08d}.bin") as f:
+                    data = f.read()
+                with store.open_input_file(f"{root}/shard-{r.shard:08d}.idx") as f:
+                    origin = np.frombuffer(f.read(), dtype=_ORIGIN)
+                if len(origin) != r.rows or hashlib.sha256(data).hexdigest() != r.sha256:
+                    raise OSError(f"shard {r.shard} is not what was written")
+                ids = pd.array(np.where(origin["known"] == 1, origin["id"], 0), dtype="Int64")
+                ids[origin["known"] == 0] = pd.NA
+                for lo in range(0, r.rows, 1000):
+                    at = slice(lo, min(lo + 1000, r.rows))
+                    yield pd.DataFrame({"shard": r.shard, "slot": r.first_slot + np.arange(at.start, at.stop), id_col: ids[at], "seq": origin["seq"][at], "n_tokens": origin["n_tokens"][at], "tokens": [data[i * r.stride : (i + 1) * r.stride] for i in range(at.start, at.stop)]})
+
+    shards = (manifest.agg(F.max("shard")).first()[0] or 0) + 1
+    return _in_ranges(manifest, shards).sortWithinPartitions("shard").mapInPandas(run, f"shard long, slot long, {id_col} long, seq long, n_tokens int, tokens binary")
+
+
+def through_shards(documents: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """:func:`materialize`, written as shards into the shared folder and read back from them."""
+    path = scratch.path("shards")
+    manifest = scratch.write(write_shards(materialize(documents, scratch, **options), path), "manifest")
+    scratch.free()
+    return read_shards(path, manifest)
+
+
 def op4_tokens(spark, sf_dir: str) -> DataFrame:
-    """All documents as fixed-stride token sequences in training order."""
-    return materialize(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op4")).drop("shard")
+    """All documents as fixed-stride token sequences in training order, read back from their shards."""
+    return through_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op4")).drop("shard")

@@ -203,6 +203,20 @@ def test_token_shards_round_trip(spark, tmp_path):
     assert tokens.materialize(docs(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_token_rows_are_read_back_from_shards_in_slot_order(spark, tmp_path, monkeypatch):
+    rows = [(None if i % 7 == 0 else i, " ".join(words(40, i))) for i in range(60)]
+    a = tokens.materialize(docs(spark, rows), Scratch(spark, "t"), sequence=32, shard_rows=8).collect()
+    assert [r["slot"] for r in a] == list(range(len(a)))
+    b = tokens.through_shards(docs(spark, rows), Scratch(spark, "t"), sequence=32, shard_rows=8).collect()
+    assert a == b and any(r["doc_id"] is None for r in b)
+    written = []
+    write = tokens.write_shards
+    monkeypatch.setattr(tokens, "write_shards", lambda *x, **k: written.append(x[1]) or write(*x, **k))
+    n = tokens.op4_tokens(spark, "/root/testdata/sf0.001").count()
+    assert n and len(written) == 1
+    assert tokens.through_shards(docs(spark, []), Scratch(spark, "t")).count() == 0
+
+
 def test_embeddings_edges(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 16))
