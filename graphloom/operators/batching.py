@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,10 +18,12 @@ def chunk_ids(rows: DataFrame, order: list[str], size: int, partition: list[str]
     return rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
-def pack_batches(rows: DataFrame, *, group: list[str], order: str, size: str, limit: int) -> DataFrame:
+def pack_batches(rows: DataFrame, *, group: list[str], order: str, size: str, limit: int, raw: str | None = None, payload: str | None = None) -> DataFrame:
     """Greedy sequential packing inside each group: a new batch starts when the row would bring the batch to the limit.
 
-    Rows beyond the limit alone are dropped; empty batches are not numbered. The fold resets as it goes, which no window frame
+    ``raw`` names the size of a row's raw data, a part of ``size``, and ``payload`` its entity as JSON. A row beyond the limit goes
+    without its raw data: ``raw_removed`` is true, ``size`` is what is left, and the payload has no ``_rawData``. Rows beyond the limit even so are left out,
+    see :func:`skipped_rows`; empty batches are not numbered. The fold resets as it goes, which no window frame
     does and which an array fold does in quadratic time, so each group is one pass of pandas: choose groups (a step and
     a chunk of it) of bounded size.
     """
@@ -34,13 +36,38 @@ def pack_batches(rows: DataFrame, *, group: list[str], order: str, size: str, li
                 batch, filled = batch + 1, 0
             filled += s
             out.append(batch)
+        if payload and raw:
+            pdf[payload] = [_without_raw(p) if cut else p for p, cut in zip(pdf[payload], pdf["raw_removed"], strict=True)]
         return pdf.assign(batch=out)
 
-    kept = rows.select(*group, order, F.col(size).cast("long").alias(size)).where(F.col(size) <= limit)
+    whole, small, cut = _sizes(size, raw, limit)
+    extra = [F.col(payload)] if payload else []
+    if raw:
+        extra.append(cut.alias("raw_removed"))
+    kept = rows.where(small <= limit).select(*group, order, F.when(cut, small).otherwise(whole).alias(size), *extra)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.groupBy(*group).applyInPandas(run, f"{fields}, batch long")
 
 
+def skipped_rows(rows: DataFrame, *, size: str, limit: int, raw: str | None = None) -> DataFrame:
+    """The rows that :func:`pack_batches` leaves out: beyond the limit without raw data too, or of unknown size."""
+    _, small, _ = _sizes(size, raw, limit)
+    return rows.where(small.isNull() | (small > limit))
+
+
+def _sizes(size: str, raw: str | None, limit: int) -> tuple[Column, Column, Column]:
+    """(size, size without raw data, whether raw data has to go)."""
+    whole = F.col(size).cast("long")
+    small = whole - F.coalesce(F.col(raw).cast("long"), F.lit(0)) if raw else whole
+    return whole, small, whole > limit
+
+
+def _without_raw(payload: str | None) -> str | None:
+    if payload is None:
+        return None
+    return json.dumps({k: v for k, v in json.loads(payload).items() if k != "_rawData"}, ensure_ascii=False, separators=(",", ":"))
+
+
 def shrink(entities: list[dict], limit: int) -> list[dict]:
     """Cut the largest raw fields of a batch to ``TRUNCATED`` until its JSON fits; raises when nothing is left to cut."""
     size = lambda x: len(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode())

@@ -114,6 +114,16 @@ def test_packing_A20(spark):
     assert got == {0: 0, 1: 0, 2: 1, 4: 1}
 
 
+def test_packing_takes_raw_data_from_large_rows_A20(spark):
+    e = lambda k, raw: json.dumps({"_key": k, "_rawData": [raw]})
+    rows = [("g", 0, 3, 0, e("a", "")), ("g", 1, 90, 86, e("b", "x")), ("g", 2, 90, 80, e("c", "y")), ("g", 3, 8, 2, e("d", "z")), ("g", 4, 9, None, e("e", "")), ("g", 5, None, 1, e("f", ""))]
+    df = spark.createDataFrame(rows, "g string, o int, s long, raw long, p string")
+    got = {r["o"]: r for r in batching.pack_batches(df, group=["g"], order="o", size="s", limit=8, raw="raw", payload="p").collect()}
+    assert {o: (r["s"], r["batch"], r["raw_removed"]) for o, r in got.items()} == {0: (3, 0, False), 1: (4, 0, True), 3: (8, 1, False)}
+    assert json.loads(got[1]["p"]) == {"_key": "b"} and json.loads(got[3]["p"])["_rawData"] == ["z"]
+    assert sorted(r["o"] for r in batching.skipped_rows(df, size="s", limit=8, raw="raw").collect()) == [2, 4, 5]
+
+
 def test_shrink_A21():
     e = [{"_key": "a", "_rawData": [{"name": "default", "rawData": {"big": "x" * 100, "small": "y"}}]}]
     out = batching.shrink(e, 120)
