@@ -255,12 +255,14 @@ def classes(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col
     return docs, reps, rarity
 
 
-def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", shingle=SHINGLE) -> DataFrame:
+def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", shingle=SHINGLE, links_too=False) -> DataFrame:
     """id, n_shingles, component (smallest id reachable by links, itself included) of every row.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space. A text of fewer words than a shingle is one shingle; without
     words the set is empty and linked with nothing, as is a row with a null id, whose component is null. Rows that repeat an id
     are linked if their texts are. An empty table gives no rows.
+
+    For components alone, pairs inside one component already found are not verified: see :func:`jaccard_links` for the whole join.
     """
     chars = documents.agg(F.sum(F.length(text_col))).first()[0] or 0
     buckets = max(8, int(chars // (6 * WORDS_PER_BUCKET)) + 1)
@@ -296,13 +298,14 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id
 
         return scratch.write(some.mapInPandas(run, f"cls binary, {kind}"), name)
 
-    def verify(near: DataFrame, name: str) -> DataFrame:
-        """Links, as ids, among pairs of classes (a, b), by their exact sets."""
+    def verify(near: DataFrame, name: str, ids: bool = True) -> DataFrame:
+        """Links, as ids or else as classes, among pairs of classes (a, b), by their exact sets."""
         near = near.select("a", "b")
         sets = scan(near.select(F.explode(F.array("a", "b")).alias("cls")), f"sets-{name}", True)
         both = near.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
         links = both.mapInPandas(_check_pairs, "a binary, b binary")
-        links = links.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        # a class may have been read from several rows
+        links = links.distinct() if not ids else links.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         links = scratch.write(links, f"links-{name}")
         scratch.drop(sets)
         scratch.free()
@@ -321,6 +324,20 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id
     side = lambda x: sketches.toDF(x, f"n{x}", *[f"{x}{i}" for i in range(SKETCH_WORDS)])
     apart = _distance(lambda i: F.col(f"a{i}"), lambda i: F.col(f"b{i}"))
     near = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(apart * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b", (apart / (F.col("na") + F.col("nb"))).alias("gap")), "near")
+    if links_too:
+        # the whole join: crowded cells give all their pairs under size and sketch bounds, and every near pair is verified
+        met = crowded.select("cell", "cls").join(sketches, "cls")
+        x, y = met.toDF(*[f"x_{c}" for c in met.columns]), met.toDF(*[f"y_{c}" for c in met.columns])
+        bound = _distance(lambda i: F.col(f"x_q{i}"), lambda i: F.col(f"y_q{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("x_n") + F.col("y_n"))
+        more = x.join(y, (F.col("x_cell") == F.col("y_cell")) & (F.col("x_cls") < F.col("y_cls")) & sized(F.col("x_n"), F.col("y_n")) & bound).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
+        found = verify(scratch.write(near.select("a", "b").unionAll(more).distinct(), "all"), "all", ids=False)
+        comps = connected_components(found.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
+        both = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        degree = both.join(reps.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("others"))
+        out = docs.join(reps, "cls", "left").join(degree, "cls", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))
+        return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"), n_links.alias("n_links"))
+
     # each class is first verified with one near partner; of the other near pairs, only those across components are left to verify
     links = verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     comps = scratch.write(connected_components(links, scratch), "components")
@@ -359,6 +376,14 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
 
 
+def jaccard_links(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", shingle=SHINGLE) -> DataFrame:
+    """The whole join: the columns of :func:`jaccard_components` and n_links, the number of other rows that each row is linked with.
+
+    Every near pair of classes is verified, inside a component too; equal sets are linked, and a class counts by its copies.
+    """
+    return jaccard_components(documents, scratch, id_col=id_col, text_col=text_col, shingle=shingle, links_too=True)
+
+
 def keep_one(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text") -> DataFrame:
     """The documents without near copies: of each component the row of the smallest id stays, with all its columns."""
     groups = jaccard_components(documents, scratch, id_col=id_col, text_col=text_col).where(F.col(id_col) != F.col("component")).select(id_col).distinct()

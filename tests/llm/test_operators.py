@@ -217,6 +217,24 @@ def test_token_rows_are_read_back_from_shards_in_slot_order(spark, tmp_path, mon
     assert tokens.through_shards(docs(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_jaccard_links_counts_every_link(spark):
+    base, rows = words(120, 77), texts()
+    for i in range(40):
+        near = base.copy()
+        near[3 * i] = f"other{i}"
+        rows += [(100 + i, " ".join(near))] * (1 + i % 2)
+    sets = []
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w and i is not None else frozenset())
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = sorted((-1 if i is None else i, sum(linked(a, b) for b in sets) - bool(a)) for (i, _), a in zip(rows, sets, strict=True))
+    out = jaccard.jaccard_links(docs(spark, rows), Scratch(spark, "t")).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_links"]) for r in out) == want
+    comps = jaccard.jaccard_components(docs(spark, rows), Scratch(spark, "t")).collect()
+    assert sorted((r["doc_id"] or -1, r["component"] or -1) for r in out) == sorted((r["doc_id"] or -1, r["component"] or -1) for r in comps)
+
+
 def test_embeddings_edges(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 16))
