@@ -23,10 +23,12 @@ def jaccard_join(spark, docs, sf_dir):
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
-    """Documents with a word covered by a benchmark window go."""
-    d = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "pipeline-decontamination"))
-    dirty = d.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+    """Documents with a word covered by a benchmark window go; a null id names no document, so of these only the covered texts go."""
+    rows = docs.withColumn("_graphloom_row", F.xxhash64("text"))
+    d = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "pipeline-decontamination"), keep=("_graphloom_row",))
+    dirty = d.where("n_hit > 0").select(F.col("doc_id").alias("_graphloom_id"), F.when(F.col("doc_id").isNull(), F.col("_graphloom_row")).alias("_graphloom_text")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_graphloom_id")) & F.when(F.col("doc_id").isNull(), F.col("_graphloom_row")).eqNullSafe(F.col("_graphloom_text"))
+    return rows.join(dirty, same, "left_anti").select(docs.columns)
 
 
 def source_mixing(spark, docs, sf_dir):
@@ -36,8 +38,10 @@ def source_mixing(spark, docs, sf_dir):
     """
     plan = mixing.mix(docs, Scratch(spark, "pipeline-mixing"))
     whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    plan = plan.select("doc_id", F.slice("times", 1, F.least(whole, F.size("times"))).alias("times"), F.col("row_hash").alias("_graphloom_row")).withColumnRenamed("times", "_graphloom_times").where(F.size("_graphloom_times") > 0).dropDuplicates(["doc_id", "_graphloom_row"])
-    taken = docs.withColumn("_graphloom_row", F.xxhash64("text")).join(plan, ["doc_id", "_graphloom_row"]).select(*docs.columns, F.explode("_graphloom_times").alias("_graphloom_at"))
+    plan = plan.select("doc_id", F.slice("times", 1, F.least(whole, F.size("times"))).alias("times"), F.col("row_hash").alias("_graphloom_row")).withColumnRenamed("times", "_graphloom_times").where(F.size("_graphloom_times") > 0).dropDuplicates(["doc_id", "_graphloom_row"]).withColumnsRenamed({"doc_id": "_graphloom_id", "_graphloom_row": "_graphloom_text"})
+    rows = docs.withColumn("_graphloom_row", F.xxhash64("text"))
+    # a null id is taken as often as any other
+    taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_graphloom_id")) & (F.col("_graphloom_row") == F.col("_graphloom_text"))).select(*docs.columns, F.explode("_graphloom_times").alias("_graphloom_at"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     taken = taken.withColumn("_graphloom_part", F.floor(F.col("_graphloom_at") * parts)).repartition(parts, "_graphloom_part")
     return taken.sortWithinPartitions("_graphloom_part", "_graphloom_at", "doc_id").drop("_graphloom_at", "_graphloom_part")

@@ -330,6 +330,18 @@ def test_tabulated_network_is_the_network():
     assert np.allclose(net.predict(x, net.tables()), net._forward(x)[0], atol=1e-4)
 
 
+def test_pipeline_keeps_to_rows_of_null_ids(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy(F.length("text").desc()).first()["text"]
+    d = spark.createDataFrame([(None, passage, "en", "web", 1), (None, "clean words here", "en", "web", 1), (1, "more clean words", "en", "web", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = P.benchmark_decontamination(spark, d, sf).cache()
+    assert sorted(r["text"] for r in clean.collect()) == ["clean words here", "more clean words"]
+    mixed = P.source_mixing(spark, clean, sf).collect()
+    assert {r["text"] for r in mixed} == {"clean words here", "more clean words"}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
