@@ -74,6 +74,14 @@ def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of numbers that :func:`bounded` lets go to every task; some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of numbers, to be broadcast if it is counted to have at most ``most`` rows; beyond, its join is a shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
 
 def ascii_lower(c):
     """Lower-case A-Z alone; other letters keep their case."""

@@ -7,9 +7,11 @@ the sum of their sizes. Sizes fall into bands with one n each. By the pigeonhole
 than n - d - 1 of n cells, so among the d + 1 first cells of each in any common order there is one in common. The order is
 by rarity of a cell's shingles, counted over the corpus, so that shared passages come last.
 
-Equal sets are one class from the start. Classes that share a cell are candidates: all pairs where few classes share it; where
-many do, first a star around the most central class, then, for classes not yet connected, a join on the cell under
-size and sketch bounds. Every link is verified on the exact sets.
+Equal sets are one class from the start. Where few classes share a cell, all their pairs are candidates, kept if their sketches of
+``SKETCH_WORDS`` words are near enough, and verified on the exact sets. A cell that many share is crowded: it goes to the group of its most
+central class, so that the many cells that one crowd of near copies shares make one group. A group is dealt into blocks of bounded size and
+each pair of blocks is a task, which counts the exact intersections of all its pairs by matrix products and returns links per
+class and a spanning forest, never pairs. So every link is verified and counted, and rows grow with the classes, not with their pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, _union_find, bounded, connected_components
 from .packing import as_array, bucket_of, mix, shingles, space_words
 
 SHINGLE = 5
@@ -29,13 +31,15 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: Classes sharing a cell that are paired outright.
 FEW = 24
+#: Classes, and shingles, of a block of a group; two blocks are a task.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+_COLUMNS = 4096
 #: Words of the corpus per bucket of the packed shuffle.
 WORDS_PER_BUCKET = 2_000_000
 WORDS_PER_PACK = 1_200_000
 RARITY_BITS = 17
-#: 64-bit words of the sketches that guard the join of crowded cells.
+#: 64-bit words of the sketches that a candidate pair must be near by.
 SKETCH_WORDS = 32
-FILTER_BITS = 23
 _EMPTY = np.uint64(0x9FB21C651E98DF25)
 _SCHEME = 0xD6E8FEB86659FD93
 _LOW = np.uint64(0xFFFF)
@@ -96,7 +100,7 @@ def _class(s: np.ndarray) -> bytes:
 
 
 def _describe(shingle: int):
-    """Per document (id, size, class), and the rarity counts of the whole task by hash bucket."""
+    """Per document (id, hash of the text, size, class), and the rarity counts of the whole task by hash bucket."""
 
     def run(batches):
         total = np.zeros(1 << RARITY_BITS, dtype=np.int64)
@@ -109,14 +113,14 @@ def _describe(shingle: int):
                 total += np.bincount((s >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total)) if len(s) > 4096 else 0
                 if 0 < len(s) <= 4096:
                     np.add.at(total, (s >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
-            yield pd.DataFrame({"kind": 0, "id": pdf["id"].astype("Int64"), "n": n, "cls": key})
+            yield pd.DataFrame({"kind": 0, "id": pdf["id"].astype("Int64"), "h": pdf["h"].astype("Int64"), "n": n, "cls": key})
         seen = np.flatnonzero(total)
-        yield pd.DataFrame({"kind": 1, "id": pd.array(seen, dtype="Int64"), "n": total[seen], "cls": None})
+        yield pd.DataFrame({"kind": 1, "id": pd.array(seen, dtype="Int64"), "h": pd.array([pd.NA] * len(seen), dtype="Int64"), "n": total[seen], "cls": None})
 
     return run
 
 
-def _offer(rarity: np.ndarray, buckets: int, shingle: int):
+def _offer(rarity: np.ndarray, buckets: int, shingle: int, few: int):
     """Packed cells of the distinct sets of a batch. kind 0: to be compared; kind 1: cells crowded already in the batch."""
 
     def pack(keys, names, owner):
@@ -127,7 +131,7 @@ def _offer(rarity: np.ndarray, buckets: int, shingle: int):
         cell = value & ~_LOW
         start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         count = np.diff(np.concatenate([start, [len(cell)]]))
-        crowded = np.repeat(count > FEW, count)
+        crowded = np.repeat(count > few, count)
         head = np.zeros(len(cell), dtype=bool)
         head[start] = True
         out = []
@@ -170,7 +174,7 @@ def _offer(rarity: np.ndarray, buckets: int, shingle: int):
 _NO_ROWS = {"kind": np.empty(0, np.int32), "a": [], "b": [], "cell": np.empty(0, np.int64), "n": np.empty(0, np.int32)}
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+def _meet(pdf: pd.DataFrame, few: int = FEW) -> pd.DataFrame:
     """Candidates of a bucket. kind 0: pairs of classes (a, b); kind 1: (cell, class a of size n) of crowded cells."""
     key, size, cell, own, hot = [], [], [], [], []
     at = 0
@@ -197,7 +201,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     cell, own = cell[fresh], own[fresh]
     start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     count = np.diff(np.concatenate([start, [len(cell)]]))
-    crowded = (count > FEW) | np.isin(cell[start], hot)
+    crowded = (count > few) | np.isin(cell[start], hot)
     x, y = [], []
     for c in np.unique(count[~crowded & (count > 1)]):
         rows = start[~crowded & (count == c)][:, None] + np.arange(c)
@@ -233,166 +237,175 @@ def _distance(x, y) -> Column:
     return out
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over hashes of the ids; it only saves work, as an exact join follows."""
-    h = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
-    words = ids.select(F.shiftright(h, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(rep), {1 << FILTER_BITS}) % 64 AS INT))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["bits"]
-    return out
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``: products of the incidence of shared members, some columns at a time."""
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    values, code = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    ca, cb = code[: na.sum()], code[na.sum() :]
+    shared = (np.bincount(ca, minlength=len(values)) > 0) & (np.bincount(cb, minlength=len(values)) > 0)
+    column = np.cumsum(shared) - 1
+
+    def cut(c, n):
+        rows, keep = np.repeat(np.arange(len(n)), n), shared[c]
+        rows, c = rows[keep], column[c[keep]]
+        order = np.argsort(c, kind="stable")
+        return rows[order], c[order]
+
+    (ra, ca), (rb, cb) = cut(ca, na), cut(cb, nb)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    for lo in range(0, int(shared.sum()), _COLUMNS):
+        x, y = np.zeros((len(a), _COLUMNS), dtype=np.float32), np.zeros((len(b), _COLUMNS), dtype=np.float32)
+        for m, r, c in ((x, ra, ca), (y, rb, cb)):
+            at = slice(*np.searchsorted(c, [lo, lo + _COLUMNS]))
+            m[r[at], c[at] - lo] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of one pair of blocks of a group. kind 0: (class rep, links to other classes, by their copies); kind 1: spanning edges (rep, rep).
+
+    A pair of classes that several groups hold is counted in the first of these.
+    """
+    g, i, j = int(pdf["g"].iloc[0]), int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+    pdf = pdf.drop_duplicates("rep")
+    left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+    none = np.empty(0, dtype=np.int64)
+    if not len(left) or not len(right):
+        return pd.DataFrame({"kind": none.astype(np.int32), "rep": none, "other": none})
+    a, b = ([as_array(m, np.uint64) for m in x["members"]] for x in (left, right))
+    both = _intersections(a, b)
+    na, nb = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
+    link = DEN * both >= NUM * (na + nb - both)
+    earlier = [[np.asarray(x, dtype=np.int64) for x in y["gs"]] for y in (left, right)]
+    earlier = [[x[x < g].view(np.uint64) for x in y] for y in earlier]
+    if any(len(x) for x in earlier[0]) and any(len(x) for x in earlier[1]):
+        link &= _intersections(*earlier) == 0
+    if i == j:
+        link = np.triu(link, 1)
+    x, y = np.nonzero(link)
+    ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
+    ids, inv = np.unique(np.concatenate([ra[x], rb[y]]), return_inverse=True)
+    n = np.bincount(inv, weights=np.concatenate([right["copies"].to_numpy()[y], left["copies"].to_numpy()[x]]).astype(float), minlength=len(ids)).astype(np.int64)
+    nodes, roots = _union_find(ra[x], rb[y]) if len(x) else (none, none)
+    tree = nodes != roots
+    return pd.concat([pd.DataFrame({"kind": np.int32(0), "rep": ids, "other": n}), pd.DataFrame({"kind": np.int32(1), "rep": nodes[tree], "other": roots[tree]})])
+
+
+def _read_sets(shingle: int):
+    """(class, size, sketch, members) of texts."""
+
+    def run(batches):
+        names = ["cls", "n", "members", *[f"q{i}" for i in range(SKETCH_WORDS)]]
+        for pdf in batches:
+            for lo in range(0, len(pdf), 500):
+                sets = (shingles(space_words(t, lower=True), shingle) for t in pdf["text"][lo : lo + 500])
+                yield pd.DataFrame([(_class(s), len(s), s.tobytes(), *sketch(s).tolist()) for s in sets if len(s)], columns=names)
+
+    return run
 
 
 def classes(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", shingle=SHINGLE) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(documents: id, n, cls), (classes: cls, rep, copies) and the rarity counts. Rows with null ids have no class."""
-    d = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = scratch.write(d.mapInPandas(_describe(shingle), "kind int, id long, n long, cls binary"), "described")
+    """(documents: id, h, n, cls), (classes: cls, rep, copies) and the rarity counts. Rows with null ids have no class; h is a hash of the text."""
+    d = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    described = scratch.write(d.mapInPandas(_describe(shingle), "kind int, id long, h long, n long, cls binary"), "described")
     rarity = np.zeros(1 << RARITY_BITS, dtype=np.int64)
     for r in described.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         rarity[r["id"]] = r["n"]
-    docs = described.where("kind = 0").select("id", "n", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls"))
+    docs = described.where("kind = 0").select("id", "h", "n", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls"))
     reps = scratch.write(docs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     return docs, reps, rarity
 
 
-def jaccard_components(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", shingle=SHINGLE, links_too=False) -> DataFrame:
-    """id, n_shingles, component (smallest id reachable by links, itself included) of every row.
+def jaccard_join(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", shingle=SHINGLE, few=FEW, block=BLOCK) -> DataFrame:
+    """id, n_shingles, component (smallest id reachable by links, itself included), n_links (other rows linked directly) and text_hash of every row.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space. A text of fewer words than a shingle is one shingle; without
     words the set is empty and linked with nothing, as is a row with a null id, whose component is null. Rows that repeat an id
-    are linked if their texts are. An empty table gives no rows.
-
-    For components alone, pairs inside one component already found are not verified: see :func:`jaccard_links` for the whole join.
+    are linked if their texts are. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     chars = documents.agg(F.sum(F.length(text_col))).first()[0] or 0
     buckets = max(8, int(chars // (6 * WORDS_PER_BUCKET)) + 1)
     docs, reps, rarity = classes(documents, scratch, id_col=id_col, text_col=text_col, shingle=shingle)
     d = documents.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
-    packed = d.mapInPandas(_offer(rarity, buckets, shingle), "bucket long, kind int, keys binary, cells binary, hot binary")
-    met = scratch.write(packed.groupBy("bucket").applyInPandas(_meet, "kind int, a binary, b binary, cell long, n int"), "met")
-    pairs = met.where("kind = 0").select("a", "b").distinct()
-    crowded = met.where("kind = 1").select("cell", F.col("a").alias("cls"), "n")
-
-    pairs = scratch.write(pairs, "pairs")
-    crowded = scratch.write(crowded.distinct(), "crowded")
+    packed = d.mapInPandas(_offer(rarity, buckets, shingle, few), "bucket long, kind int, keys binary, cells binary, hot binary")
+    met = scratch.write(packed.groupBy("bucket").applyInPandas(lambda pdf: _meet(pdf, few), "kind int, a binary, b binary, cell long, n int"), "met")
+    pairs = scratch.write(met.where("kind = 0").select("a", "b").distinct(), "pairs")
+    crowded = scratch.write(met.where("kind = 1").select("cell", F.col("a").alias("cls"), "n").distinct(), "crowded")
     scratch.drop(met)
     scratch.free()
 
-    some = documents.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << FILTER_BITS)).alias("h"))
-    r = reps.select("cls", "rep")
-
-    def scan(wanted: DataFrame, name: str, exact: bool) -> DataFrame:
-        """Sizes and sketches, or exact sets, of the wanted classes (cls), from their representatives' texts."""
-        bitmap = _id_filter(wanted.distinct().join(r, "cls").select("rep"))
-        kind = "members binary" if exact else "n int, " + ", ".join(f"q{i} long" for i in range(SKETCH_WORDS))
-
-        def run(batches):
-            for pdf in batches:
-                h = pdf["h"].to_numpy()
-                rows = []
-                for t in pdf["text"][(bitmap[h >> 6] >> (h & 63)) & 1 == 1]:
-                    s = shingles(space_words(t, lower=True), shingle)
-                    if len(s):
-                        rows.append((_class(s), s.tobytes()) if exact else (_class(s), len(s), *sketch(s).tolist()))
-                yield pd.DataFrame(rows, columns=["cls", *[x.split()[0] for x in kind.split(", ")]])
-
-        return scratch.write(some.mapInPandas(run, f"cls binary, {kind}"), name)
-
-    def verify(near: DataFrame, name: str, ids: bool = True) -> DataFrame:
-        """Links, as ids or else as classes, among pairs of classes (a, b), by their exact sets."""
-        near = near.select("a", "b")
-        sets = scan(near.select(F.explode(F.array("a", "b")).alias("cls")), f"sets-{name}", True)
-        both = near.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-        links = both.mapInPandas(_check_pairs, "a binary, b binary")
-        # a class may have been read from several rows
-        links = links.distinct() if not ids else links.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        links = scratch.write(links, f"links-{name}")
-        scratch.drop(sets)
-        scratch.free()
-        return links
-
-    # crowded cells: a star around the class with most of its cells crowded
-    central = crowded.groupBy("cls").agg((F.count("*") / F.first("n")).alias("share"))
-    ranked = crowded.join(central, "cls")
-    heads = ranked.groupBy("cell").agg(F.max_by(F.struct("cls", "n"), F.struct("share", "cls")).alias("h"))
-    sized = lambda x, y: DEN * F.least(x, y) >= NUM * F.greatest(x, y)
-    stars = crowded.join(heads, "cell").where((F.col("cls") != F.col("h.cls")) & sized(F.col("n"), F.col("h.n"))).select(F.col("h.cls").alias("a"), F.col("cls").alias("b"))
-    pairs = scratch.write(pairs.unionAll(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionAll(crowded.select("cls"))
-    # a class may have been read from several rows
-    sketches = scratch.write(scan(wanted, "sketches", False).dropDuplicates(["cls"]), "distinct-sketches")
-    side = lambda x: sketches.toDF(x, f"n{x}", *[f"{x}{i}" for i in range(SKETCH_WORDS)])
+    # a crowded cell goes to the group of the class with the largest share of crowded cells
+    central = scratch.write(crowded.groupBy("cls").agg((F.count("*") / F.first("n")).alias("share")), "central")
+    heads = scratch.write(crowded.join(central, "cls").groupBy("cell").agg(F.max(F.struct("share", F.xxhash64("cls").alias("g"))).alias("h")).select("cell", "h.g"), "heads")
+    groups = scratch.write(crowded.join(heads, "cell").select("g", "cls", "n").distinct(), "groups")
+    member_of = scratch.write(groups.groupBy("cls").agg(F.collect_set("g").alias("gs")), "member-of")
+
+    # the sets of all candidates, from their representatives' texts
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionAll(groups.select("cls")).distinct()
+    wanted = scratch.write(named.join(reps, "cls").select(F.col("rep").alias("_rep")).distinct(), "wanted")
+    texts = documents.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("text"))
+    sketches = ", ".join(f"q{i} long" for i in range(SKETCH_WORDS))
+    sets = scratch.write(texts.join(bounded(wanted), "_rep", "left_semi").select("text").mapInPandas(_read_sets(shingle), f"cls binary, n int, members binary, {sketches}"), "sets")
+
+    # few: pairs near by sketch that no group holds, each verified (a class may have been read from several rows)
+    short = sets.drop("members").dropDuplicates(["cls"])
+    side = lambda x: short.toDF(x, f"n{x}", *[f"{x}{i}" for i in range(SKETCH_WORDS)])
     apart = _distance(lambda i: F.col(f"a{i}"), lambda i: F.col(f"b{i}"))
-    near = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(apart * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b", (apart / (F.col("na") + F.col("nb"))).alias("gap")), "near")
-    if links_too:
-        # the whole join: crowded cells give all their pairs under size and sketch bounds, and every near pair is verified
-        met = crowded.select("cell", "cls").join(sketches, "cls")
-        x, y = met.toDF(*[f"x_{c}" for c in met.columns]), met.toDF(*[f"y_{c}" for c in met.columns])
-        bound = _distance(lambda i: F.col(f"x_q{i}"), lambda i: F.col(f"y_q{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("x_n") + F.col("y_n"))
-        more = x.join(y, (F.col("x_cell") == F.col("y_cell")) & (F.col("x_cls") < F.col("y_cls")) & sized(F.col("x_n"), F.col("y_n")) & bound).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
-        found = verify(scratch.write(near.select("a", "b").unionAll(more).distinct(), "all"), "all", ids=False)
-        comps = connected_components(found.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
-        both = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        degree = both.join(reps.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("others"))
-        out = docs.join(reps, "cls", "left").join(degree, "cls", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))
-        return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"), n_links.alias("n_links"))
-
-    # each class is first verified with one near partner; of the other near pairs, only those across components are left to verify
-    links = verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    comps = scratch.write(connected_components(links, scratch), "components")
-    named = scratch.write(r.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component")), "named")
-    rest = near.join(named.toDF("a", "ca"), "a").join(named.toDF("b", "cb"), "b").where("ca <> cb")
-
-    # crowded cells that still hold several components: their pairs across components, under size and sketch bounds
-    left = scratch.write(crowded.join(named, "cls").select("cell", "cls", "component"), "left")
-    open_cells = left.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cell")
-    left = left.join(open_cells, "cell", "left_semi").join(sketches, "cls")
-    x = left.toDF(*[f"x_{c}" for c in left.columns])
-    y = left.toDF(*[f"y_{c}" for c in left.columns])
-    close = _distance(lambda i: F.col(f"x_q{i}"), lambda i: F.col(f"y_q{i}")) * (DEN + NUM) <= (DEN - NUM) * (F.col("x_n") + F.col("y_n"))
-    on = (F.col("x_cell") == F.col("y_cell")) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")) & sized(F.col("x_n"), F.col("y_n")) & close
-    columns = ["a", "b", "gap", "ca", "cb"]
-    more = x.join(y, on).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"), (F.abs(F.col("x_n") - F.col("y_n")) / (F.col("x_n") + F.col("y_n"))).alias("gap"), F.col("x_component").alias("ca"), F.col("y_component").alias("cb"))
-    more = scratch.write(more.unionAll(rest.select(*columns)).dropDuplicates(["a", "b"]), "more")
-    # of the pairs between two components the nearest is verified first; then all pairs still across components are
-    for name in ("bridges", "late"):
-        if more.isEmpty():
-            break
-        picked = more
-        if name == "bridges":
-            nearest = F.min(F.struct("gap", "a", "b")).alias("p")
-            picked = scratch.write(more.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(nearest).select("p.a", "p.b"), "picked")
-        found = verify(picked, name)
-        stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
-        comps = scratch.write(connected_components(stars.unionAll(found), scratch), f"components-{name}")
-        if name == "bridges":
-            # components are named by their smallest id, which is a node if it has a link
-            joined = lambda c: comps.toDF(c, f"_{c}")
-            open_pairs = more.join(joined("ca"), "ca", "left").join(joined("cb"), "cb", "left").where(F.coalesce("_ca", "ca") != F.coalesce("_cb", "cb"))
-            more = scratch.write(open_pairs.select("a", "b").join(picked, ["a", "b"], "left_anti"), "open")
-
-    out = docs.join(r, "cls", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
-
-
-def jaccard_links(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", shingle=SHINGLE) -> DataFrame:
-    """The whole join: the columns of :func:`jaccard_components` and n_links, the number of other rows that each row is linked with.
-
-    Every near pair of classes is verified, inside a component too; equal sets are linked, and a class counts by its copies.
-    """
-    return jaccard_components(documents, scratch, id_col=id_col, text_col=text_col, shingle=shingle, links_too=True)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b")
+    near = near.join(member_of.toDF("a", "ga"), "a", "left").join(member_of.toDF("b", "gb"), "b", "left")
+    near = scratch.write(near.where(~F.coalesce(F.arrays_overlap("ga", "gb"), F.lit(False))).select("a", "b"), "near")
+    exact = sets.select("cls", "members")
+    both = near.join(exact.toDF("b", "sb"), "b").join(exact.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+    links = both.mapInPandas(_check_pairs, "a binary, b binary").distinct()
+    of = lambda x: reps.toDF(x, f"r{x}", f"c{x}")
+    links = scratch.write(links.join(of("a"), "a").join(of("b"), "b").select("ra", "ca", "rb", "cb"), "links")
+
+    # many: the groups, block by block
+    weight = groups.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    b = groups.select("g", "cls").join(scratch.write(weight, "weights"), "g").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("bi"), F.greatest("block", k).alias("bj")))
+    whole = reps.join(member_of, "cls").join(exact, "cls")
+    dealt = b.withColumn("p", F.explode(every)).select("g", "p.bi", "p.bj", "block", "cls").join(whole, "cls").drop("cls")
+    found = scratch.write(dealt.groupBy("g", "bi", "bj").applyInPandas(_compare, "kind int, rep long, other long"), "found")
+    scratch.drop(sets)
+    scratch.free()
+
+    edges = links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionAll(found.where("kind = 1").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    comps = connected_components(edges, scratch).withColumnRenamed("node", "rep")
+    ends = links.select(F.explode(F.array(F.struct(F.col("ra").alias("rep"), F.col("cb").alias("n")), F.struct(F.col("rb").alias("rep"), F.col("ca").alias("n")))).alias("e"))
+    degree = ends.select("e.rep", "e.n").unionAll(found.where("kind = 0").select("rep", F.col("other").alias("n"))).groupBy("rep").agg(F.sum("n").alias("others"))
+    each = reps.join(degree, "rep", "left").join(comps, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    each = scratch.write(each, "by-class")
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component", "n_links", F.col("h").alias("text_hash")]
+    alone = docs.where("cls IS NULL").withColumn("component", F.col("id")).withColumn("n_links", F.lit(0).cast("long"))
+    return docs.where("cls IS NOT NULL").join(each, "cls").select(columns).unionAll(alone.select(columns))
 
 
 def keep_one(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """The documents without near copies: of each component the row of the smallest id stays, with all its columns."""
-    groups = jaccard_components(documents, scratch, id_col=id_col, text_col=text_col).where(F.col(id_col) != F.col("component")).select(id_col).distinct()
-    return documents.join(groups, id_col, "left_anti")
+    """The documents without near copies: of each component one row stays, the one of the smallest id, with all its columns.
+
+    Rows go by id and text: another row of a repeated id with an unlinked text stays, as do rows with a null id and texts without words. Of
+    rows equal in id and text one stays. An empty table gives no rows.
+    """
+    rows = jaccard_join(documents, scratch, id_col=id_col, text_col=text_col).where(F.col("n_links") > 0).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"), "component")
+    rows = scratch.write(rows, "linked")
+    first = scratch.write(rows.groupBy("component").agg(F.min(F.struct("_id", "_h")).alias("_first")), "first")
+    rows = rows.join(first, "component")
+    stays = F.struct("_id", "_h") == F.col("_first")
+    gone = scratch.write(rows.where(~stays).select("_id", "_h").distinct(), "gone")
+    again = scratch.write(rows.where(stays).groupBy("_id", "_h").count().where("count > 1").select("_id", "_h"), "again")
+    on = (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+    out = documents.join(bounded(gone), on, "left_anti")
+    if again.isEmpty():
+        return out
+    twice = out.join(bounded(again), on, "left_semi").withColumn("_h", F.xxhash64(text_col)).dropDuplicates([id_col, "_h"])
+    return out.join(bounded(again), on, "left_anti").unionAll(twice.drop("_h"))
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:
-    out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op1"))
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    out = jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op1"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "n_links")
 
 
 OP1_SQL = r"""
@@ -405,6 +418,6 @@ WITH RECURSIVE d AS (
 ), link AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)
 ), reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
 )
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a) m USING (doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id, coalesce(k.n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a) k USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a) m USING (doc_id)
 """

@@ -65,14 +65,28 @@ def test_jaccard_equals_brute_force(spark):
             t[r.randrange(60)] = f"n{r.randrange(50)}"
         base = t if r.random() < 0.2 else base
         rows.append((i, " ".join(t)))
-    got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component"] if r["component"] is not None else -1) for r in jaccard.jaccard_components(docs(spark, rows), Scratch(spark, "t")).collect()]
-    assert sorted(got) == brute_components(rows)
+    for options in ({}, {"few": 1, "block": 8}, {"few": 1}):  # pairs outright; groups in several blocks; groups in one
+        got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component"] if r["component"] is not None else -1) for r in jaccard.jaccard_join(docs(spark, rows), Scratch(spark, "t"), **options).collect()]
+        assert sorted(got) == brute_components(rows)
 
 
 def test_jaccard_empty_and_keep_one(spark):
-    assert jaccard.jaccard_components(docs(spark, []), Scratch(spark, "t")).count() == 0
+    assert jaccard.jaccard_join(docs(spark, []), Scratch(spark, "t")).count() == 0
     kept = jaccard.keep_one(docs(spark, texts()), Scratch(spark, "t"))
     assert kept.columns[:2] == ["doc_id", "text"] and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 6, 9, 10, 12, None}
+    assert jaccard.keep_one(docs(spark, []), Scratch(spark, "t")).count() == 0
+
+
+def test_keep_one_goes_by_row(spark):
+    a, z, q = (" ".join(words(50, 900 + i)) for i in range(3))
+    near = a + " more"
+    rows = [(5, a), (8, a), (8, z), (9, q), (None, a), (None, a), (3, None), (3, None), (5, near), (7, q), (7, q)]
+    kept = jaccard.keep_one(docs(spark, rows), Scratch(spark, "t")).select("doc_id", "text", "h").collect()
+    texts_of = sorted((-1 if r[0] is None else r[0], r[1] or "") for r in kept)
+    one = [x for x in texts_of if x[0] == 5]
+    assert len(one) == 1 and one[0][1] in (a, near)
+    assert [x for x in texts_of if x[0] != 5] == sorted([(8, z), (-1, a), (-1, a), (3, ""), (3, ""), (7, q)])
+    assert all(r["h"] == "clash" for r in kept)
 
 
 def test_linked_sets_always_share_a_cell():
@@ -229,10 +243,16 @@ def test_jaccard_links_counts_every_link(spark):
         sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w and i is not None else frozenset())
     linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
     want = sorted((-1 if i is None else i, sum(linked(a, b) for b in sets) - bool(a)) for (i, _), a in zip(rows, sets, strict=True))
-    out = jaccard.jaccard_links(docs(spark, rows), Scratch(spark, "t")).collect()
-    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_links"]) for r in out) == want
-    comps = jaccard.jaccard_components(docs(spark, rows), Scratch(spark, "t")).collect()
-    assert sorted((r["doc_id"] or -1, r["component"] or -1) for r in out) == sorted((r["doc_id"] or -1, r["component"] or -1) for r in comps)
+    for options in ({}, {"few": 1, "block": 16}, {"few": 3, "block": 4}):
+        out = jaccard.jaccard_join(docs(spark, rows), Scratch(spark, "t"), **options).collect()
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_links"]) for r in out) == want
+
+
+def test_intersections_equal_set_operations(monkeypatch):
+    monkeypatch.setattr(jaccard, "_COLUMNS", 16)
+    rng = np.random.default_rng(5)
+    a, b = ([np.unique(rng.integers(0, 90, rng.integers(0, 60)).astype(np.uint64)) for _ in range(k)] for k in (13, 9))
+    assert jaccard._intersections(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
 
 
 def test_embeddings_edges(spark):
