@@ -8,10 +8,11 @@ than n - d - 1 of n cells, so among the d + 1 first cells of each in any common
 by rarity of a cell's shingles, counted over the corpus, so that shared passages come last.
 
 Equal sets are one class from the start. Where few classes share a cell, all their pairs are candidates, kept if their sketches of
-``SKETCH_WORDS`` words are near enough, and verified on the exact sets. A cell that many share is crowded: it goes to the group of its most
-central class, so that the many cells that one crowd of near copies shares make one group. A group is dealt into blocks of bounded size and
-each pair of blocks is a task, which counts the exact intersections of all its pairs by matrix products and returns links per
-class and a spanning forest, never pairs. So every link is verified and counted, and rows grow with the classes, not with their pairs.
+one bit per cell, of sizes that follow the sets', are near enough; the connected components of these near pairs are groups. A cell that many classes share is crowded:
+it goes to the group of its most central class, so that the many cells that one crowd of near copies shares make one group. A group is dealt into
+blocks of bounded size and each pair of blocks is a task, which verifies all its pairs on the exact sets by matrix products and returns
+links per class and a spanning forest, never pairs. Near pairs whose component is too sparse for that (a long chain) are verified one by
+one. So every link is verified and counted, a class's set is sent about once per group, and rows grow with the classes, not with their pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, _union_find, bounded, connected_components
@@ -38,7 +39,7 @@ _COLUMNS = 4096
 WORDS_PER_BUCKET = 2_000_000
 WORDS_PER_PACK = 1_200_000
 RARITY_BITS = 17
-#: 64-bit words of the sketches that a candidate pair must be near by.
+#: Fewest 64-bit words of the sketches that a candidate pair must be near by; larger sets get two to four bits a shingle.
 SKETCH_WORDS = 32
 _EMPTY = np.uint64(0x9FB21C651E98DF25)
 _SCHEME = 0xD6E8FEB86659FD93
@@ -88,10 +89,20 @@ def cells(s: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(s: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
-    """Parity sketch of one bit per cell: bit h mod m is flipped for each shingle."""
-    bits = np.bincount((mix(s) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of one bit per cell: bit h mod m is flipped for each shingle; m is a power of two."""
+    bits = max(64 * SKETCH_WORDS, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two sketches, at most the symmetric difference of their sets. The longer is folded to the shorter's size."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _class(s: np.ndarray) -> bytes:
@@ -230,11 +241,11 @@ def _check_pairs(batches):
         yield pdf.loc[keep, ["a", "b"]]
 
 
-def _distance(x, y) -> Column:
-    out = F.bit_count(x(0).bitwiseXOR(y(0)))
-    for i in range(1, SKETCH_WORDS):
-        out = out + F.bit_count(x(i).bitwiseXOR(y(i)))
-    return out
+def _check_sketches(batches):
+    """The pairs (a, b, na, nb, sa, sb: sketches) that may be links."""
+    for pdf in batches:
+        apart = np.array([distance(as_array(x, np.uint64), as_array(y, np.uint64)) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)], dtype=np.int64)
+        yield pdf.loc[apart * (DEN + NUM) <= (DEN - NUM) * (pdf["na"] + pdf["nb"]).to_numpy(), ["a", "b", "na", "nb"]]
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -263,50 +274,52 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of one pair of blocks of a group. kind 0: (class rep, links to other classes, by their copies); kind 1: spanning edges (rep, rep).
+    """Links of one pair of blocks of a group. kind 0: (class node, links to other classes, by their copies); kind 1: spanning edges (node, node).
 
-    A pair of classes that several groups hold is counted in the first of these.
+    ``seen`` are the groups that come before: a pair of classes that have one in common is counted there.
     """
-    g, i, j = int(pdf["g"].iloc[0]), int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-    pdf = pdf.drop_duplicates("rep")
+    i, j = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+    pdf = pdf.drop_duplicates("node")
     left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
     none = np.empty(0, dtype=np.int64)
     if not len(left) or not len(right):
-        return pd.DataFrame({"kind": none.astype(np.int32), "rep": none, "other": none})
+        return pd.DataFrame({"kind": none.astype(np.int32), "node": none, "other": none})
     a, b = ([as_array(m, np.uint64) for m in x["members"]] for x in (left, right))
     both = _intersections(a, b)
     na, nb = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
     link = DEN * both >= NUM * (na + nb - both)
-    earlier = [[np.asarray(x, dtype=np.int64) for x in y["gs"]] for y in (left, right)]
-    earlier = [[x[x < g].view(np.uint64) for x in y] for y in earlier]
-    if any(len(x) for x in earlier[0]) and any(len(x) for x in earlier[1]):
-        link &= _intersections(*earlier) == 0
+    seen = [[np.asarray(x, dtype=np.int64).view(np.uint64) for x in y["seen"]] for y in (left, right)]
+    if any(map(len, seen[0])) and any(map(len, seen[1])):
+        link &= _intersections(*seen) == 0
     if i == j:
         link = np.triu(link, 1)
     x, y = np.nonzero(link)
-    ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
+    ra, rb = left["node"].to_numpy(), right["node"].to_numpy()
     ids, inv = np.unique(np.concatenate([ra[x], rb[y]]), return_inverse=True)
     n = np.bincount(inv, weights=np.concatenate([right["copies"].to_numpy()[y], left["copies"].to_numpy()[x]]).astype(float), minlength=len(ids)).astype(np.int64)
     nodes, roots = _union_find(ra[x], rb[y]) if len(x) else (none, none)
     tree = nodes != roots
-    return pd.concat([pd.DataFrame({"kind": np.int32(0), "rep": ids, "other": n}), pd.DataFrame({"kind": np.int32(1), "rep": nodes[tree], "other": roots[tree]})])
+    return pd.concat([pd.DataFrame({"kind": np.int32(0), "node": ids, "other": n}), pd.DataFrame({"kind": np.int32(1), "node": nodes[tree], "other": roots[tree]})])
 
 
-def _read_sets(shingle: int):
-    """(class, size, sketch, members) of texts."""
+def _read_sets(shingle: int, exact: bool):
+    """(class, size, members or sketch) of texts."""
 
     def run(batches):
-        names = ["cls", "n", "members", *[f"q{i}" for i in range(SKETCH_WORDS)]]
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 sets = (shingles(space_words(t, lower=True), shingle) for t in pdf["text"][lo : lo + 500])
-                yield pd.DataFrame([(_class(s), len(s), s.tobytes(), *sketch(s).tolist()) for s in sets if len(s)], columns=names)
+                yield pd.DataFrame([(_class(s), len(s), (s if exact else sketch(s)).tobytes()) for s in sets if len(s)], columns=["cls", "n", "data"])
 
     return run
 
 
 def classes(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", shingle=SHINGLE) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(documents: id, h, n, cls), (classes: cls, rep, copies) and the rarity counts. Rows with null ids have no class; h is a hash of the text."""
+    """(documents: id, h, n, cls), (classes: cls, rep, node, copies) and the rarity counts.
+
+    Rows with null ids have no class; h is a hash of the text. A class's node is its smallest id, or a number of its own where classes share
+    that id, as rows may repeat an id with other texts.
+    """
     d = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     described = scratch.write(d.mapInPandas(_describe(shingle), "kind int, id long, h long, n long, cls binary"), "described")
     rarity = np.zeros(1 << RARITY_BITS, dtype=np.int64)
@@ -314,7 +327,9 @@ def classes(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col
         rarity[r["id"]] = r["n"]
     docs = described.where("kind = 0").select("id", "h", "n", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls"))
     reps = scratch.write(docs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    return docs, reps, rarity
+    shared = scratch.write(reps.groupBy("rep").count().where("count > 1").select("rep", F.lit(True).alias("shared")), "shared-ids")
+    node = F.when(F.col("shared"), -F.shiftrightunsigned(F.xxhash64("cls"), 1) - 1).otherwise(F.col("rep"))
+    return docs, reps.join(shared, "rep", "left").select("cls", "rep", node.alias("node"), "copies"), rarity
 
 
 def jaccard_join(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", shingle=SHINGLE, few=FEW, block=BLOCK) -> DataFrame:
@@ -341,41 +356,56 @@ def jaccard_join(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", tex
     groups = scratch.write(crowded.join(heads, "cell").select("g", "cls", "n").distinct(), "groups")
     member_of = scratch.write(groups.groupBy("cls").agg(F.collect_set("g").alias("gs")), "member-of")
 
-    # the sets of all candidates, from their representatives' texts
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionAll(groups.select("cls")).distinct()
-    wanted = scratch.write(named.join(reps, "cls").select(F.col("rep").alias("_rep")).distinct(), "wanted")
     texts = documents.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("text"))
-    sketches = ", ".join(f"q{i} long" for i in range(SKETCH_WORDS))
-    sets = scratch.write(texts.join(bounded(wanted), "_rep", "left_semi").select("text").mapInPandas(_read_sets(shingle), f"cls binary, n int, members binary, {sketches}"), "sets")
-
-    # few: pairs near by sketch that no group holds, each verified (a class may have been read from several rows)
-    short = sets.drop("members").dropDuplicates(["cls"])
-    side = lambda x: short.toDF(x, f"n{x}", *[f"{x}{i}" for i in range(SKETCH_WORDS)])
-    apart = _distance(lambda i: F.col(f"a{i}"), lambda i: F.col(f"b{i}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b")
+    reps = scratch.write(reps, "nodes")
+
+    def read(wanted: DataFrame, name: str, exact: bool) -> DataFrame:
+        """Sketches or sets of the wanted classes (cls), from their representatives' texts; a class may be read from several rows."""
+        ids = scratch.write(wanted.distinct().join(reps, "cls").select(F.col("rep").alias("_rep")).distinct(), f"ids-{name}")
+        return scratch.write(texts.join(bounded(ids), "_rep", "left_semi").select("text").mapInPandas(_read_sets(shingle, exact), "cls binary, n int, data binary"), name)
+
+    # few: pairs near by sketch that no group holds
+    short = read(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "sketches", False).dropDuplicates(["cls"])
+    near = pairs.join(short.toDF("a", "na", "sa"), "a").join(short.toDF("b", "nb", "sb"), "b").mapInPandas(_check_sketches, "a binary, b binary, na int, nb int")
     near = near.join(member_of.toDF("a", "ga"), "a", "left").join(member_of.toDF("b", "gb"), "b", "left")
-    near = scratch.write(near.where(~F.coalesce(F.arrays_overlap("ga", "gb"), F.lit(False))).select("a", "b"), "near")
-    exact = sets.select("cls", "members")
-    both = near.join(exact.toDF("b", "sb"), "b").join(exact.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+    near = near.where(~F.coalesce(F.arrays_overlap("ga", "gb"), F.lit(False)))
+    of = lambda x: reps.select(F.col("cls").alias(x), F.col("node").alias(f"v{x}"), F.col("copies").alias(f"c{x}"))
+    near = scratch.write(near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "va", "vb", "ca", "cb"), "near")
+    parts = scratch.write(connected_components(near.select(F.col("va").alias("a"), F.col("vb").alias("b")), scratch), "near-components")
+
+    # a component goes block by block where that sends no more sets than its pairs would
+    near = near.join(parts.withColumnRenamed("node", "va"), "va")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("na").alias("n")), F.struct(F.col("b").alias("cls"), F.col("nb").alias("n"))))
+    members = near.select("component", ends.alias("e")).select("component", "e.cls", "e.n").distinct()
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    dense = members.groupBy("component").agg(blocks, F.count("*").alias("m")).join(near.groupBy("component").agg(F.count("*").alias("p")), "component").where("m * blocks <= 2 * p").select("component", "blocks")
+    dense = scratch.write(dense, "dense")
+    sparse = scratch.write(near.join(dense, "component", "left_anti"), "sparse")
+    many = groups.join(scratch.write(groups.groupBy("g").agg(blocks), "weights"), "g").select("g", "cls", "blocks")
+    dealt = many.join(member_of, "cls").withColumn("seen", F.filter("gs", lambda x: x < F.col("g"))).drop("gs")
+    few_ = members.join(dense, "component").select(F.xxhash64(F.lit("near"), "component").alias("g"), "cls", "blocks").join(member_of.withColumnRenamed("gs", "seen"), "cls", "left")
+    dealt = scratch.write(dealt.unionByName(few_.withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))), "dealt")
+
+    sets = read(dealt.select("cls").unionAll(sparse.select(F.explode(F.array("a", "b")).alias("cls"))), "sets", True)
+    alone = sets.join(bounded(scratch.write(sparse.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "sparse-classes")), "cls", "left_semi").drop("n")
+    both = sparse.select("a", "b").join(alone.toDF("b", "sb"), "b").join(alone.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
     links = both.mapInPandas(_check_pairs, "a binary, b binary").distinct()
-    of = lambda x: reps.toDF(x, f"r{x}", f"c{x}")
-    links = scratch.write(links.join(of("a"), "a").join(of("b"), "b").select("ra", "ca", "rb", "cb"), "links")
-
-    # many: the groups, block by block
-    weight = groups.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    b = groups.select("g", "cls").join(scratch.write(weight, "weights"), "g").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    links = scratch.write(links.join(of("a"), "a").join(of("b"), "b").select("va", "ca", "vb", "cb"), "links")
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("bi"), F.greatest("block", k).alias("bj")))
-    whole = reps.join(member_of, "cls").join(exact, "cls")
-    dealt = b.withColumn("p", F.explode(every)).select("g", "p.bi", "p.bj", "block", "cls").join(whole, "cls").drop("cls")
-    found = scratch.write(dealt.groupBy("g", "bi", "bj").applyInPandas(_compare, "kind int, rep long, other long"), "found")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("p", F.explode(every)).drop("blocks")
+    dealt = dealt.join(reps.select("cls", "node", "copies"), "cls").join(sets.select("cls", F.col("data").alias("members")), "cls").select("g", "p.bi", "p.bj", "block", "seen", "node", "copies", "members")
+    found = scratch.write(dealt.groupBy("g", "bi", "bj").applyInPandas(_compare, "kind int, node long, other long"), "found")
     scratch.drop(sets)
     scratch.free()
 
-    edges = links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionAll(found.where("kind = 1").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    comps = connected_components(edges, scratch).withColumnRenamed("node", "rep")
-    ends = links.select(F.explode(F.array(F.struct(F.col("ra").alias("rep"), F.col("cb").alias("n")), F.struct(F.col("rb").alias("rep"), F.col("ca").alias("n")))).alias("e"))
-    degree = ends.select("e.rep", "e.n").unionAll(found.where("kind = 0").select("rep", F.col("other").alias("n"))).groupBy("rep").agg(F.sum("n").alias("others"))
-    each = reps.join(degree, "rep", "left").join(comps, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    edges = links.select(F.col("va").alias("a"), F.col("vb").alias("b")).unionAll(found.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    comps = connected_components(edges, scratch)
+    ends = links.select(F.explode(F.array(F.struct(F.col("va").alias("node"), F.col("cb").alias("n")), F.struct(F.col("vb").alias("node"), F.col("ca").alias("n")))).alias("e"))
+    degree = ends.select("e.node", "e.n").unionAll(found.where("kind = 0").select("node", F.col("other").alias("n"))).groupBy("node").agg(F.sum("n").alias("others"))
+    linked = scratch.write(comps.join(reps.select("node", "rep"), "node").join(degree, "node", "left"), "linked-classes")
+    least = scratch.write(linked.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    linked = linked.join(least, "component").select("node", "least", "others")
+    each = reps.join(linked, "node", "left").select("cls", F.coalesce("least", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     each = scratch.write(each, "by-class")
     columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component", "n_links", F.col("h").alias("text_hash")]
     alone = docs.where("cls IS NULL").withColumn("component", F.col("id")).withColumn("n_links", F.lit(0).cast("long"))
