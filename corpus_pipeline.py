@@ -9,47 +9,69 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, jaccard, mixing, quality, tokens
-from graphloom.llm.common import Scratch
+from graphloom.llm.common import Scratch, bounded, default_partitions
+
+#: Sequences within which the last stage permutes: the order of training that mixing has made survives between segments.
+SEGMENT = 16 * tokens.SHARD_ROWS
 
 
 def quality_classifier(spark, docs, sf_dir):
-    """Documents that the quality classifier, trained on the labelled ones among ``docs``, does not accept go."""
+    """Documents that the quality classifier, trained on the labelled ones among ``docs``, does not accept go.
+
+    Every row is judged by its whole text alone: null ids, repeated rows and null texts (which get the score of the classifier's bias) too.
+    Without labels all scores are 0.5 and nothing is accepted. An empty table stays empty. Columns come back as they are.
+    """
     return quality.accept(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def jaccard_join(spark, docs, sf_dir):
-    """Of each group of near copies the document of the smallest id stays."""
+    """Of each group of near copies the row of the smallest id stays; of rows equal in id and text one.
+
+    Rows with a null id and texts without words are no copies and stay. A row whose text is unlinked stays even if its id is repeated elsewhere.
+    """
     return jaccard.keep_one(docs, Scratch(spark, "pipeline-jaccard"))
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
-    """Documents with a word covered by a benchmark window go; a null id names no document, so of these only the covered texts go."""
-    rows = docs.withColumn("_graphloom_row", F.xxhash64("text"))
-    d = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "pipeline-decontamination"), keep=("_graphloom_row",))
-    dirty = d.where("n_hit > 0").select(F.col("doc_id").alias("_graphloom_id"), F.when(F.col("doc_id").isNull(), F.col("_graphloom_row")).alias("_graphloom_text")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_graphloom_id")) & F.when(F.col("doc_id").isNull(), F.col("_graphloom_row")).eqNullSafe(F.col("_graphloom_text"))
-    return rows.join(dirty, same, "left_anti").select(docs.columns)
+    """Rows with a word covered by a benchmark window go, whatever their id (null or repeated): the text decides. Null and empty texts stay."""
+    rows = docs.withColumns({"_graphloom_h": F.xxhash64("text"), "_graphloom_h2": F.hash("text")})
+    scratch = Scratch(spark, "pipeline-decontamination")
+    d = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch, keep=("_graphloom_h", "_graphloom_h2"))
+    dirty = scratch.write(d.where("n_hit > 0").select("_graphloom_h", "_graphloom_h2").distinct(), "dirty")
+    return rows.join(bounded(dirty), ["_graphloom_h", "_graphloom_h2"], "left_anti").select(docs.columns)
 
 
 def source_mixing(spark, docs, sf_dir):
-    """Sources mixed to their target weights; documents come as often as the mix takes them, sorted by training time.
+    """Sources mixed to their target weights; documents come as often as the mix takes them, range-partitioned and sorted by training time.
 
-    A last, partial copy counts as a copy when at least half of its words are taken.
+    A last, partial copy counts as a copy when at least half of its words are taken. Null ids are taken as any other; of rows equal in id, text
+    and source, one stands for all, as often as all are taken together; texts without words are never taken. An empty table stays empty.
     """
-    plan = mixing.mix(docs, Scratch(spark, "pipeline-mixing"))
+    scratch = Scratch(spark, "pipeline-mixing")
+    plan = mixing.mix(docs, scratch)
     whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    plan = plan.select("doc_id", F.slice("times", 1, F.least(whole, F.size("times"))).alias("times"), F.col("row_hash").alias("_graphloom_row")).withColumnRenamed("times", "_graphloom_times").where(F.size("_graphloom_times") > 0).dropDuplicates(["doc_id", "_graphloom_row"]).withColumnsRenamed({"doc_id": "_graphloom_id", "_graphloom_row": "_graphloom_text"})
-    rows = docs.withColumn("_graphloom_row", F.xxhash64("text"))
-    # a null id is taken as often as any other
-    taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_graphloom_id")) & (F.col("_graphloom_row") == F.col("_graphloom_text"))).select(*docs.columns, F.explode("_graphloom_times").alias("_graphloom_at"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    taken = taken.withColumn("_graphloom_part", F.floor(F.col("_graphloom_at") * parts)).repartition(parts, "_graphloom_part")
-    return taken.sortWithinPartitions("_graphloom_part", "_graphloom_at", "doc_id").drop("_graphloom_at", "_graphloom_part")
+    plan = plan.select("doc_id", F.col("row_hash").alias("h"), "source", F.slice("times", 1, F.least(whole, F.size("times"))).alias("t")).where(F.size("t") > 0)
+    plan = plan.groupBy("doc_id", "h", "source").agg(F.flatten(F.sort_array(F.collect_list("t"))).alias("_graphloom_times"), F.count("*").alias("_graphloom_n"))
+    plan = scratch.write(plan.withColumnsRenamed({"doc_id": "_graphloom_id", "h": "_graphloom_text", "source": "_graphloom_source"}), "plan")
+    rows = docs.withColumn("_graphloom_h", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_graphloom_id")) & (F.col("_graphloom_h") == F.col("_graphloom_text")) & F.col("source").eqNullSafe(F.col("_graphloom_source"))
+    again = scratch.write(plan.where("_graphloom_n > 1").select("_graphloom_id", "_graphloom_text", "_graphloom_source"), "again")
+    if not again.isEmpty():
+        one = rows.join(bounded(again), same, "left_semi").dropDuplicates(["doc_id", "_graphloom_h", "source"])
+        rows = rows.join(bounded(again), same, "left_anti").unionByName(one)
+    taken = rows.join(plan, same).select(*docs.columns, F.explode("_graphloom_times").alias("_graphloom_at"))
+    parts = default_partitions(spark)
+    part = F.least(F.floor(F.col("_graphloom_at") * parts), F.lit(parts - 1)).cast("int")
+    return taken.repartitionById(parts, part).sortWithinPartitions("_graphloom_at", "doc_id").drop("_graphloom_at")
 
 
 def token_output(spark, docs, sf_dir):
-    """Fixed-stride token sequences in training order, read back from the shards they are written to."""
-    return tokens.through_shards(docs, Scratch(spark, "pipeline-tokens"))
+    """Fixed-stride token sequences in training order, read back from the shards they are written to.
+
+    ``docs`` are numbered in the order in which the stage before has written them, and sequences are permuted inside segments of it. Docs that
+    are not read from files go by a hash of id and text. Null and empty texts are an end mark alone; an empty table gives no rows.
+    """
+    return tokens.through_shards(docs, Scratch(spark, "pipeline-tokens"), order=tokens.file_order(docs), segment=SEGMENT)
 
 
 STAGES = [
