@@ -1,12 +1,14 @@
 """Operator 4: token-ID output in training order.
 
 Texts become token ids of a public byte-level BPE vocabulary, and each text's ids (with an end mark) sequences of a fixed
-length, the last one padded. Sequences are numbered densely, and a keyed Feistel permutation with cycle-walking gives each
-number a global slot: a bijection of [0, N), so training order needs no sort keys and no shuffle buffer. Slots fall into
-shards, ranges of equal size; tasks take ranges of shards, sort by slot and write a file per shard at a fixed stride, so slot
-s is found at byte (s - first slot of its shard) * stride, and a reader resumes from any slot. Results are what is read back from those files.
-
-Tokenising happens once, into a written table; numbers come from counts per task of that table, without a window over documents.
+length, the last one padded. Documents are put in an order of their own (by default that of a hash of id and text; a caller may name another),
+and their sequences are numbered densely in it, so numbers depend on the rows alone, not on how the input is split into tasks. A keyed
+Feistel permutation with cycle-walking gives each number a global slot: a bijection of [0, N), or of each segment of it where a
+caller's order is to survive at large (a curriculum). Training order needs no sort keys and no shuffle buffer. Slots fall into shards, ranges of equal size; range
+partitions of slots are sorted, and each shard is written as a flat file of fixed stride, so slot s is found at byte
+(s - first slot of its shard) * stride, and a reader resumes from any slot. Results are what is read back from those files.
+
+Tokenising happens once. Each step ends in a written table, and tables and shuffle files of steps that are over are deleted.
 """
 
 from __future__ import annotations
@@ -14,16 +16,16 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, default_partitions
+from .packing import slices
 
 #: Where the vocabulary lies by default; any file of lines "base64-token rank" will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -33,32 +35,10 @@ SEQUENCE = 512
 SHARD_ROWS = 4096
 KEY = 20_240_607
 ROUNDS = 6
-_CACHE_ENTRIES = 300_000
-#: Rows of tasks that are broadcast at most; beyond, their join is a shuffle.
-BROADCAST_TASKS = 1_000_000
-
-
-class _Pieces(dict):
-    """Token bytes of a blank and the piece after it; forgets everything when full."""
-
-    def __init__(self, encode, kind, lead: str):
-        super().__init__()
-        self.encode, self.kind, self.lead = encode, kind, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.encode(self.lead + piece), dtype=self.kind).tobytes()
-        if len(self) >= _CACHE_ENTRIES:
-            self.clear()
-        self[piece] = out
-        return out
 
 
 class Tokenizer:
-    """Token ids as bytes: 2 bytes an id up to 65,536 ids, else 4.
-
-    A blank before something solid always starts a token piece, so texts are cut at single blanks and the pieces
-    remembered. Texts with two kinds of white space in a row go to the encoder whole; results are the same.
-    """
+    """Token ids as bytes: 2 bytes an id up to 65,536 ids, else 4."""
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
@@ -66,18 +46,13 @@ class Tokenizer:
         ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in vocabulary.splitlines() if line)}
         self.end = max(ranks.values()) + 1
         self.kind = np.uint16 if self.end < 1 << 16 else np.uint32
-        self.encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._first, self._rest = _Pieces(self.encode, self.kind, ""), _Pieces(self.encode, self.kind, " ")
-        self._runs = re.compile(r"\s\s")
+        self._encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         text = text.encode("utf-8", "replace").decode("utf-8")
-        if self._runs.search(text) or text[-1].isspace():
-            return np.array(self.encode(text), dtype=self.kind).tobytes()
-        first, *rest = text.split(" ")
-        return self._first[first] + b"".join(map(self._rest.__getitem__, rest)) if first else b"".join(map(self._rest.__getitem__, rest))
+        return self._encoding.encode_to_numpy(text, disallowed_special=()).astype(self.kind).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -108,42 +83,102 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
-def tokenize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, sequence=SEQUENCE, id_col="doc_id", text_col="text") -> DataFrame:
-    """A written table (id, part, first, sequences, tokens): ids with an end mark, and where the text's sequences start in its task.
+def permute_segments(index: np.ndarray, n: int, key: int = KEY, segment: int | None = None) -> np.ndarray:
+    """:func:`permute` of [0, n), or of each run of ``segment`` numbers in it by itself, under a key of its own."""
+    if segment is None or segment >= n:
+        return permute(index, n, key)
+    index = np.asarray(index, dtype=np.int64)
+    out = np.empty(len(index), dtype=np.int64)
+    which = index // segment
+    for s in np.unique(which):
+        mine = which == s
+        lo = int(s) * segment
+        out[mine] = lo + permute(index[mine] - lo, min(segment, n - lo), key + int(s))
+    return out
+
+
+def hash_order(id_col: str, text_col: str) -> tuple[Column, list[Column]]:
+    """(place in [0, 1), sort keys) of the order by a hash of id and text; rows equal in both have equal tokens."""
+    k = F.shiftrightunsigned(F.xxhash64(id_col, text_col), 1)
+    return k / F.lit(float(1 << 63)), [k, F.col(id_col).cast("long")]
 
-    Null texts and empty ones are the end mark alone, one sequence. Repeated rows are texts of their own.
+
+def file_order(documents: DataFrame) -> tuple[Column, list[Column]] | None:
+    """The order in which Spark has written the files that ``documents`` is read from; None if it isn't read from such files.
+
+    The number in a part file's name orders the files of one writing, and a row's number its rows.
+    """
+    try:
+        rows = documents.select(F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r"))
+        last = rows.agg(F.max(_part_number(F.col("f")))).first()[0]
+    except AnalysisException:
+        return None
+    if last is None:
+        return None
+    number = _part_number(F.col("_metadata.file_name"))
+    return F.coalesce(number, F.lit(0)) / F.lit(float(last + 1)), [F.coalesce(number, F.lit(0)), F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+
+
+def _part_number(name: Column) -> Column:
+    return F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long")
+
+
+def tokenize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, sequence=SEQUENCE, id_col="doc_id", text_col="text", order=None) -> DataFrame:
+    """A written table (part, first, id, sequences, tokens): ids with an end mark, and where the text's sequences start in their part.
+
+    Parts are ranges of the order, numbered from 0. Null texts and empty ones are the end mark alone, one sequence. Repeated rows are texts of their own.
     """
     with open(vocabulary, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
-    d = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    place, keys = order or hash_order(id_col, text_col)
+    parts = default_partitions(documents.sparkSession)
+    part = F.least(F.floor(place * parts), F.lit(parts - 1)).cast("int")
+    names = [f"o{i}" for i in range(len(keys))]
+    d = documents.select(part.alias("part"), *[k.alias(n) for k, n in zip(keys, names, strict=True)], F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         tok = _tokenizer(shared.value)
         end = np.array([tok.end], dtype=tok.kind).tobytes()
-        part, at = TaskContext.get().partitionId(), 0
         stride = sequence * len(end)
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
                 piece = pdf.iloc[lo : lo + 1000]
                 blobs = [tok(t) + end for t in piece["text"]]
                 n = np.array([-(-len(b) // stride) for b in blobs], dtype=np.int64)
-                yield pd.DataFrame({"id": piece["id"].astype("Int64"), "part": part, "first": at + np.cumsum(n) - n, "sequences": n, "tokens": blobs})
-                at += int(n.sum())
-
-    return scratch.write(d.mapInPandas(run, "id long, part int, first long, sequences long, tokens binary"), "tokens")
+                yield piece.drop(columns="text").assign(id=piece["id"].astype("Int64"), sequences=n, tokens=blobs)
 
-
-def materialize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, sequence=SEQUENCE, shard_rows=SHARD_ROWS, key=KEY, id_col="doc_id", text_col="text") -> DataFrame:
+    def number(batches):
+        now, at = None, 0
+        for pdf in batches:
+            first = np.empty(len(pdf), dtype=np.int64)
+            n = pdf["sequences"].to_numpy()
+            for p, lo, hi in slices(pdf["part"].to_numpy()):
+                if p != now:
+                    now, at = p, 0
+                first[lo:hi] = at + np.cumsum(n[lo:hi]) - n[lo:hi]
+                at += int(n[lo:hi].sum())
+            yield pd.DataFrame({"part": pdf["part"], "first": first, "id": pdf["id"].astype("Int64"), "sequences": n, "tokens": pdf["tokens"]})
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.drop("text").schema)
+    t = d.mapInPandas(run, f"{fields}, sequences long, tokens binary")
+    t = t.repartitionById(parts, "part").sortWithinPartitions("part", *names, "tokens").select("part", "id", "sequences", "tokens")
+    return scratch.write(t.mapInPandas(number, "part int, first long, id long, sequences long, tokens binary"), "tokens")
+
+
+def materialize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, sequence=SEQUENCE, shard_rows=SHARD_ROWS, key=KEY, id_col="doc_id", text_col="text", order=None, segment=None) -> DataFrame:
     """One row per sequence (shard, slot, id, seq, n_tokens, tokens), in ranges of whole shards and sorted by slot.
 
-    ``tokens`` has the fixed stride of ``sequence`` ids, little-endian, padded with the end mark. Slots are 0 to N - 1, each once. The
-    order depends on the key and on how the input is split into tasks. An empty table gives no rows.
+    ``tokens`` has the fixed stride of ``sequence`` ids, little-endian, padded with the end mark. Slots are 0 to N - 1, each once. They
+    depend on the rows and the key alone. An empty table gives no rows.
     """
-    t = tokenize(documents, scratch, vocabulary=vocabulary, sequence=sequence, id_col=id_col, text_col=text_col)
-    parts = scratch.write(t.groupBy("part").agg(F.sum("sequences").alias("n")), "parts")
-    tasks, total = parts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    base = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = t.join(F.broadcast(base) if tasks <= BROADCAST_TASKS else base, "part").select("id", (F.col("base") + F.col("first")).alias("first"), "sequences", "tokens")
+    t = tokenize(documents, scratch, vocabulary=vocabulary, sequence=sequence, id_col=id_col, text_col=text_col, order=order)
+    scratch.free()
+    sizes = {r["part"]: r["n"] for r in t.groupBy("part").agg(F.sum("sequences").alias("n")).collect()}  # a row for each partition of the order
+    base = np.zeros(max(sizes, default=-1) + 2, dtype=np.int64)
+    for p, n in sizes.items():
+        base[p + 1] = n
+    base = np.cumsum(base)
+    total = int(base[-1])
     with open(vocabulary, "rb") as f:
         end = max(int(line.split()[1]) for line in f if line.strip()) + 1
     kind = np.uint16 if end < 1 << 16 else np.uint32
@@ -156,7 +191,7 @@ def materialize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY
                 p = pdf.iloc[lo : lo + 500]
                 n = p["sequences"].to_numpy()
                 seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                slot = permute(np.repeat(p["first"].to_numpy(), n) + seq, total, key)
+                slot = permute_segments(np.repeat(base[p["part"].to_numpy()] + p["first"].to_numpy(), n) + seq, total, key, segment)
                 blobs, used = [], []
                 for b in p["tokens"]:
                     for at in range(0, len(b), stride):
@@ -165,8 +200,10 @@ def materialize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY
                         blobs.append(bytes(x) if len(x) == stride else bytes(x) + pad * ((stride - len(x)) // width))
                 yield pd.DataFrame({"shard": slot // shard_rows, "slot": slot, id_col: np.repeat(p["id"].astype("Int64").array, n), "seq": seq, "n_tokens": np.array(used, dtype=np.int32), "tokens": blobs})
 
-    out = rows.mapInPandas(run, f"shard long, slot long, {id_col} long, seq long, n_tokens int, tokens binary")
-    return _in_ranges(out, -(-total // shard_rows)).sortWithinPartitions("shard", "slot")
+    out = t.mapInPandas(run, f"shard long, slot long, {id_col} long, seq long, n_tokens int, tokens binary")
+    out = _in_ranges(out, -(-total // shard_rows)).sortWithinPartitions("shard", "slot")
+    out._graphloom_path = t._graphloom_path
+    return out
 
 
 def _in_ranges(rows: DataFrame, shards: int) -> DataFrame:
@@ -179,43 +216,57 @@ def _in_ranges(rows: DataFrame, shards: int) -> DataFrame:
 _ORIGIN = np.dtype([("known", "<i1"), ("id", "<i8"), ("seq", "<i8"), ("n_tokens", "<i4")])
 
 
-def write_shards(sequences: DataFrame, path: str, *, id_col="doc_id") -> DataFrame:
-    """Write one flat binary file per shard of :func:`materialize` into a folder that all executors share; return what was written.
+def pack_shards(sequences: DataFrame, *, id_col="doc_id") -> DataFrame:
+    """One row per shard of :func:`materialize`: (shard, first_slot, rows, stride, data, origin), bytes as they go to its two files.
 
-    A file holds its slots in order at a fixed stride; a smaller one beside it says in the same order where each came from. A file is written under another name and renamed, so a task that is run again
-    replaces it whole. ``path`` is a URI that pyarrow can open (file, hdfs, s3).
+    It must follow :func:`materialize` directly, whose partitions hold whole shards in order. No rows give no shards.
     """
-    stamp = hashlib.blake2b(path.encode(), digest_size=4).hexdigest()
 
     def run(batches):
-        from pyarrow import fs
+        held: list[tuple] = []
 
-        store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
-        task = TaskContext.get()
-        held: list[tuple[int, int, bytes, tuple]] = []
-
-        def flush():
-            if held:
-                shard, data = held[0][0], b"".join(x[2] for x in held)
-                for kind, what in (("idx", np.array([x[3] for x in held], dtype=_ORIGIN).tobytes()), ("bin", data)):
-                    tmp = f"{root}/.{stamp}-{shard}-{task.taskAttemptId()}.{kind}"
-                    with store.open_output_stream(tmp) as f:
-                        f.write(what)
-                    store.move(tmp, f"{root}/shard-{shard:08d}.{kind}")
-                yield pd.DataFrame({"shard": [shard], "first_slot": [held[0][1]], "rows": [len(held)], "stride": [len(held[0][2])], "sha256": [hashlib.sha256(data).hexdigest()]})
-                held.clear()
+        def row():
+            data, origin = b"".join(x[2] for x in held), np.array([x[3] for x in held], dtype=_ORIGIN).tobytes()
+            out = pd.DataFrame({"shard": [held[0][0]], "first_slot": [held[0][1]], "rows": [len(held)], "stride": [len(held[0][2])], "data": [data], "origin": [origin]})
+            held.clear()
+            return out
 
         for pdf in batches:
             known, ids = pdf["known"].tolist(), pdf["id"].tolist()
             for shard, slot, b, *origin in zip(pdf["shard"], pdf["slot"], pdf["tokens"], known, ids, pdf["seq"], pdf["n_tokens"], strict=True):
                 if held and held[0][0] != shard:
-                    yield from flush()
+                    yield row()
                 held.append((shard, slot, bytes(b), tuple(origin)))
-        yield from flush()
+        if held:
+            yield row()
 
     rows = sequences.select("shard", "slot", "tokens", F.col(id_col).isNotNull().alias("known"), F.coalesce(id_col, F.lit(0)).cast("long").alias("id"), "seq", "n_tokens")
-    return rows.mapInPandas(run, "shard long, first_slot long, rows long, stride long, sha256 string")
+    return rows.mapInPandas(run, "shard long, first_slot long, rows long, stride long, data binary, origin binary")
+
+
+def write_shards(packed: DataFrame, path: str) -> DataFrame:
+    """Write the shards of :func:`pack_shards` as flat binary files into a folder that all executors share; return (shard, first_slot, rows, stride, sha256).
+
+    A file holds its slots in order at a fixed stride; a smaller one beside it says in the same order where each came from. A file is written under another name and renamed, so a task that is run again
+    replaces it whole. ``path`` is a URI that pyarrow can open (file, hdfs, s3). No shards, no files.
+    """
+    stamp = hashlib.blake2b(path.encode(), digest_size=4).hexdigest()
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                for kind, what in (("idx", r.origin), ("bin", r.data)):
+                    tmp = f"{root}/.{stamp}-{r.shard}-{TaskContext.get().taskAttemptId()}.{kind}"
+                    with store.open_output_stream(tmp) as f:
+                        f.write(what)
+                    store.move(tmp, f"{root}/shard-{r.shard:08d}.{kind}")
+            yield pdf[["shard", "first_slot", "rows", "stride"]].assign(sha256=[hashlib.sha256(x).hexdigest() for x in pdf["data"]])
+
+    return packed.mapInPandas(run, "shard long, first_slot long, rows long, stride long, sha256 string")
 
 
 def read_slots(path: str, manifest: DataFrame, start: int, count: int):
@@ -260,8 +311,12 @@ def read_shards(path: str, manifest: DataFrame, *, id_col="doc_id") -> DataFrame
 def through_shards(documents: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """:func:`materialize`, written as shards into the shared folder and read back from them."""
     path = scratch.path("shards")
-    manifest = scratch.write(write_shards(materialize(documents, scratch, **options), path), "manifest")
+    sequences = materialize(documents, scratch, **options)
+    packed = scratch.write(pack_shards(sequences), "packed")
+    scratch.drop(sequences)
     scratch.free()
+    manifest = scratch.write(write_shards(packed, path), "manifest")
+    scratch.drop(packed)
     return read_shards(path, manifest)
 
 
