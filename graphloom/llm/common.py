@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words of the contracts that split on ASCII white space.
@@ -157,19 +158,46 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     return low.unionAll(roots)
 
 
-def stratified_sample(df: DataFrame, label: str, id_col: str, per_class: int, max_classes: int = 256) -> DataFrame:
-    """At most about ``per_class`` rows of each label, chosen by a hash of the id; a bounded training sample.
+#: Most distinct labels that a sample is taken for; more are an error.
+MAX_CLASSES = 4096
 
-    Rows without a label are left out. Fractions come from counts over all rows; the sample as a whole never
-    exceeds ``1.2 * per_class`` rows times the number of classes, itself at most ``max_classes``.
+
+def stratified_sample(df: DataFrame, label: str, id_col: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each label or fewer, chosen by a hash of the id: the rows of ``df`` and their number ``_u`` in [0, 1).
+
+    Rows without a label are left out. Fractions come from counts over all rows, and every label gets its own. More than ``MAX_CLASSES``
+    labels raise an error.
     """
     df = df.where(F.col(label).isNotNull())
-    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
-    if not counts:
-        return df.limit(0)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label) == F.lit(r[label]), F.lit(min(1.0, per_class / r["count"]))).otherwise(share)
+    counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n")).limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} labels")
+    kind = df.schema[label].dataType.simpleString()
+    shares = df.sparkSession.createDataFrame([(r["_label"], min(1.0, per_class / r["_n"])) for r in counts], f"_label {kind}, _share double")
     u = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), id_col), 11) / F.lit(float(1 << 53))
-    bound = int(1.2 * per_class * len(counts)) + 1
-    return df.where(u < share).orderBy(u, id_col).limit(bound)
+    return df.withColumn("_u", u).join(F.broadcast(shares), F.col(label) == F.col("_label")).where("_u < _share").drop("_label", "_share")
+
+
+#: Characters of a training sample that go to the driver at most.
+SAMPLE_CHARS = 64_000_000
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, *, mod: int, held: int, per_class: int) -> tuple[pd.DataFrame, float | None]:
+    """(doc_id, text, y) of a bounded sample of labelled documents outside the held-out fold, and the share of label 1 among all of these.
+
+    At most about ``per_class`` labels of each value, twice as many documents in all (an id may name several; of rows equal in id and text one
+    counts) and ``SAMPLE_CHARS`` characters, in the order of a hash. Several labels of an id: the largest counts. Null ids have no label;
+    null texts are empty. Without labels the sample is empty and the share None.
+    """
+    lab = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & (fold_bucket(F.col("doc_id"), mod) != held))
+    lab = lab.groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
+    prior = lab.agg(F.avg(F.col("_y").cast("double"))).first()[0]
+    if prior is None:
+        return pd.DataFrame({"doc_id": [], "text": [], "y": []}), None
+    chosen = stratified_sample(lab, "_y", "_id", per_class).orderBy("_u", "_id").limit(int(2.4 * per_class) + 1)
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("_h")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    sizes = rows.select("_h", F.length("text").alias("_n")).distinct().orderBy("_h").limit(4 * per_class)
+    keys = sizes.withColumn("_upto", F.sum("_n").over(W.orderBy("_h"))).where(F.col("_upto") <= SAMPLE_CHARS).select("_h")
+    out = rows.join(F.broadcast(keys), "_h").select("doc_id", "text", F.col("_y").alias("y"), "_h").toPandas()
+    return out.drop_duplicates("_h").sort_values(["doc_id", "_h"]).drop(columns="_h").reset_index(drop=True), float(prior)

@@ -126,32 +126,45 @@ class ByteCNN:
 
 def training_windows(texts: list[str], per_text: int = WINDOWS_PER_TEXT) -> tuple[np.ndarray, np.ndarray]:
     """Windows spread over each whole text and the index of their text."""
-    rows, owner = [], []
+    rows, owner = [np.empty((0, WINDOW), dtype=np.uint8)], []
     for i, t in enumerate(texts):
         w = windows_of(t)
         pick = np.unique(np.linspace(0, len(w) - 1, per_text).round().astype(int))
         rows.append(w[pick])
         owner += [i] * len(pick)
-    return np.concatenate(rows), np.array(owner)
+    return np.concatenate(rows), np.array(owner, dtype=np.int64)
 
 
 def fit(documents: DataFrame, *, mod=5, held=0, per_language=PER_LANGUAGE) -> ByteCNN | None:
-    """Train on a bounded sample of rows with text and language outside the held-out fold; None if there are none."""
+    """Train on a bounded sample of rows with letters and a language outside the held-out fold; None if there are none.
+
+    Each language is sampled by itself, the rare ones whole; only training windows leave the executors.
+    """
     d = documents.select("doc_id", "text", F.col("lang").alias("_y")).where(F.col("text").isNotNull() & F.col("_y").isNotNull() & ~fold_bucket(F.col("doc_id"), mod).eqNullSafe(F.lit(held)))
-    rows = stratified_sample(d, "_y", "doc_id", per_language).toPandas()
-    rows = rows[rows["text"].map(lambda t: bool(_LETTER.search(t)))]
+    d = d.where(F.col("text").rlike(r"\p{L}"))
+    some = stratified_sample(d, "_y", "doc_id", per_language).select("_u", "doc_id", "_y", "text")
+
+    def run(batches):
+        for pdf in batches:
+            x, owner = training_windows(pdf["text"].tolist())
+            yield pdf.iloc[owner][["_u", "_y"]].assign(window=[w.tobytes() for w in x])
+
+    languages = max(1, some.select("_y").distinct().count())
+    most = int(1.2 * per_language * WINDOWS_PER_TEXT * languages) + 1
+    rows = some.mapInPandas(run, f"_u double, _y {documents.schema['lang'].dataType.simpleString()}, window binary").orderBy("_u", "window").limit(most).toPandas()
     if rows.empty:
         return None
     classes = sorted(rows["_y"].unique())
-    x, owner = training_windows(rows["text"].tolist())
-    y = rows["_y"].map({c: i for i, c in enumerate(classes)}).to_numpy()[owner]
+    x = np.frombuffer(b"".join(rows["window"]), dtype=np.uint8).reshape(-1, WINDOW)
+    y = rows["_y"].map({c: i for i, c in enumerate(classes)}).to_numpy()
     return ByteCNN(classes).fit(x, y) if len(classes) > 1 else ByteCNN(classes)
 
 
 def identify(documents: DataFrame, model: ByteCNN | None, *, mod=5, held=0) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row over its whole text.
 
-    Null texts and texts without a letter, and all texts where nothing could be learned, are ``und`` with score 0.
+    Null texts and texts without a letter, and all texts where nothing could be learned, are ``und`` with score 0. Repeated rows and null
+    ids are judged row by row; an empty table gives no rows; other columns are ignored.
     """
     d = documents.select("doc_id", fold_bucket(F.col("doc_id"), mod).eqNullSafe(F.lit(held)).alias("held_out"), F.col("text").alias("_text"))
 

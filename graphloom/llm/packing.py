@@ -79,5 +79,23 @@ def slices(values: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(values[starts].tolist(), starts.tolist(), ends.tolist(), strict=True))
 
 
+class SpanHasher:
+    """64-bit hashes of spans of byte arrays, from running sums; powers are kept for the longest array seen."""
+
+    _BASE = 0xD6E8FEB86659FD93
+
+    def __init__(self):
+        self._pow = self._inv = np.empty(0, dtype=np.uint64)
+
+    def of(self, b: np.ndarray):
+        """A function of (starts, ends, kind): hashes of the spans of ``b``, different for each kind."""
+        if len(b) >= len(self._pow):
+            powers = lambda x: np.multiply.accumulate(np.array([1] + [x] * (2 * len(b)), dtype=np.uint64))
+            self._pow, self._inv = powers(self._BASE), powers(pow(self._BASE, -1, 1 << 64))
+        total = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self._pow[: len(b)], out=total[1:])
+        return lambda start, end, kind: mix((total[end] - total[start]) * self._inv[start] + np.uint64(kind * int(_B) & (1 << 64) - 1))
+
+
 def as_array(blob, kind) -> np.ndarray:
     return np.frombuffer(blob, dtype=kind)

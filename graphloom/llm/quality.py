@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, stratified_sample
+from .common import fold_bucket, labelled_sample
 
 #: Labelled documents per class in the training sample.
 PER_CLASS = 2500
@@ -117,19 +117,15 @@ def train(texts: list[str], labels: np.ndarray, prior: float, *, bits=BUCKETS_LO
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, label="quality", mod=4, held=2, per_class=PER_CLASS) -> tuple[np.ndarray, float]:
-    """Train on a bounded sample of the labelled documents outside the held-out fold. Several labels of an id: the largest counts."""
-    lab = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & (fold_bucket(F.col("doc_id"), mod) != held))
-    lab = lab.groupBy("_id").agg(F.max("_y").alias("_y"))
-    prior = lab.agg(F.avg(F.col("_y").cast("double"))).first()[0]
-    chosen = stratified_sample(lab, "_y", "_id", per_class)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text").orderBy("doc_id", F.xxhash64("text")).limit(4 * per_class).toPandas()
-    return train(rows["text"].fillna("").tolist(), rows["_y"].to_numpy(dtype=np.int64), 0.5 if prior is None else prior)
+    """Train on a bounded sample of the labelled documents outside the held-out fold; without labels every score is 0.5."""
+    rows, prior = labelled_sample(documents, labels, label, mod=mod, held=held, per_class=per_class)
+    return train(rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64), 0.5 if prior is None else prior)
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float], *, mod=4, held=2, threshold=THRESHOLD, keep=()) -> DataFrame:
     """doc_id, held_out, score, predicted and the columns of ``keep``, for every row over its whole text.
 
-    A null or empty text has no features and gets the score of the bias. Repeated ids are scored row by row.
+    A null or empty text has no features and gets the score of the bias. Repeated ids and null ids are scored row by row; an empty table gives no rows.
     """
     logits, bias = model
     bits = int(np.log2(len(logits)))
@@ -156,7 +152,10 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def accept(documents: DataFrame, model: tuple[np.ndarray, float], *, threshold=THRESHOLD) -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns as they are."""
+    """The rows whose score reaches the threshold, with all their columns as they are.
+
+    Every row is judged by its text alone, so repeated rows and null ids are as any other; a null or empty text has the score of the bias. An empty table stays empty.
+    """
     logits, bias = model
     bits = int(np.log2(len(logits)))
     least = np.log(threshold / (1 - threshold))

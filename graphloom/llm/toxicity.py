@@ -1,12 +1,12 @@
-"""Operator 2: toxicity from the nearest labelled examples, by exact TF-IDF cosine over an inverted index.
-
-Terms are character n-grams of the lower-cased text, of the sizes in ``SIZES``. All terms of a bounded
-sample of labelled examples make the vocabulary; no term of an example is left out. Document frequencies are
-counted over all documents. Examples are TF-IDF vectors of unit length in an inverted index, each term's idf times its relevance,
-log2(2 + examples of label 1 that hold it / those of label 0), which is at least 1. A query reads all postings of
-its terms: those of the terms that most examples hold as a matrix product, the others posting by posting; the best rows
-are then added up anew in double precision, so its k nearest are exact. Their distance-weighted vote is calibrated by a
-logistic fit on left-one-out votes of the examples themselves. The index grows with the examples' text alone and goes to every task.
+"""Operator 2: toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
+
+Terms are the words of the lower-cased text and their first letters (``PREFIXES`` bytes of longer words), which stand for stems. All terms of a
+bounded sample of labelled examples make the vocabulary; no term of an example is left out. Document frequencies are counted over all documents.
+Examples are TF-IDF vectors of unit length, each term's idf times its relevance factor log2(2 + examples of label 1 that hold
+it / those of label 0), which is at least 1. Their inverted index is searched exactly: postings of the query's rarer terms are added up; for
+the ``HEAVY`` terms of the longest postings each block of examples has the largest weight of each term, which bounds what a block's examples can
+still gain; only examples whose bound reaches the k-th best cosine are completed. The distance-weighted vote of the k nearest is calibrated by a
+logistic fit on left-one-out votes of the examples themselves. The index is bounded by the sample and goes to every task.
 """
 
 from __future__ import annotations
@@ -16,43 +16,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, stratified_sample
+from .common import fold_bucket, labelled_sample
+from .packing import SpanHasher
 
 #: Labelled examples per class in the index.
 PER_CLASS = 1500
-SIZES = (4, 5, 6)
-#: Terms of the most postings, whose part of the cosine is a matrix product. It only saves time.
-DENSE = 8192
+#: Bytes of a word's beginnings that are terms of their own.
+PREFIXES = (4, 6)
+#: Terms of the longest postings, which are bounded by block instead of added up.
+HEAVY = 256
+#: Examples of a block.
+BLOCK = 64
 K = 15
-#: Texts per matrix product.
-BATCH = 64
 _KEEP = np.array([i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256)], dtype=np.uint8).tobytes()
+_SPANS = SpanHasher()
 
 
 def terms_of(text: str | None) -> np.ndarray:
-    """N-grams of a whole text as numbers (bytes, size in the highest byte), with repeats. Other than letters and digits counts as a blank, runs of them as one."""
-    raw = b" " + b" ".join((text or "").lower().encode("utf-8", "replace").translate(_KEEP).split()) + b" "
-    b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
-    out, gram = [], b
-    for k in range(2, max(SIZES) + 1):
-        if len(b) < k:
-            break
-        gram = gram[:-1] | (b[k - 1 :] << np.uint64(8 * (k - 1)))
-        if k in SIZES:
-            out.append(gram | np.uint64(k << 56))
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+    """Terms of a whole text as 64-bit hashes, with repeats: words of letters and digits, and beginnings of longer words."""
+    raw = (text or "").lower().encode("utf-8", "replace").translate(_KEEP)
+    b = np.frombuffer(raw, dtype=np.uint8)
+    solid = np.zeros(len(b) + 2, dtype=np.int8)
+    solid[1:-1] = b != 32
+    edge = np.flatnonzero(np.diff(solid))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, dtype=np.uint64)
+    hasher = _SPANS.of(b)
+    out = [hasher(start, end, 0)]
+    for k in PREFIXES:
+        longer = start[end - start > k]
+        out.append(hasher(longer, longer + k, k))
+    return np.concatenate(out)
 
 
 class Vocabulary:
     """All terms of some texts, in order; a term's position is its number."""
 
     def __init__(self, texts):
-        terms, held = np.empty(0, dtype=np.uint64), []
-        for i, t in enumerate(texts, 1):
-            held.append(np.unique(terms_of(t)))
-            if i % 256 == 0:
-                terms, held = np.unique(np.concatenate([terms, *held])), []
-        self.terms = np.unique(np.concatenate([terms, *held]))
+        held = [np.unique(terms_of(t)) for t in texts]
+        self.terms = np.unique(np.concatenate(held)) if held else np.empty(0, dtype=np.uint64)
 
     def __len__(self) -> int:
         return len(self.terms)
@@ -68,103 +71,95 @@ class Vocabulary:
 
 
 class Index:
-    """Inverted index of unit TF-IDF vectors, in one block: the postings of term t are ``ptr[t]`` to ``ptr[t + 1]``."""
+    """Block-max inverted index of unit TF-IDF vectors: the postings of term t are ``ptr[t]`` to ``ptr[t + 1]``.
 
-    blocks = 1
+    Examples are kept by label and by their strongest heavy term, so that a block's examples are alike.
+    """
 
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids, texts, y):
         self.vocabulary = vocabulary
-        self._made_of = idf, ids, texts, y
-        self.idf = idf.astype(np.float64)
-        self.y, self.ids = np.asarray(y, dtype=np.float64), np.asarray(ids)
-        held = np.zeros((2, len(vocabulary)), dtype=np.int64)
-        for t, label in zip(texts, y, strict=True):
-            held[int(label), vocabulary.of(t)[0]] += 1
-        n = held.sum(axis=0)
+        y = np.asarray(y, dtype=np.float64)
+        held = [vocabulary.of(t) for t in texts]
+        n = np.zeros((2, len(vocabulary)), dtype=np.int64)
+        for (t, _), label in zip(held, y, strict=True):
+            n[int(label), t] += 1
         # relevance: a term typical of label 1 counts for more, none for less than 1
-        self.idf *= np.log2(2 + held[1] / np.maximum(held[0], 1))
+        self.idf = idf.astype(np.float64) * np.log2(2 + n[1] / np.maximum(n[0], 1))
+        n = n.sum(axis=0)
+        heavy = np.sort(np.argsort(-n, kind="stable")[:HEAVY])
+        self.column = np.full(len(vocabulary), -1, dtype=np.int32)
+        self.column[heavy] = np.arange(len(heavy))
+        vectors = [self._unit(*h) for h in held]
+        strongest = [int(self.column[t][np.argmax(np.where(self.column[t] >= 0, w, -1))]) if len(t) else -1 for t, w in vectors]
+        self.order = np.lexsort((strongest, y))
+        self.y, self.ids = y[self.order], np.asarray(ids)[self.order]
+        vectors = [vectors[i] for i in self.order]
         self.ptr = np.concatenate([[0], np.cumsum(n)])
-        self.row, self.w = np.empty(self.ptr[-1], dtype=np.int32), np.empty(self.ptr[-1], dtype=np.float32)
+        self.row, self.w = np.empty(self.ptr[-1], dtype=np.int32), np.empty(self.ptr[-1])
         free = self.ptr[:-1].copy()
-        for i, text in enumerate(texts):
-            t, w = self.vector(text)
+        for i, (t, w) in enumerate(vectors):
             self.row[free[t]], self.w[free[t]] = i, w
             free[t] += 1
-        self.heavy = np.sort(np.argsort(-n, kind="stable")[:DENSE])
+        self.dense = np.zeros((len(y), len(heavy)))
+        for c, t in enumerate(heavy.tolist()):
+            at = slice(self.ptr[t], self.ptr[t + 1])
+            self.dense[self.row[at], c] = self.w[at]
+        self.block = np.arange(len(y)) // BLOCK
+        self.most = np.stack([self.dense[lo : lo + BLOCK].max(axis=0) for lo in range(0, len(y), BLOCK)], axis=1)
         self.a, self.b = 1.0, 0.0
-        self._table = None
-
-    def __getstate__(self):
-        """What the index is made of is a tenth of its size: workers build it again."""
-        return self._made_of, self.a, self.b
 
-    def __setstate__(self, state):
-        made_of, a, b = state
-        self.__init__(Vocabulary(made_of[2]), *made_of)
-        self.a, self.b = a, b
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        t, c = self.vocabulary.of(text)
+    def _unit(self, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(c)) * self.idf[t]
         norm = np.sqrt((w * w).sum())
         return t, w / norm if norm > 0 else w
 
-    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """(column of each term in the product or -1, examples' weights in those columns)."""
-        if self._table is None:
-            column = np.full(len(self.vocabulary), -1, dtype=np.int32)
-            column[self.heavy] = np.arange(len(self.heavy))
-            dense = np.zeros((len(self.y), len(self.heavy)), dtype=np.float32)
-            for i, t in enumerate(self.heavy.tolist()):
-                at = slice(self.ptr[t], self.ptr[t + 1])
-                dense[self.row[at], i] = self.w[at]
-            self._table = column, dense
-        return self._table
-
-    def nearest_of(self, vectors, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per vector, rows and cosines of the k nearest examples with a positive cosine: exact, ties by row."""
-        column, dense = self._tables()
-        out = []
-        for lo in range(0, len(vectors), BATCH):
-            some = vectors[lo : lo + BATCH]
-            q = np.zeros((len(some), len(self.heavy)))
-            for i, (t, w) in enumerate(some):
-                c = column[t]
-                q[i, c[c >= 0]] = w[c >= 0]
-            product = q.astype(np.float32) @ dense.T
-            for (t, w), x, about in zip(some, q, product, strict=True):
-                rare = column[t] < 0
-                start, n = self.ptr[t[rare]], self.ptr[t[rare] + 1] - self.ptr[t[rare]]
-                at = np.repeat(start - (np.cumsum(n) - n), n)
-                at += np.arange(len(at))
-                rest = np.bincount(self.row[at], weights=self.w[at] * np.repeat(w[rare], n), minlength=len(self.y))
-                # single precision only proposes: the rows near the k-th best are added up anew
-                cos = about + rest
-                least = np.partition(cos, -k)[-k] - 1e-4 if len(cos) > k else 0.0
-                rows = np.flatnonzero((cos > 0) & (cos >= least))
-                cos = dense[rows].astype(np.float64) @ x + rest[rows]
-                best = np.lexsort((rows, -cos))[:k]
-                out.append((rows[best], cos[best]))
-        return out
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return self._unit(*self.vocabulary.of(text))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        return self.nearest_of([(t, w)], k)[0]
+        """Rows and cosines of the k nearest examples with a positive cosine: exact, ties by row."""
+        column = self.column[t]
+        rare = column < 0
+        start, n = self.ptr[t[rare]], self.ptr[t[rare] + 1] - self.ptr[t[rare]]
+        at = np.repeat(start - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        cos = np.bincount(self.row[at], weights=self.w[at] * np.repeat(w[rare], n), minlength=len(self.y))
+        q = np.zeros(self.dense.shape[1])
+        q[column[~rare]] = w[~rare]
+        bound = cos + (q @ self.most)[self.block]
+        if len(bound) > 2 * k:
+            sure = np.argpartition(bound, -2 * k)[-2 * k :]
+            least = np.partition(cos[sure] + self.dense[sure] @ q, -k)[-k]
+            rows = np.flatnonzero(bound >= least - 1e-9)
+        else:
+            rows = np.arange(len(bound))
+        cos = cos[rows] + self.dense[rows] @ q
+        best = np.lexsort((rows, -cos))[:k]
+        best = best[cos[best] > 0]
+        return rows[best], cos[best]
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
-        """Share of label 1 among the neighbours, weighted by squared cosines; 0 without neighbours."""
-        return float((cos * cos) @ self.y[rows] / (cos @ cos)) if len(rows) else 0.0
+        """Share of label 1 among the neighbours, weighted by the inverse of their distance 1 - cosine; 0 without neighbours."""
+        weight = 1 / np.maximum(1 - cos, 1e-3)
+        return float(weight @ self.y[rows] / weight.sum()) if len(rows) else 0.0
 
     def calibrate(self, texts, prior: float, k: int = K) -> "Index":
-        """Fit score = sigmoid(a * logit(vote) + b) on left-one-out votes, classes reweighted to ``prior``."""
-        v, y, wt = [], [], []
-        share = float(np.clip(self.y.mean(), 1e-3, 1 - 1e-3)) if len(self.y) else 0.5
-        for i, (rows, cos) in enumerate(near for lo in range(0, len(texts), BATCH) for near in self.nearest_of([*map(self.vector, texts[lo : lo + BATCH])], k + 1)):
-            other = rows != i
+        """Fit score = sigmoid(a * logit(vote) + b) on votes of the examples, classes reweighted to ``prior``.
+
+        Neither an example nor its twins (other rows of its id, equal texts) are among its own neighbours.
+        """
+        texts = [texts[i] for i in self.order]
+        twin = np.unique(np.array([hash(t) for t in texts]), return_inverse=True)[1]
+        most = int(np.bincount(twin).max()) + int(np.unique(self.ids, return_counts=True)[1].max())
+        v, wt = [], []
+        share = float(np.clip(self.y.mean(), 1e-3, 1 - 1e-3))
+        for i, text in enumerate(texts):
+            rows, cos = self.nearest(*self.vector(text), k + most)
+            other = (twin[rows] != twin[i]) & (self.ids[rows] != self.ids[i])
             v.append(self.vote(rows[other][:k], cos[other][:k]))
-            y.append(self.y[i])
             wt.append(prior / share if self.y[i] else (1 - prior) / (1 - share))
         x = self._logit(np.array(v))
-        y, wt = np.array(y), np.array(wt)
+        y, wt = self.y, np.array(wt)
         a, b = 1.0, 0.0
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -178,16 +173,16 @@ class Index:
 
     @staticmethod
     def _logit(v):
-        v = np.clip(v, 1e-4, 1 - 1e-4)
+        v = np.clip(v, 1e-2, 1 - 1e-2)
         return np.log(v / (1 - v))
 
     def score(self, texts) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """Score, rows and cosines of each text."""
         out = []
-        for lo in range(0, len(texts), BATCH):
-            for rows, cos in self.nearest_of([*map(self.vector, texts[lo : lo + BATCH])]):
-                z = self.a * float(self._logit(np.array(self.vote(rows, cos)))) + self.b
-                out.append((float(1 / (1 + np.exp(-np.clip(z, -40, 40)))), rows, cos))
+        for text in texts:
+            rows, cos = self.nearest(*self.vector(text))
+            z = self.a * float(self._logit(np.array(self.vote(rows, cos)))) + self.b
+            out.append((float(1 / (1 + np.exp(-np.clip(z, -40, 40)))), rows, cos))
         return out
 
 
@@ -215,17 +210,11 @@ def document_frequencies(documents: DataFrame, vocabulary: Vocabulary) -> tuple[
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, mod=5, held=0, per_class=PER_CLASS) -> Index | None:
-    """Index and calibration from a bounded sample outside the held-out fold; None without labels. Several labels of an id: the largest counts."""
-    lab = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & (fold_bucket(F.col("doc_id"), mod) != held))
-    lab = lab.groupBy("_id").agg(F.max("_y").alias("_y"))
-    prior = lab.agg(F.avg(F.col("_y").cast("double"))).first()[0]
-    if prior is None:
-        return None
-    chosen = stratified_sample(lab, "_y", "_id", per_class)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text").orderBy("doc_id", F.xxhash64("text")).limit(4 * per_class).toPandas()
-    texts, y = rows["text"].fillna("").tolist(), rows["_y"].to_numpy(dtype=np.int64)
-    if not len(y):
+    """Index and calibration from a bounded sample outside the held-out fold; None without labels. Rows given twice count once."""
+    rows, prior = labelled_sample(documents, labels, "toxic", mod=mod, held=held, per_class=per_class)
+    if rows.empty:
         return None
+    texts, y = rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64)
     vocabulary = Vocabulary(texts)
     df, n = document_frequencies(documents, vocabulary)
     index = Index(vocabulary, np.log((n + 1) / (df + 1)) + 0.1, rows["doc_id"].to_numpy(), texts, y)
@@ -236,7 +225,7 @@ def score(documents: DataFrame, index: Index | None, *, mod=5, held=0, threshold
     """doc_id, held_out, score, predicted, and as evidence the nearest examples (ids and cosines), for every row.
 
     Texts without a term of any example (empty and null ones too) have no neighbour: their vote is 0, calibrated
-    as any other. Without labels every score is 0.
+    as any other. Without labels every score is 0. Repeated rows and null ids are scored row by row; an empty table gives no rows; other columns are ignored.
     """
     d = documents.select("doc_id", fold_bucket(F.col("doc_id"), mod).eqNullSafe(F.lit(held)).alias("held_out"), F.col("text").alias("_text"))
 

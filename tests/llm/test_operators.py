@@ -200,7 +200,7 @@ def test_token_shards_round_trip(spark, tmp_path):
     got = sorted(seqs.collect(), key=lambda r: r["slot"])
     assert [r["slot"] for r in got] == list(range(len(got))) and all(len(r["tokens"]) == 128 for r in got)
     path = f"file://{tmp_path}/shards"
-    manifest = tokens.write_shards(seqs, path).cache()
+    manifest = tokens.write_shards(tokens.pack_shards(seqs), path).cache()
     assert manifest.count() == -(-len(got) // 8)
     assert list(tokens.read_slots(path, manifest, 3, 11)) == [bytes(r["tokens"]) for r in got[3:14]]
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(tokens.VOCABULARY, "rb"))}
@@ -308,16 +308,27 @@ def test_toxicity_held_out_and_exact_search(spark):
     h = r[r["held_out"] & r["doc_id"].isin(lab.index)]
     y = h["doc_id"].map(lab)
     assert (h["predicted"] == y).mean() >= 0.93 and h.loc[y == 1, "score"].mean() > h.loc[y == 0, "score"].mean()
+    # brute force: all cosines, the vote and the calibration of every document
     dense = np.zeros((len(index.y), len(index.vocabulary)))
     for t in range(len(index.vocabulary)):
-        at = slice(index.ptr[t * index.blocks], index.ptr[(t + 1) * index.blocks])
+        at = slice(index.ptr[t], index.ptr[t + 1])
         dense[index.row[at], t] = index.w[at]
-    for text in [x["text"] for x in d.limit(60).collect()]:
-        t, w = index.vector(text)
+    assert np.allclose((dense * dense).sum(axis=1)[dense.any(axis=1)], 1)
+    scores = r.drop_duplicates("doc_id").set_index("doc_id")["score"]
+    for x in d.collect():
+        t, w = index.vector(x["text"])
         cos = dense[:, t] @ w
+        best = np.lexsort((np.arange(len(cos)), -cos))[: toxicity.K]
+        best = best[cos[best] > 0]
         rows, got = index.nearest(t, w)
-        best = np.sort(cos[cos > 0])[::-1][: toxicity.K]
-        assert np.allclose(got, best) and np.allclose(cos[rows], got)
+        assert np.allclose(got, cos[best]) and np.allclose(cos[rows], got)
+        weight = 1 / np.maximum(1 - cos[best], 1e-3)
+        vote = min(max(float(weight @ index.y[best] / weight.sum()) if len(best) else 0.0, 0.01), 0.99)
+        assert abs(scores[x["doc_id"]] - 1 / (1 + np.exp(-(index.a * np.log(vote / (1 - vote)) + index.b)))) < 1e-6
+        # a document that shares a term with an example has a neighbour
+        assert bool(len(rows)) == bool(len(t))
+    twice = toxicity.fit(d.unionAll(d), labels.unionAll(labels))
+    assert len(twice.y) == len(index.y) and (twice.a, twice.b) == pytest.approx((index.a, index.b), rel=0.05, abs=0.05)
     assert toxicity.fit(d, labels.limit(0)) is None and toxicity.score(d, None).where("score <> 0").count() == 0
 
 
@@ -326,6 +337,7 @@ def test_toxicity_cosine_takes_all_terms(spark):
     d = docs(spark, [(i, " ".join(words(30, i // 2))) for i in range(40)])
     index = toxicity.fit(d, spark.createDataFrame([(i, 0, i // 2 % 2) for i in range(40)], "doc_id long, quality int, toxic int"), held=-1)
     known = {int(x) for x in index.vocabulary.terms}
+    assert len(index.y) == 40
     for r in d.collect():
         assert known.issuperset(toxicity.terms_of(r["text"]).tolist())
         rows, cos = index.nearest(*index.vector(r["text"]), 2)
