@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 
 import numpy as np
@@ -16,6 +15,10 @@ from pyspark.sql import functions as F
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Setting by which Spark deletes a query's shuffle files when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a warehouse folder where the setting is unset (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -32,7 +35,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Written tables in the shared checkpoint folder. They cut lineage and survive lost executors.
 
-    Tables stay until :meth:`drop`, or until the application ends.
+    Shuffle files of a writing are deleted at its end. Tables stay until :meth:`drop`, or until the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -47,8 +50,13 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return it read back with the same schema."""
-        path = self.path(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        path, conf = self.path(name), self.spark.conf
+        before = conf.get(SHUFFLE_CLEANUP, None)
+        conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._graphloom_path = path
         return out
@@ -58,11 +66,6 @@ class Scratch:
             if path := getattr(t, "_graphloom_path", None):
                 remove_path(self.spark, path)
 
-    def free(self) -> None:
-        """Let Spark delete the shuffle files of finished jobs now: it does so when the driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:

@@ -348,7 +348,6 @@ def jaccard_join(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", tex
     pairs = scratch.write(met.where("kind = 0").select("a", "b").distinct(), "pairs")
     crowded = scratch.write(met.where("kind = 1").select("cell", F.col("a").alias("cls"), "n").distinct(), "crowded")
     scratch.drop(met)
-    scratch.free()
 
     # a crowded cell goes to the group of the class with the largest share of crowded cells
     central = scratch.write(crowded.groupBy("cls").agg((F.count("*") / F.first("n")).alias("share")), "central")
@@ -396,7 +395,6 @@ def jaccard_join(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", tex
     dealt = dealt.join(reps.select("cls", "node", "copies"), "cls").join(sets.select("cls", F.col("data").alias("members")), "cls").select("g", "p.bi", "p.bj", "block", "seen", "node", "copies", "members")
     found = scratch.write(dealt.groupBy("g", "bi", "bj").applyInPandas(_compare, "kind int, node long, other long"), "found")
     scratch.drop(sets)
-    scratch.free()
 
     edges = links.select(F.col("va").alias("a"), F.col("vb").alias("b")).unionAll(found.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")))
     comps = connected_components(edges, scratch)

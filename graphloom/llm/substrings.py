@@ -199,7 +199,6 @@ def repeated_windows(documents: DataFrame, scratch: Scratch, *, id_col="doc_id",
     for level, length in enumerate(levels):
         last = length * 2 == window
         held = scratch.write(places, f"places{length}")
-        scratch.free()
         again = d.join(held, ["_id", "_h"]).select("_id", "_h", "_text", "places").toDF("_0", "_1", "_2", "_3")
 
         def longer(row, length=length, level=level):
@@ -249,7 +248,6 @@ def remove_repeats(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", t
     """
     places = repeated_windows(documents, scratch, id_col=id_col, text_col=text_col, window=window, base=base)
     spans = scratch.write(places, "repeats")
-    scratch.free()
     d = _keyed(documents, id_col, text_col).join(spans, ["_id", "_h"], "left").select("_id", "_text", "places")
 
     def run(batches):

@@ -18,7 +18,7 @@ import functools
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -149,63 +149,100 @@ def tokenize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, s
 
     def number(batches):
         now, at = None, 0
-        for pdf in batches:
-            first = np.empty(len(pdf), dtype=np.int64)
-            n = pdf["sequences"].to_numpy()
-            for p, lo, hi in slices(pdf["part"].to_numpy()):
+        for batch in batches:
+            n = batch.column("sequences").to_numpy()
+            first = np.empty(len(n), dtype=np.int64)
+            for p, lo, hi in slices(batch.column("part").to_numpy()):
                 if p != now:
                     now, at = p, 0
                 first[lo:hi] = at + np.cumsum(n[lo:hi]) - n[lo:hi]
                 at += int(n[lo:hi].sum())
-            yield pd.DataFrame({"part": pdf["part"], "first": first, "id": pdf["id"].astype("Int64"), "sequences": n, "tokens": pdf["tokens"]})
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(first), *(batch.column(c) for c in ("id", "sequences", "tokens"))], ["part", "first", "id", "sequences", "tokens"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.drop("text").schema)
     t = d.mapInPandas(run, f"{fields}, sequences long, tokens binary")
     t = t.repartitionById(parts, "part").sortWithinPartitions("part", *names, "tokens").select("part", "id", "sequences", "tokens")
-    return scratch.write(t.mapInPandas(number, "part int, first long, id long, sequences long, tokens binary"), "tokens")
+    return scratch.write(t.mapInArrow(number, "part int, first long, id long, sequences long, tokens binary"), "tokens")
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Where the values of a binary column start in its data, and the end of the last."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
-def materialize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, sequence=SEQUENCE, shard_rows=SHARD_ROWS, key=KEY, id_col="doc_id", text_col="text", order=None, segment=None) -> DataFrame:
+def _binary(offsets: np.ndarray, data) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), data]).cast(pa.binary())
+
+
+def sequences(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, sequence=SEQUENCE, shard_rows=SHARD_ROWS, key=KEY, id_col="doc_id", text_col="text", order=None, segment=None) -> DataFrame:
     """One row per sequence (shard, slot, id, seq, n_tokens, tokens), in ranges of whole shards and sorted by slot.
 
-    ``tokens`` has the fixed stride of ``sequence`` ids, little-endian, padded with the end mark. Slots are 0 to N - 1, each once. They
-    depend on the rows and the key alone. An empty table gives no rows.
+    ``tokens`` are ids, little-endian, not padded yet. Slots are 0 to N - 1, each once. They depend on the rows and the key
+    alone. An empty table gives no rows.
     """
     t = tokenize(documents, scratch, vocabulary=vocabulary, sequence=sequence, id_col=id_col, text_col=text_col, order=order)
-    scratch.free()
     sizes = {r["part"]: r["n"] for r in t.groupBy("part").agg(F.sum("sequences").alias("n")).collect()}  # a row for each partition of the order
     base = np.zeros(max(sizes, default=-1) + 2, dtype=np.int64)
     for p, n in sizes.items():
         base[p + 1] = n
     base = np.cumsum(base)
     total = int(base[-1])
-    with open(vocabulary, "rb") as f:
-        end = max(int(line.split()[1]) for line in f if line.strip()) + 1
-    kind = np.uint16 if end < 1 << 16 else np.uint32
-    width = np.dtype(kind).itemsize
-    pad, stride = np.array([end], dtype=kind).tobytes(), sequence * width
+    width = np.dtype(_kind_and_end(vocabulary)[0]).itemsize
+    stride = sequence * width
 
     def run(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                p = pdf.iloc[lo : lo + 500]
-                n = p["sequences"].to_numpy()
-                seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                slot = permute_segments(np.repeat(base[p["part"].to_numpy()] + p["first"].to_numpy(), n) + seq, total, key, segment)
-                blobs, used = [], []
-                for b in p["tokens"]:
-                    for at in range(0, len(b), stride):
-                        x = b[at : at + stride]
-                        used.append(len(x) // width)
-                        blobs.append(bytes(x) if len(x) == stride else bytes(x) + pad * ((stride - len(x)) // width))
-                yield pd.DataFrame({"shard": slot // shard_rows, "slot": slot, id_col: np.repeat(p["id"].astype("Int64").array, n), "seq": seq, "n_tokens": np.array(used, dtype=np.int32), "tokens": blobs})
-
-    out = t.mapInPandas(run, f"shard long, slot long, {id_col} long, seq long, n_tokens int, tokens binary")
+        for batch in batches:
+            n = batch.column("sequences").to_numpy()
+            if not len(n):
+                continue
+            seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            slot = permute_segments(np.repeat(base[batch.column("part").to_numpy()] + batch.column("first").to_numpy(), n) + seq, total, key, segment)
+            at = _offsets(batch.column("tokens"))
+            # the texts' ids lie one after the other: cutting them moves no data
+            cut = np.append(np.repeat(at[:-1], n) + seq * stride, at[-1])
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_rows), pa.array(slot), ids, pa.array(seq), pa.array((np.diff(cut) // width).astype(np.int32)), _binary(cut, batch.column("tokens").buffers()[2])], ["shard", "slot", id_col, "seq", "n_tokens", "tokens"])
+
+    out = t.mapInArrow(run, f"shard long, slot long, {id_col} long, seq long, n_tokens int, tokens binary")
     out = _in_ranges(out, -(-total // shard_rows)).sortWithinPartitions("shard", "slot")
     out._graphloom_path = t._graphloom_path
     return out
 
 
+@functools.lru_cache(maxsize=8)
+def _kind_and_end(vocabulary: str) -> tuple[type, int]:
+    """Type of the ids of a vocabulary file, and its end mark: the first free id."""
+    with open(vocabulary, "rb") as f:
+        end = max(int(line.split()[1]) for line in f if line.strip()) + 1
+    return (np.uint16 if end < 1 << 16 else np.uint32), end
+
+
+def _padded(data, used: np.ndarray, sequence: int, kind, end: int) -> bytes:
+    """Sequences of the given numbers of ids at a fixed stride, filled with the end mark."""
+    out = np.full((len(used), sequence), end, dtype=kind)
+    out[np.arange(sequence)[None, :] < used[:, None]] = np.frombuffer(data, dtype=kind)
+    return out.tobytes()
+
+
+def materialize(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, sequence=SEQUENCE, **options) -> DataFrame:
+    """:func:`sequences` with ``tokens`` at the fixed stride of ``sequence`` ids, padded with the end mark."""
+    kind, end = _kind_and_end(vocabulary)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column, used = batch.column("tokens"), batch.column("n_tokens").to_numpy()
+            at = _offsets(column)
+            data = _padded(column.buffers()[2][at[0] : at[-1]], used, sequence, kind, end)
+            stride = sequence * np.dtype(kind).itemsize
+            yield batch.set_column(batch.schema.get_field_index("tokens"), "tokens", _binary(np.arange(len(used) + 1) * stride, pa.py_buffer(data)))
+
+    rows = sequences(documents, scratch, vocabulary=vocabulary, sequence=sequence, **options)
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _in_ranges(rows: DataFrame, shards: int) -> DataFrame:
     """Deal ranges of whole shards to tasks, in order. Slots are dense, so the bounds are known without sampling."""
     parts = default_partitions(rows.sparkSession)
@@ -216,57 +253,69 @@ def _in_ranges(rows: DataFrame, shards: int) -> DataFrame:
 _ORIGIN = np.dtype([("known", "<i1"), ("id", "<i8"), ("seq", "<i8"), ("n_tokens", "<i4")])
 
 
-def pack_shards(sequences: DataFrame, *, id_col="doc_id") -> DataFrame:
-    """One row per shard of :func:`materialize`: (shard, first_slot, rows, stride, data, origin), bytes as they go to its two files.
+def pack_shards(rows: DataFrame, *, id_col="doc_id") -> DataFrame:
+    """One row per shard of :func:`sequences`: (shard, first_slot, rows, data, origin), ids one after the other and where they come from.
 
-    It must follow :func:`materialize` directly, whose partitions hold whole shards in order. No rows give no shards.
+    It must follow :func:`sequences` directly, whose partitions hold whole shards in order. No rows give no shards.
     """
+    names = ["shard", "first_slot", "rows", "data", "origin"]
 
     def run(batches):
-        held: list[tuple] = []
+        now, first, data, origin = None, 0, [], []
 
         def row():
-            data, origin = b"".join(x[2] for x in held), np.array([x[3] for x in held], dtype=_ORIGIN).tobytes()
-            out = pd.DataFrame({"shard": [held[0][0]], "first_slot": [held[0][1]], "rows": [len(held)], "stride": [len(held[0][2])], "data": [data], "origin": [origin]})
-            held.clear()
-            return out
-
-        for pdf in batches:
-            known, ids = pdf["known"].tolist(), pdf["id"].tolist()
-            for shard, slot, b, *origin in zip(pdf["shard"], pdf["slot"], pdf["tokens"], known, ids, pdf["seq"], pdf["n_tokens"], strict=True):
-                if held and held[0][0] != shard:
-                    yield row()
-                held.append((shard, slot, bytes(b), tuple(origin)))
-        if held:
+            whole = np.concatenate(origin)
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([first]), pa.array([len(whole)]), pa.array([b"".join(data)], pa.binary()), pa.array([whole.tobytes()], pa.binary())], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, slot = batch.column("id"), batch.column("slot").to_numpy()
+            at, raw = _offsets(batch.column("tokens")), memoryview(batch.column("tokens").buffers()[2])
+            about = np.empty(batch.num_rows, dtype=_ORIGIN)
+            about["known"], about["id"] = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            about["seq"], about["n_tokens"] = batch.column("seq").to_numpy(), batch.column("n_tokens").to_numpy()
+            for shard, lo, hi in slices(batch.column("shard").to_numpy()):
+                if shard != now:
+                    if now is not None:
+                        yield row()
+                    now, first, data, origin = shard, int(slot[lo]), [], []
+                data.append(bytes(raw[at[lo] : at[hi]]))
+                origin.append(about[lo:hi])
+        if now is not None:
             yield row()
 
-    rows = sequences.select("shard", "slot", "tokens", F.col(id_col).isNotNull().alias("known"), F.coalesce(id_col, F.lit(0)).cast("long").alias("id"), "seq", "n_tokens")
-    return rows.mapInPandas(run, "shard long, first_slot long, rows long, stride long, data binary, origin binary")
+    some = rows.select("shard", "slot", F.col(id_col).cast("long").alias("id"), "seq", "n_tokens", "tokens")
+    return some.mapInArrow(run, "shard long, first_slot long, rows long, data binary, origin binary")
 
 
-def write_shards(packed: DataFrame, path: str) -> DataFrame:
+def write_shards(packed: DataFrame, path: str, *, vocabulary=VOCABULARY, sequence=SEQUENCE) -> DataFrame:
     """Write the shards of :func:`pack_shards` as flat binary files into a folder that all executors share; return (shard, first_slot, rows, stride, sha256).
 
-    A file holds its slots in order at a fixed stride; a smaller one beside it says in the same order where each came from. A file is written under another name and renamed, so a task that is run again
-    replaces it whole. ``path`` is a URI that pyarrow can open (file, hdfs, s3). No shards, no files.
+    A file holds its slots in order at the fixed stride of ``sequence`` ids, padded with the end mark; a smaller one beside it says in the same order
+    where each came from. A file is written under another name and renamed, so a task that is run again replaces it whole. ``path`` is a URI that
+    pyarrow can open (file, hdfs, s3). No shards, no files.
     """
     stamp = hashlib.blake2b(path.encode(), digest_size=4).hexdigest()
+    kind, end = _kind_and_end(vocabulary)
+    stride = sequence * np.dtype(kind).itemsize
 
     def run(batches):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                for kind, what in (("idx", r.origin), ("bin", r.data)):
-                    tmp = f"{root}/.{stamp}-{r.shard}-{TaskContext.get().taskAttemptId()}.{kind}"
+        for batch in batches:
+            for r in batch.to_pylist():
+                data = _padded(r["data"], np.frombuffer(r["origin"], dtype=_ORIGIN)["n_tokens"], sequence, kind, end)
+                for suffix, what in (("idx", r["origin"]), ("bin", data)):
+                    tmp = f"{root}/.{stamp}-{r['shard']}-{TaskContext.get().taskAttemptId()}.{suffix}"
                     with store.open_output_stream(tmp) as f:
                         f.write(what)
-                    store.move(tmp, f"{root}/shard-{r.shard:08d}.{kind}")
-            yield pdf[["shard", "first_slot", "rows", "stride"]].assign(sha256=[hashlib.sha256(x).hexdigest() for x in pdf["data"]])
+                    store.move(tmp, f"{root}/shard-{r['shard']:08d}.{suffix}")
+                yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "first_slot": r["first_slot"], "rows": r["rows"], "stride": stride, "sha256": hashlib.sha256(data).hexdigest()}])
 
-    return packed.mapInPandas(run, "shard long, first_slot long, rows long, stride long, sha256 string")
+    return packed.mapInArrow(run, "shard long, first_slot long, rows long, stride long, sha256 string")
 
 
 def read_slots(path: str, manifest: DataFrame, start: int, count: int):
@@ -290,34 +339,32 @@ def read_shards(path: str, manifest: DataFrame, *, id_col="doc_id") -> DataFrame
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                with store.open_input_file(f"{root}/shard-{r.shard:08d}.bin") as f:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with store.open_input_file(f"{root}/shard-{r['shard']:08d}.bin") as f:
                     data = f.read()
-                with store.open_input_file(f"{root}/shard-{r.shard:08d}.idx") as f:
+                with store.open_input_file(f"{root}/shard-{r['shard']:08d}.idx") as f:
                     origin = np.frombuffer(f.read(), dtype=_ORIGIN)
-                if len(origin) != r.rows or hashlib.sha256(data).hexdigest() != r.sha256:
-                    raise OSError(f"shard {r.shard} is not what was written")
-                ids = pd.array(np.where(origin["known"] == 1, origin["id"], 0), dtype="Int64")
-                ids[origin["known"] == 0] = pd.NA
-                for lo in range(0, r.rows, 1000):
-                    at = slice(lo, min(lo + 1000, r.rows))
-                    yield pd.DataFrame({"shard": r.shard, "slot": r.first_slot + np.arange(at.start, at.stop), id_col: ids[at], "seq": origin["seq"][at], "n_tokens": origin["n_tokens"][at], "tokens": [data[i * r.stride : (i + 1) * r.stride] for i in range(at.start, at.stop)]})
+                if len(origin) != r["rows"] or hashlib.sha256(data).hexdigest() != r["sha256"]:
+                    raise OSError(f"shard {r['shard']} is not what was written")
+                n, stride = r["rows"], r["stride"]
+                ids = pa.array(origin["id"], mask=origin["known"] == 0)
+                columns = [pa.array(np.full(n, r["shard"])), pa.array(r["first_slot"] + np.arange(n)), ids, pa.array(origin["seq"]), pa.array(origin["n_tokens"]), _binary(np.arange(n + 1) * stride, pa.py_buffer(data))]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", id_col, "seq", "n_tokens", "tokens"])
 
     shards = (manifest.agg(F.max("shard")).first()[0] or 0) + 1
-    return _in_ranges(manifest, shards).sortWithinPartitions("shard").mapInPandas(run, f"shard long, slot long, {id_col} long, seq long, n_tokens int, tokens binary")
+    return _in_ranges(manifest, shards).sortWithinPartitions("shard").mapInArrow(run, f"shard long, slot long, {id_col} long, seq long, n_tokens int, tokens binary")
 
 
-def through_shards(documents: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """:func:`materialize`, written as shards into the shared folder and read back from them."""
+def through_shards(documents: DataFrame, scratch: Scratch, *, vocabulary=VOCABULARY, sequence=SEQUENCE, id_col="doc_id", **options) -> DataFrame:
+    """The rows of :func:`materialize`, written as shards into the shared folder and read back from them. An empty table gives no rows."""
     path = scratch.path("shards")
-    sequences = materialize(documents, scratch, **options)
-    packed = scratch.write(pack_shards(sequences), "packed")
-    scratch.drop(sequences)
-    scratch.free()
-    manifest = scratch.write(write_shards(packed, path), "manifest")
+    rows = sequences(documents, scratch, vocabulary=vocabulary, sequence=sequence, id_col=id_col, **options)
+    packed = scratch.write(pack_shards(rows, id_col=id_col), "packed")
+    scratch.drop(rows)
+    manifest = scratch.write(write_shards(packed, path, vocabulary=vocabulary, sequence=sequence), "manifest")
     scratch.drop(packed)
-    return read_shards(path, manifest)
+    return read_shards(path, manifest, id_col=id_col)
 
 
 def op4_tokens(spark, sf_dir: str) -> DataFrame:

@@ -200,7 +200,8 @@ def test_token_shards_round_trip(spark, tmp_path):
     got = sorted(seqs.collect(), key=lambda r: r["slot"])
     assert [r["slot"] for r in got] == list(range(len(got))) and all(len(r["tokens"]) == 128 for r in got)
     path = f"file://{tmp_path}/shards"
-    manifest = tokens.write_shards(tokens.pack_shards(seqs), path).cache()
+    plain = tokens.sequences(docs(spark, rows), Scratch(spark, "t"), sequence=64, shard_rows=8)
+    manifest = tokens.write_shards(tokens.pack_shards(plain), path, sequence=64).cache()
     assert manifest.count() == -(-len(got) // 8)
     assert list(tokens.read_slots(path, manifest, 3, 11)) == [bytes(r["tokens"]) for r in got[3:14]]
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(tokens.VOCABULARY, "rb"))}
