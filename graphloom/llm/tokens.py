@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,14 @@ class Tokenizer:
         ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in vocabulary.splitlines() if line)}
         self.end = max(ranks.values()) + 1
         self.kind = np.uint16 if self.end < 1 << 16 else np.uint32
-        self._encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._code = "H" if self.kind is np.uint16 else "I"
+        self._encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         text = text.encode("utf-8", "replace").decode("utf-8")
-        return self._encoding.encode_to_numpy(text, disallowed_special=()).astype(self.kind).tobytes()
+        return array(self._code, self._encode(text)).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
