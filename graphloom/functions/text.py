@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed patterns of the string formats.
+_OCTET, _HEX = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])", "[0-9a-fA-F]{1,4}"
+_V4 = rf"({_OCTET}\.){{3}}{_OCTET}"
+_V6 = "|".join([rf"({_HEX}:){{7}}{_HEX}", rf"({_HEX}:){{1,7}}:", *[rf"({_HEX}:){{{i}}}(:{_HEX}){{1,{7 - i}}}" for i in range(1, 7)], rf":((:{_HEX}){{1,7}}|:)", rf"::([fF]{{4}}(:0{{1,4}})?:)?{_V4}", rf"({_HEX}:){{6}}{_V4}", rf"({_HEX}:){{1,4}}:{_V4}"])
+_BITS4, _BITS6 = "(3[0-2]|[12]?[0-9])", "(12[0-8]|1[01][0-9]|[1-9]?[0-9])"
+#: Patterns of the string formats. A network of IPv6 is written out, ends in ``::`` or is ``::``; eight or fewer groups without a size count too (fixed rule).
 FORMATS = {
     "asn": r"^AS\d{2,6}$",
-    "ip": r"^((\d{1,3}\.){3}\d{1,3}|[0-9a-fA-F:]*:[0-9a-fA-F:]*)$",
-    "ipCidr": r"^((\d{1,3}\.){3}\d{1,3}|[0-9a-fA-F:]*:[0-9a-fA-F:]*)/\d{1,3}$",
+    "ip": rf"^({_V4}|{_V6})$",
+    "ipCidr": rf"^({_V4}/{_BITS4}|(({_HEX}:){{7}}{_HEX}|({_HEX}:){{1,7}}:|::)/{_BITS6}|({_HEX}:){{1,7}}{_HEX})$",
     "email": r"^[^@\s]+@[^@\s]+$",
     "uri": r"^[a-zA-Z][a-zA-Z0-9+.-]*:\S+$",
 }
-#: Tags that become properties of their own.
+#: Tags that become properties of their own (fixed values).
 COMMON_TAGS = ("classification", "owner", "email")
 
 
@@ -23,7 +27,7 @@ def has_format(s: Column, name: str) -> Column:
 
 def is_host(ip: Column) -> Column:
     """Single addresses: /32, or /128 of IPv6. (An IPv6 /32 network counts as one too.)"""
-    return (ip.contains(":") & ip.contains("/128")) | ip.endswith("/32")
+    return (ip.contains(":") & ip.endswith("/128")) | ip.endswith("/32")
 
 
 def is_internet(ip: Column) -> Column:
@@ -46,9 +50,13 @@ def starts_with_number(s: Column) -> Column:
     return s.rlike("^[0-9]")
 
 
+#: Characters that a property name cannot have (fixed set).
+PUNCTUATION = r"[\s!@#$%^&*()\-=+\\|'\";:/?.,><`~\[\]{}]"
+
+
 def sanitize_name(name: Column) -> Column:
-    """A property name for graph stores: ``n`` before a leading digit, punctuation and blanks to underscores."""
-    safe = F.regexp_replace(name, r"[^A-Za-z0-9_]", "_")
+    """A property name for graph stores: ``n`` before a leading digit, punctuation and blanks to underscores; letters of any alphabet stay."""
+    safe = F.regexp_replace(name, PUNCTUATION, "_")
     return F.when(starts_with_number(name), F.concat(F.lit("n"), safe)).otherwise(safe)
 
 
@@ -69,13 +77,26 @@ def split_tags(tags: Column) -> Column:
 
 
 def label_tags(tags: Column) -> Column:
-    """Names of the tags that are labels: value ``true`` or empty."""
-    return F.map_keys(F.map_filter(tags, lambda k, v: F.coalesce(F.lower(v), F.lit("")).isin("", "true")))
+    """Names of the tags that are labels: value ``true`` or empty; a null value is no tag."""
+    return F.map_keys(F.map_filter(tags, lambda k, v: F.lower(v).isin("", "true")))
 
 
 def tag_properties(tags: Column) -> Column:
-    """``tag.<name>`` to value for every tag."""
-    return F.transform_keys(tags, lambda k, v: F.concat(F.lit("tag."), k))
+    """``tag.<name>`` to value for every tag that has one."""
+    return F.transform_keys(F.map_filter(tags, lambda k, v: v.isNotNull()), lambda k, v: F.concat(F.lit("tag."), k))
+
+
+def tag_name(tags: Column) -> Column:
+    """The value of the last tag called ``name`` in any case, unless empty: a display name, and a name where there is none."""
+    found = F.map_values(F.map_filter(tags, lambda k, v: (F.lower(k) == "name") & (v != "")))
+    return F.try_element_at(found, F.lit(-1))
+
+
+def key_value_tags(pairs: Column, fields: tuple[str, str] = ("Key", "Value")) -> Column:
+    """A tag map from an array of (key, value); pairs without a key or with a null value go, later ones win."""
+    k, v = fields
+    kept = F.filter(pairs, lambda p: (F.coalesce(p[k], F.lit("")) != "") & p[v].isNotNull())
+    return F.map_from_entries(F.transform(kept, lambda p: F.struct(p[k].alias("key"), p[v].alias("value"))))
 
 
 def common_tag(tags: Column, name: str) -> Column:

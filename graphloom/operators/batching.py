@@ -68,19 +68,41 @@ def _without_raw(payload: str | None) -> str | None:
     return json.dumps({k: v for k, v in json.loads(payload).items() if k != "_rawData"}, ensure_ascii=False, separators=(",", ":"))
 
 
+def _bytes(x) -> int:
+    return len(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode())
+
+
 def shrink(entities: list[dict], limit: int) -> list[dict]:
-    """Cut the largest raw fields of a batch to ``TRUNCATED`` until its JSON fits; raises when nothing is left to cut."""
-    size = lambda x: len(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode())
+    """Cut raw fields of a batch to ``TRUNCATED`` until its JSON fits; raises when nothing is left to cut.
+
+    Each time it is the largest field of the largest payload of the entity with the most raw data; the first of equals.
+    """
     batch = json.loads(json.dumps(entities))
-    while size(batch) > limit:
-        fields = [(size(v), i, j, k) for i, e in enumerate(batch) for j, r in enumerate(e.get("_rawData", [])) for k, v in r["rawData"].items() if v != "TRUNCATED"]
-        if not fields:
-            raise UploadFailedError("raw data cannot be shrunk further")
-        _, i, j, k = max(fields, key=lambda f: (f[0], -f[1], -f[2]))
-        batch[i]["_rawData"][j]["rawData"][k] = "TRUNCATED"
+    total, cut = _bytes(batch), _bytes("TRUNCATED")
+    raw = [_bytes(e["_rawData"]) if e.get("_rawData") else -1 for e in batch]
+    while total > limit:
+        i = max(range(len(batch)), key=lambda x: raw[x], default=None)
+        if i is None or raw[i] < 0:
+            raise UploadFailedError("payload is too large and cannot shrink")
+        entry = largest_raw_entry(batch[i]["_rawData"])["rawData"] or {}
+        key, size = largest_item(entry)
+        if key is None or size <= cut:
+            raise UploadFailedError("payload is still too large after performing as much shrinking as possible")
+        entry[key] = "TRUNCATED"
+        total, raw[i] = total - size + cut, raw[i] - size + cut
     return batch
 
 
+def largest_raw_entry(raw: list[dict]) -> dict:
+    """The payload of the largest JSON among an entity's raw data, the first of equals."""
+    return max(raw, key=lambda r: _bytes(r.get("rawData")))
+
+
+def largest_item(payload: dict) -> tuple[str | None, int]:
+    """Name and JSON bytes of the largest field, the first of equals."""
+    return max(((k, _bytes(v)) for k, v in payload.items()), key=lambda x: x[1], default=(None, 0))
+
+
 def shrink_batches(rows: DataFrame, batch: str, payload: str, limit: int) -> DataFrame:
     """(batch, payloads, bytes) after :func:`shrink` of each batch; payloads are JSON entities. Batches are bounded by packing."""
 

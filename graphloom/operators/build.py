@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import convert, keys
-from ..model.errors import InvalidRelationshipClassError
+from ..model.errors import InvalidRelationshipClassError, MissingTargetKeyError
 from ..model.registry import Registry, default_registry
 
 #: Source properties from which a creation time is taken, in this order.
@@ -59,18 +59,25 @@ def relationships(pairs: DataFrame, cls: str, *, from_key: Column, to_key: Colum
     return pairs.select(*[c.alias(n) for n, c in cols.items()], F.lit(step).alias("step_id"))
 
 
-def mapped_relationships(rows: DataFrame, cls: str, *, source_key: Column, source_type: str, target: dict[str, Column], filter_keys: list[list[str]] = (("_type", "_key"),), direction: str = "FORWARD", skip: bool = False, step: str = "") -> DataFrame:
+def mapped_relationships(rows: DataFrame, cls: str, *, source_key: Column, source_type: str, target: dict[str, Column], filter_keys: list[list[str]] = (("_type", "_key"),), direction: str = "FORWARD", skip: bool = False, step: str = "", properties: dict[str, Column] | None = None) -> DataFrame:
     """Relationships to targets that are found by properties.
 
-    The key is ``source|class|target`` with the target's own key, or else one made of its filter properties.
+    The key is ``source|class|target`` with the target's own key, or else one made of its filter properties; without either it is an error
+    (MISSING_RELATIONSHIP_TO_KEY). ``properties`` are added; ``_key``, ``_type`` and ``_class`` among them take the place of the computed ones.
     """
     t = F.create_map(*[x for k, v in target.items() for x in (F.lit(k), v.cast("string"))])
     t = F.map_filter(t, lambda k, v: v.isNotNull())
     sets = F.array(*[F.array(*map(F.lit, s)) for s in filter_keys])
+    own = properties or {}
     to_key = F.coalesce(F.try_element_at(t, F.lit("_key")), keys.fallback_target_key(F.lit(direction), sets, t))
     to_type = F.coalesce(F.try_element_at(t, F.lit("_type")), F.lit("mapped_entity"))
+    if "_key" not in own and not filter_keys:
+        to_key = keys.first_present(F.try_element_at(t, F.lit("_key")), code=MissingTargetKeyError.code)
     mapping = F.struct(F.lit(direction).alias("direction"), source_key.cast("string").alias("source_key"), sets.alias("filter_keys"), t.alias("target"), F.lit(skip).alias("skip"))
-    return rows.select(keys.relationship_key(source_key.cast("string"), F.lit(cls), to_key).alias("_key"), keys.relationship_type(F.lit(cls), F.lit(source_type), to_type).alias("_type"), F.lit(cls.upper()).alias("_class"), mapping.alias("_mapping"), F.lit(step).alias("step_id"))
+    cols = {"_key": keys.relationship_key(source_key.cast("string"), F.lit(cls), to_key), "_type": keys.relationship_type(F.lit(cls), F.lit(source_type), to_type), "_class": F.lit(cls.upper()), "_mapping": mapping}
+    for n, c in own.items():
+        cols[n] = F.coalesce(c, cols[n]) if n in cols else c
+    return rows.select(*[c.alias(n) for n, c in cols.items()], F.lit(step).alias("step_id"))
 
 
 def raw_data(entities: DataFrame, name: str = "default", column: str = "_raw") -> Column:

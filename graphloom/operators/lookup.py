@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..model.errors import DuplicateKeyError, GraphError
+
 
 def find_entity(wanted: DataFrame, key: str, entities: DataFrame, normalise=lambda k: k) -> DataFrame:
     """``wanted`` with the columns of the entity of its key (``found_`` before their names), null where there is none."""
@@ -15,7 +19,7 @@ def find_entity(wanted: DataFrame, key: str, entities: DataFrame, normalise=lamb
 
 def has_key(wanted: DataFrame, key: str, objects: DataFrame, normalise=lambda k: k, negate: bool = False) -> DataFrame:
     """The rows whose key is (or, negated, is not) among the keys of entities and relationships."""
-    known = objects.select(normalise(F.col("_key")).alias("_n")).distinct()
+    known = objects.select(normalise(F.col("_key")).alias("_n"))
     return wanted.withColumn("_n", normalise(F.col(key))).join(known, "_n", "left_anti" if negate else "left_semi").drop("_n")
 
 
@@ -31,19 +35,61 @@ def first_and_later(objects: DataFrame, order: list[str], normalise=lambda k: k)
     return r.where("_rn = 1").drop("_rn"), r.where("_rn > 1").drop("_rn")
 
 
+def register_keys(objects: DataFrame, normalise=lambda k: k) -> DataFrame:
+    """The objects, once their keys are known to be distinct; else raises DUPLICATE_KEY_DETECTED with some of the keys. Runs the check."""
+    if again := duplicate_keys(objects, normalise).orderBy("key").limit(5).collect():
+        raise DuplicateKeyError(f"duplicate keys, such as {[r['key'] for r in again]}")
+    return objects
+
+
 def duplicate_report(objects: DataFrame, order: list[str], properties: list[str], raw: str | None = None) -> DataFrame:
-    """Each later row of a key against its first: whether properties and raw data are equal, and which properties differ."""
-    first = objects.groupBy("_key").agg(F.min_by(F.struct(*[c for c in (*order, *properties, *([raw] if raw else []))]), F.struct(*order)).alias("_o"), F.count("*").alias("_n")).where("_n > 1")
-    d = objects.join(first, "_key").where(F.struct(*order) > F.struct(*[F.col(f"_o.{c}") for c in order]))
+    """Each later row of a key against its first: whether properties and raw data are equal, and which properties differ.
+
+    Rows tied in ``order`` go by their other columns, so exact copies are reported too. Keys are counted first, without their rows; only rows of repeated
+    keys are sorted.
+    """
+    again = objects.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    values = [*order, *properties, *([raw] if raw else [])]
+    by = W.partitionBy("_key").orderBy(*dict.fromkeys(values))
+    d = objects.join(again, "_key", "left_semi").withColumn("_o", F.first(F.struct(*dict.fromkeys(values))).over(by)).withColumn("_rn", F.row_number().over(by)).where("_rn > 1")
     differs = F.array_compact(F.array(*[F.when(~F.col(p).eqNullSafe(F.col(f"_o.{p}")), F.lit(p)) for p in properties]))
     same_raw = F.col(raw).eqNullSafe(F.col(f"_o.{raw}")) if raw else F.lit(True)
     return d.select("_key", *[F.col(c).alias(f"duplicate_{c}") for c in order], *[F.col(f"_o.{c}").alias(f"original_{c}") for c in order], (F.size(differs) == 0).alias("properties_match"), same_raw.alias("raw_data_match"), differs.alias("differing"))
 
 
 def property_diff(pairs: DataFrame, properties: list[str], left: str = "a", right: str = "b", keep: list[str] = ()) -> DataFrame:
-    """(keep, path, kind) per differing property of two structs: missing_in_original, missing_in_duplicate or value_mismatch."""
-    one = lambda p: F.struct(F.lit(p).alias("path"), F.when(F.col(f"{left}.{p}").eqNullSafe(F.col(f"{right}.{p}")), F.lit(None).cast("string")).when(F.col(f"{left}.{p}").isNull(), "missing_in_original").when(F.col(f"{right}.{p}").isNull(), "missing_in_duplicate").otherwise("value_mismatch").alias("kind"))
-    return pairs.select(*keep, F.explode(F.array(*map(one, properties))).alias("d")).select(*keep, "d.path", "d.kind").where("kind IS NOT NULL")
+    """(keep, path, kind) per differing property of two structs, into nested structs by dotted paths.
+
+    A null is a missing property. Kinds: missing_in_original, missing_in_duplicate, type_mismatch (the sides' types differ), array_values_mismatch, value_mismatch.
+    """
+    sides = [pairs.schema[x].dataType for x in (left, right)]
+    rules = []
+
+    def compare(path: str, a, b, one, two):
+        missing = F.when(a.isNull() & b.isNull(), F.lit(None).cast("string")).when(a.isNull(), "missing_in_original").when(b.isNull(), "missing_in_duplicate")
+        kinds = [_kind(x) for x in (one, two)]
+        if kinds == ["struct", "struct"]:
+            rules.append(F.struct(F.lit(path).alias("path"), missing.alias("kind")))
+            there = a.isNotNull() & b.isNotNull()
+            for f in dict.fromkeys([*one.names, *two.names]):
+                inner = [F.when(there, x[f]) if f in t.names else F.lit(None) for x, t in ((a, one), (b, two))]
+                compare(f"{path}.{f}", *inner, *[t[f].dataType if f in t.names else None for t in (one, two)])
+            return
+        if None in kinds or kinds[0] == kinds[1]:
+            found = missing if None in kinds else missing.when(~a.eqNullSafe(b), "array_values_mismatch" if kinds[0] == "array" else "value_mismatch")
+        else:
+            found = missing.otherwise("type_mismatch")
+        rules.append(F.struct(F.lit(path).alias("path"), found.alias("kind")))
+
+    for p in properties:
+        compare(p, *[F.col(f"{x}.{p}") if p in t.names else F.lit(None) for x, t in zip((left, right), sides, strict=True)], *[t[p].dataType if p in t.names else None for t in sides])
+    return pairs.select(*keep, F.explode(F.array(*rules)).alias("d")).select(*keep, "d.path", "d.kind").where("kind IS NOT NULL")
+
+
+def _kind(t) -> str | None:
+    """Numbers of all widths are one kind."""
+    name = t.typeName() if t else None
+    return "number" if name in ("byte", "short", "integer", "long", "float", "double", "decimal") else name
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, properties: list[str], key: str = "_key") -> DataFrame:
@@ -55,26 +101,43 @@ def snapshot_diff(old: DataFrame, new: DataFrame, properties: list[str], key: st
 
 
 def dangling_edges(relationships: DataFrame, entities: DataFrame) -> DataFrame:
-    """Direct relationships with an end that no entity has, and which end that is."""
-    known = entities.select(F.col("_key").alias("k")).distinct()
-    frm = relationships.join(known, F.col("_fromEntityKey") == F.col("k"), "left_anti").withColumn("missing", F.lit("from"))
-    to = relationships.join(known, F.col("_toEntityKey") == F.col("k"), "left_anti").withColumn("missing", F.lit("to"))
-    return frm.unionByName(to)
+    """Direct relationships with an end that no entity has, and which end that is: one pass over relationships, one shuffle of their ends."""
+    known = entities.select(F.col("_key").alias("_k"))
+    names = relationships.columns
+    ends = F.array(F.struct(F.lit("from").alias("missing"), F.col("_fromEntityKey").alias("_k")), F.struct(F.lit("to").alias("missing"), F.col("_toEntityKey").alias("_k")))
+    return relationships.withColumn("_e", F.explode(ends)).select(*names, "_e.missing", "_e._k").join(known, "_k", "left_anti").select(*names, "missing")
+
+
+#: Different filter-key sets of one resolution, which are metadata.
+MAX_SETS = 1000
 
 
 def resolve_targets(mapped: DataFrame, entities: DataFrame, properties: list[str], order: str = "_key") -> DataFrame:
     """The target entity of each mapped relationship, null if none matches.
 
-    Filter-key sets are tried in order; the first entity, by ``order``, that has all of a set's values and all wanted classes wins. A set that
-    names a property which the target lacks matches nothing. Both sides are taken apart to (property, value) and
-    equi-joined, so nothing is compared pairwise.
+    Filter-key sets are tried in order; the first entity, by ``order``, that has all of a set's values wins. ``_class`` in a set asks for entities
+    that have all classes of the target (commas between them). Properties that the target lacks are not compared; a property that
+    ``properties`` does not name is had by no entity. For each distinct set, entities and targets are joined on one composite value, and
+    before the join each value's entities are reduced to the first of each combination of classes: rows grow with entities and relationships, never with their pairs.
     """
-    m = mapped.select("_key", "_mapping")
-    sets = m.select("_key", F.posexplode("_mapping.filter_keys").alias("set_no", "names"), F.col("_mapping.target").alias("t"))
-    need = sets.select("_key", "set_no", F.size("names").alias("size"), F.explode("names").alias("name"), "t").withColumn("value", F.try_element_at("t", F.col("name"))).where("value IS NOT NULL").drop("t")
-    have = entities.select(F.col("_key").alias("entity_key"), F.explode(F.array(*[F.struct(F.lit(p).alias("name"), F.col(p).cast("string").alias("value")) for p in properties])).alias("p")).select("entity_key", "p.name", "p.value").where("value IS NOT NULL")
-    hits = need.join(have, ["name", "value"]).groupBy("_key", "set_no", "size", "entity_key").agg(F.count("*").alias("n")).where("n = size")
-    best = hits.groupBy("_key").agg(F.min(F.struct("set_no", "entity_key")).alias("b")).select("_key", F.col("b.entity_key").alias("target_key"))
+    target = F.col("_mapping.target")
+    sets = mapped.select("_key", target.alias("t"), F.posexplode("_mapping.filter_keys").alias("set_no", "names"))
+    sets = sets.withColumn("names", F.array_sort(F.array_distinct(F.filter("names", lambda n: F.col("t")[n].isNotNull()))))
+    sets = sets.withColumn("wanted", F.when(F.array_contains("names", "_class"), F.array_sort(F.split(F.col("t")["_class"], ", ?")))).withColumn("names", F.array_remove("names", "_class"))
+    need = sets.withColumn("value", F.to_json(F.transform("names", lambda n: F.col("t")[n]))).select("_key", "set_no", F.to_json("names").alias("names"), "value", F.coalesce("wanted", F.array().cast("array<string>")).alias("wanted"))
+    kinds = [r["names"] for r in need.select("names").distinct().limit(MAX_SETS + 1).collect()]
+    if len(kinds) > MAX_SETS:
+        raise GraphError(f"more than {MAX_SETS} different filter-key sets")
+    having = [json.loads(k) for k in kinds]
+    having = [n for n in having if set(n) <= {*properties, *entities.columns}]
+    none = F.lit(None).cast("string")
+    of_set = [F.struct(F.lit(json.dumps(n, separators=(",", ":"))).alias("names"), F.when(F.forall(F.array(*[F.col(c).isNotNull() for c in n], F.lit(True)), lambda x: x), F.to_json(F.array(*[F.col(c).cast("string") for c in n]) if n else F.array().cast("array<string>"))).alias("value")) for n in having] or [F.struct(none.alias("names"), none.alias("value"))]
+    classes = F.array_sort(F.col("_class")) if "_class" in entities.columns else F.array().cast("array<string>")
+    have = entities.select(F.col("_key").alias("entity_key"), F.col(order).alias("_order"), classes.alias("classes"), F.explode(F.array(*of_set)).alias("s")).select("entity_key", "_order", "classes", "s.names", "s.value").where("value IS NOT NULL")
+    have = have.groupBy("names", "value", "classes").agg(F.min(F.struct("_order", "entity_key")).alias("e"))
+    asked = need.select("names", "value", "wanted").distinct()
+    first = asked.join(have, ["names", "value"]).where(F.size(F.array_except("wanted", "classes")) == 0).groupBy("names", "value", "wanted").agg(F.min("e").alias("e"))
+    best = need.join(first, ["names", "value", "wanted"]).groupBy("_key").agg(F.min(F.struct("set_no", "e")).alias("b")).select("_key", F.col("b.e.entity_key").alias("target_key"))
     return mapped.join(best, "_key", "left")
 
 

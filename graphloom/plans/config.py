@@ -86,6 +86,22 @@ def entity_type(vendor: str, name: str) -> str:
     return "_".join(parts)
 
 
+@dataclass(frozen=True)
+class Instance:
+    """Who a run is for: an instance with its configuration and the ingestion sources that are switched off."""
+
+    id: str
+    config: dict
+    disabled_sources: tuple[str, ...] = ()
+
+
+def local_instance(fields: Mapping[str, Field], environment: Mapping[str, str] | None = None) -> Instance:
+    """An instance for a run on this machine, from the environment; ``DISABLED_INGESTION_SOURCES`` has the sources off, with commas between them."""
+    env = os.environ if environment is None else environment
+    off = tuple(x.strip() for x in env.get("DISABLED_INGESTION_SOURCES", "").split(",") if x.strip())
+    return Instance(env.get("INSTANCE_ID", "local-instance"), from_environment(fields, env), off)
+
+
 def load_pipeline(path: str):
     """The object ``pipeline`` of a Python file."""
     spec = importlib.util.spec_from_file_location("graphloom_pipeline", path)

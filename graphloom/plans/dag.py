@@ -60,14 +60,17 @@ def steps_frame(spark: SparkSession, steps: list[StepSpec]) -> DataFrame:
 
 
 def closure(steps: DataFrame) -> DataFrame:
-    """(step_id, ancestor) for all transitive dependencies, by a recursive query."""
-    spark = steps.sparkSession
-    steps.select("step_id", F.explode("depends_on").alias("ancestor")).createOrReplaceTempView("_graphloom_edges")
-    return spark.sql("""
-        WITH RECURSIVE reach(step_id, ancestor, depth) AS (
-          SELECT step_id, ancestor, 1 FROM _graphloom_edges
-          UNION ALL SELECT r.step_id, e.ancestor, r.depth + 1 FROM reach r JOIN _graphloom_edges e ON r.ancestor = e.step_id
-        ) SELECT DISTINCT step_id, ancestor FROM reach""")
+    """(step_id, ancestor) for all transitive dependencies. Steps are metadata: their graph is walked on the driver, each step once."""
+    above = {r["step_id"]: list(r["depends_on"] or ()) for r in steps.select("step_id", "depends_on").collect()}
+    rows = []
+    for step in above:
+        seen, queue = set(), list(above[step])
+        while queue:
+            if (x := queue.pop()) not in seen:
+                seen.add(x)
+                queue.extend(above.get(x, ()))
+        rows += [(step, x) for x in sorted(seen)]
+    return steps.sparkSession.createDataFrame(rows, "step_id string, ancestor string")
 
 
 def final_status(steps: DataFrame, own: DataFrame) -> DataFrame:
@@ -83,39 +86,93 @@ def final_status(steps: DataFrame, own: DataFrame) -> DataFrame:
     return j.select("step_id", status.alias("status"))
 
 
+@dataclass
+class StepResult:
+    """What became of a step: status, objects by type, types it made but does not declare, types that may be incomplete."""
+
+    id: str
+    status: str
+    counts: dict[str, int] = field(default_factory=dict)
+    undeclared: tuple[str, ...] = ()
+    partial_types: tuple[str, ...] = ()
+    error: str | None = None
+
+
 @dataclass
 class Pipeline:
-    """Runs steps in dependency order; each returns frames by collection name. Graphs run one after the other."""
+    """Runs steps in dependency order; each returns frames by collection name. Graphs run one after the other.
+
+    A step's frames are computed when it runs, so that its status is that of the computation and later steps read what was made: ``keep`` gets
+    (step, collection, frame) and returns the frame to go on with, by default the same one, persisted. Steps in ``cache`` are not run; their frames are taken.
+    After a run ``results`` has one :class:`StepResult` per step.
+    """
 
     steps: list[StepSpec]
     graph_order: tuple[str, ...] = ()
     before: Callable[[DataFrame], DataFrame] | None = None
+    keep: Callable[[str, str, DataFrame], DataFrame] = lambda step, name, df: df.persist()
+    results: dict[str, StepResult] = field(default_factory=dict)
 
     def graphs(self) -> list[str]:
         named = {s.graph_id for s in self.steps if s.graph_id}
         if unlisted := named - set(self.graph_order):
             raise GraphError(f"graphs that would never run: {sorted(unlisted)}")
-        return [DEFAULT_GRAPH, *self.graph_order]
+        order = [DEFAULT_GRAPH, *self.graph_order]
+        at = {s.id: order.index(s.graph_id or DEFAULT_GRAPH) for s in self.steps}
+        if late := [(s.id, d) for s in self.steps for d in s.depends_on if at.get(d, 0) > at[s.id]]:
+            raise GraphError(f"steps that would run before what they depend on: {late}")
+        return order
 
-    def run(self, spark: SparkSession, context: dict | None = None, disabled: set[str] = frozenset()) -> tuple[dict[str, dict[str, DataFrame]], dict[str, str]]:
+    def run(self, spark: SparkSession, context: dict | None = None, disabled: set[str] = frozenset(), cache: dict[str, dict[str, DataFrame]] | None = None) -> tuple[dict[str, dict[str, DataFrame]], dict[str, str]]:
         """(frames by step and collection, status by step)."""
         order = check_steps(self.steps)
         by_id = {s.id: s for s in self.steps}
         out: dict[str, dict[str, DataFrame]] = {}
-        status: dict[str, str] = {}
+        self.results = {}
         for graph in self.graphs():
             for i in (x for x in order if (by_id[x].graph_id or DEFAULT_GRAPH) == graph):
-                s = by_id[i]
-                above = [status.get(d) for d in s.depends_on]
-                if i in disabled or DISABLED in above:
-                    status[i] = DISABLED
-                    continue
-                try:
-                    made = s.run(spark, context or {}, out) if s.run else {}
-                    out[i] = {k: self.before(v) if self.before else v for k, v in made.items()}
-                    status[i] = PARTIAL if FAILURE in above or PARTIAL in above else SUCCESS
-                except Exception as e:
-                    if getattr(e, "fatal", False):
-                        raise
-                    status[i] = FAILURE
-        return out, status
+                self.results[i] = self._one(spark, by_id[i], context or {}, out, disabled, (cache or {}).get(i))
+        return out, {i: r.status for i, r in self.results.items()}
+
+    def _one(self, spark, s: StepSpec, context: dict, out: dict, disabled, cached) -> StepResult:
+        above = [self.results[d].status for d in s.depends_on]
+        if s.id in disabled or DISABLED in above:
+            return StepResult(s.id, DISABLED)
+        if cached is not None:
+            out[s.id] = cached
+            return StepResult(s.id, CACHED, self._counts(cached))
+        try:
+            made = s.run(spark, context, out) if s.run else {}
+            made = {k: self.keep(s.id, k, self.before(v) if self.before else v) for k, v in made.items()}
+            counts = self._counts(made)
+        except Exception as e:
+            if getattr(e, "fatal", False):
+                raise
+            return StepResult(s.id, FAILURE, partial_types=s.types, error=str(e))
+        out[s.id] = made
+        partial = FAILURE in above or PARTIAL in above
+        undeclared = tuple(sorted(set(counts) - {*s.types})) if s.types else ()
+        return StepResult(s.id, PARTIAL if partial else SUCCESS, counts, undeclared, tuple(dict.fromkeys((*s.partial_types, *(s.types if partial else ())))))
+
+    @staticmethod
+    def _counts(frames: dict[str, DataFrame]) -> dict[str, int]:
+        """Rows by type; this computes the frames."""
+        out: dict[str, int] = {}
+        for df in frames.values():
+            rows = df.groupBy("_type").count().collect() if "_type" in df.columns else [("", df.count())]
+            for kind, n in rows:
+                out[kind] = out.get(kind, 0) + n
+        return out
+
+    def partial_types(self) -> list[str]:
+        """Types that may be incomplete after the run: of failed steps, of those below them, and those declared so."""
+        return sorted({t for r in self.results.values() for t in r.partial_types})
+
+
+def cache_path(spark: SparkSession, root: str, steps: list[StepSpec], running: str, step: str) -> str | None:
+    """Where a step's cached output lies: None unless the running step depends on it and it is there."""
+    from ..sources.files import exists
+    from .context import ancestors
+
+    path = f"{root.rstrip('/')}/{step}"
+    return path if step in ancestors(steps, running) and exists(spark, path) else None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from .functions import convert as C
 from .functions import keys as K
 from .functions import text as X
-from .operators import batching, build, lookup, validate
-from .plans import dag
+from .model import registry
+from .operators import batching, build, export, lookup, validate
+from .plans import config, dag, declarative, events, metadata
 from .session import configure
 
 QUERIES: dict[str, Callable] = {}
@@ -202,24 +205,32 @@ def time_property_names(spark, d):
     return spark.createDataFrame([(n,) for n in names], "name string").withColumn("is_time", X.F.coalesce(C.is_time_property(F.col("name")), F.lit(False)))
 
 
-@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 2 = 0 THEN 1601942400999 END AS sec FROM events")
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 2 = 0 THEN 1601942400999 END AS sec, epoch_ms(date_trunc('second', ts)) AS http, epoch_ms(date_trunc('day', ts)) AS us FROM events")
 def parse_time(spark, d):
     e = table(configure(spark), d, "events")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    return e.select("event_id", C.parse_time(iso).alias("ms"), C.parse_time(F.when(F.col("event_id") % 2 == 0, "1601942400.99999").otherwise("garbage"), "sec").alias("sec"))
+    http, us = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.date_format("ts", "MMM d, yyyy")
+    return e.select("event_id", C.parse_time(iso).alias("ms"), C.parse_time(F.when(F.col("event_id") % 2 == 0, "1601942400.99999").otherwise("garbage"), "sec").alias("sec"), C.parse_time(http).alias("http"), C.parse_time(us).alias("us"))
 
 
-@query("SELECT p_partkey, 'partName' AS k, p_name AS v FROM part UNION ALL SELECT p_partkey, 'retailPrice2', p_brand FROM part")
+@query("SELECT p_partkey, unnest(['partName', 'retailPrice2', 'xmlHttpRequest', 'p2PName']) AS k, unnest([p_name, p_brand, p_type, p_name]) AS v FROM part")
 def convert_properties(spark, d):
-    m = F.create_map(F.lit("part_name"), F.col("p_name"), F.lit("Retail Price2"), F.col("p_brand"), F.lit("gone"), F.lit(None).cast("string"))
+    m = F.create_map(F.lit("part_name"), F.col("p_name"), F.lit("Retail Price2"), F.col("p_brand"), F.lit("gone"), F.lit(None).cast("string"), F.lit("XMLHttpRequest"), F.col("p_type"), F.lit("p2p_name"), F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", F.explode(C.convert_properties(m)).alias("k", "v"))
 
 
-@query("SELECT p_partkey, 'x.brand' AS k, p_type AS v FROM part")
+@query("""SELECT p_partkey, p_size AS "x.partSize", 1577836800000 AS "x.createdOn", '["' || p_brand || '","' || p_type || '"]' AS "x.kinds", '{"Brand":"' || p_brand || '"}' AS "x.detail" FROM part""")
+def convert_columns(spark, d):
+    src = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("part_size"), F.lit("2020-01-01T00:00:00Z").alias("createdOn"), F.array("p_brand", "p_type").alias("Kinds"), F.struct(F.col("p_brand").alias("Brand")).alias("detail"))
+    props = C.convert_columns(src.drop("p_partkey"), prefix="x", parse_time_names=True, stringify_array=True, stringify_object=True)
+    return src.select("p_partkey", *props).withColumn("x.createdOn", F.col("`x.createdOn`").cast("long"))
+
+
+@query("SELECT p_partkey, unnest(['x.brand', 'x.retailPrice']) AS k, unnest([p_type, p_name]) AS v FROM part")
 def name_value_pairs(spark, d):
-    one = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    a = F.array(one("brand", F.col("p_brand")), one("", F.col("p_name")), one("empty", F.lit("")), one("brand", F.col("p_type")))
-    return table(spark, d, "part").select("p_partkey", F.explode(C.name_value_pairs(a, "x")).alias("k", "v"))
+    one = lambda n, v: F.struct(F.lit(n).alias("Name"), v.alias("Value"))
+    a = F.array(one("brand", F.col("p_brand")), one("", F.col("p_name")), one("empty", F.lit("")), one("brand", F.col("p_type")), one("Retail Price", F.col("p_name")))
+    return table(spark, d, "part").select("p_partkey", F.explode(C.name_value_pairs(a, "x", fields=("Name", "Value"))).alias("k", "v"))
 
 
 @query("SELECT c_custkey, to_base64(from_hex(sha256('\"' || c_name || '\"'))) AS h FROM customer")
@@ -238,10 +249,12 @@ def tag_string_split(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(X.split_tags(s), "|").alias("tags"))
 
 
-@query("SELECT c_custkey, 'label' AS labels, 'tag.Owner|tag.label|tag.name' AS names, lower(c_name) AS owner FROM customer")
+@query("SELECT c_custkey, 'label' AS labels, 'tag.Owner|tag.label|tag.name' AS names, lower(c_name) AS owner, c_mktsegment AS display FROM customer")
 def tag_map_assign(spark, d):
-    m = F.create_map(F.lit("Owner"), F.col("c_name"), F.lit("label"), F.lit("true"), F.lit("name"), F.col("c_mktsegment"))
-    return table(spark, d, "customer").select("c_custkey", F.array_join(F.array_sort(X.label_tags(m)), "|").alias("labels"), F.array_join(F.array_sort(F.map_keys(X.tag_properties(m))), "|").alias("names"), X.common_tag(m, "owner").alias("owner"))
+    one = lambda k, v: F.struct(F.lit(k).alias("Key"), v.alias("Value"))
+    none = F.lit(None).cast("string")
+    m = F.map_concat(X.key_value_tags(F.array(one("Owner", F.col("c_name")), one("label", F.lit("True")), one("name", F.col("c_mktsegment")), one("", F.col("c_name")), one("nothing", none))), F.create_map(F.lit("absent"), none))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(F.array_sort(X.label_tags(m)), "|").alias("labels"), F.array_join(F.array_sort(F.map_keys(X.tag_properties(m))), "|").alias("names"), X.common_tag(m, "owner").alias("owner"), X.tag_name(m).alias("display"))
 
 
 @query("""SELECT * FROM (VALUES ('10.0.0.1/32', true, false, false, false, false), ('0.0.0.0/0', false, true, false, true, true), ('127.0.0.1', false, false, true, false, true), ('::1/128', true, false, true, true, false), ('8.8.8.8', false, false, false, true, true), ('172.20.1.1', false, false, false, false, true), ('2001:db8::/32', true, false, false, true, false))
@@ -252,9 +265,9 @@ def ip_classify(spark, d):
     return spark.createDataFrame([(r,) for r in rows], "ip string").select("ip", X.is_host(ip).alias("host"), X.is_internet(ip).alias("internet"), X.is_loopback(ip).alias("loopback"), X.is_public(ip).alias("public"), X.is_ipv4(ip).alias("v4"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'n' ELSE '' END || regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN p_size || p_type ELSE p_brand END, '[^A-Za-z0-9_]', '_', 'g') AS n FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'n' ELSE 'größe_' END || regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN p_size || p_type ELSE p_brand END, '[^A-Za-z0-9_]', '_', 'g') AS n FROM part")
 def sanitize_names(spark, d):
-    s = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_size").cast("string"), "p_type")).otherwise(F.col("p_brand"))
+    s = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_size").cast("string"), "p_type")).otherwise(F.concat(F.lit("größe{"), "p_brand"))
     return table(spark, d, "part").select("p_partkey", X.sanitize_name(s).alias("n"))
 
 
@@ -269,11 +282,12 @@ def trim_strings(spark, d):
     return c.select(*[F.trim(f.name).alias(f.name) if f.dataType.typeName() == "string" and f.name != "kept" else F.col(f.name) for f in c.schema])
 
 
-@query("SELECT s_suppkey, s_suppkey BETWEEN 10 AND 999999 AS asn, true AS ip, s_suppkey % 2 = 0 AS cidr FROM supplier")
+@query("SELECT s_suppkey, s_suppkey BETWEEN 10 AND 999999 AS asn, s_suppkey < 256 AS ip, s_suppkey % 40 <= 32 AS cidr, s_suppkey % 2 = 0 AS six FROM supplier")
 def format_checks(spark, d):
-    k = F.col("s_suppkey").cast("string")
-    ip = F.concat(F.lit("10.0.0."), (F.col("s_suppkey") % 256).cast("string"))
-    return table(spark, d, "supplier").select("s_suppkey", X.has_format(F.concat(F.lit("AS"), k), "asn").alias("asn"), X.has_format(ip, "ip").alias("ip"), X.has_format(F.when(F.col("s_suppkey") % 2 == 0, F.concat(ip, F.lit("/24"))).otherwise(ip), "ipCidr").alias("cidr"))
+    k = F.col("s_suppkey")
+    cidr = F.concat(F.lit("10.0.0.1/"), (k % 40).cast("string"))
+    six = F.when(k % 4 == 0, "2001:db8::1").when(k % 4 == 2, "::ffff:10.0.0.1").when(k % 4 == 1, ":").otherwise("1:2:3:4:5:6:7:8:9")
+    return table(spark, d, "supplier").select("s_suppkey", X.has_format(F.concat(F.lit("AS"), k.cast("string")), "asn").alias("asn"), X.has_format(F.concat(F.lit("10.0.0."), k.cast("string")), "ip").alias("ip"), X.has_format(cidr, "ipCidr").alias("cidr"), X.has_format(six, "ip").alias("six"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 2 AS payloads FROM events")
@@ -317,13 +331,25 @@ def keys_distinct(spark, d):
 _LINES = "SELECT 'line:' || l_orderkey || ':' || l_linenumber AS _key, l_partkey AS part, l_suppkey AS supplier, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_returnflag AS flag FROM lineitem"
 
 
-@query(f"""WITH l AS ({_LINES}), r AS (SELECT *, row_number() OVER w AS rn, first_value(part) OVER w AS p0, first_value(supplier) OVER w AS s0, first_value(cents) OVER w AS c0, first_value(flag) OVER w AS f0 FROM l WINDOW w AS (PARTITION BY _key ORDER BY part, supplier, cents))
-SELECT _key, part AS duplicate_part, p0 AS original_part, flag = f0 AS properties_match FROM r WHERE (part, supplier, cents) > (p0, s0, c0)""")
+@query(f"""WITH l AS (SELECT * FROM ({_LINES}) UNION ALL SELECT * FROM ({_LINES}) WHERE part % 20 = 0 UNION ALL SELECT _key, part, supplier, cents, '?' FROM ({_LINES}) WHERE part % 30 = 0),
+ r AS (SELECT *, row_number() OVER w AS rn, first_value(part) OVER w AS p0, first_value(flag) OVER w AS f0 FROM l WINDOW w AS (PARTITION BY _key ORDER BY part, supplier, cents, flag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT _key, part AS duplicate_part, p0 AS original_part, flag = f0 AS properties_match FROM r WHERE rn > 1""")
 def duplicate_entity_report(spark, d):
-    r = lookup.duplicate_report(lines(spark, d), ["part", "supplier", "cents"], ["flag"])
+    """Lines of which some come as exact copies and some tied but for a property."""
+    x = lines(spark, d).select("_key", "part", "supplier", "cents", "flag")
+    x = x.unionAll(x.where("part % 20 = 0")).unionAll(x.where("part % 30 = 0").withColumn("flag", F.lit("?")))
+    r = lookup.duplicate_report(x, ["part", "supplier", "cents"], ["flag"])
     return r.select("_key", "duplicate_part", "original_part", "properties_match")
 
 
+@query("""SELECT c_custkey, unnest(CASE WHEN c_custkey % 2 = 0 THEN ['n.tags', 'n.deep.size', 'kind'] ELSE ['kind', 'n'] END) AS path, unnest(CASE WHEN c_custkey % 2 = 0 THEN ['array_values_mismatch', 'value_mismatch', 'type_mismatch'] ELSE ['type_mismatch', 'missing_in_duplicate'] END) AS kind FROM customer""")
+def property_diff_nested(spark, d):
+    k = F.col("c_custkey")
+    nested = lambda tag, size: F.struct(F.array(F.lit("x"), F.lit(tag)).alias("tags"), F.struct(F.lit(size).alias("size"), F.col("c_name").alias("name")).alias("deep"))
+    c = table(spark, d, "customer").select("c_custkey", F.struct(F.lit(1).alias("kind"), nested("a", 1).alias("n")).alias("a"), F.struct(F.lit("1").alias("kind"), F.when(k % 2 == 0, nested("b", 2)).alias("n")).alias("b"))
+    return lookup.property_diff(c, ["kind", "n"], keep=["c_custkey"])
+
+
 @query("""SELECT c_custkey, p AS path, k AS kind FROM (SELECT c_custkey, 'name' AS p, CASE WHEN c_custkey % 3 = 0 THEN 'value_mismatch' END AS k FROM customer UNION ALL SELECT c_custkey, 'segment', CASE WHEN c_custkey % 5 = 0 THEN 'missing_in_duplicate' END FROM customer
  UNION ALL SELECT c_custkey, 'extra', CASE WHEN c_custkey % 7 = 0 THEN 'missing_in_original' END FROM customer) WHERE k IS NOT NULL""")
 def property_diff(spark, d):
@@ -424,9 +450,9 @@ def largest_raw_data(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct(n, -F.col("event_id"))).alias("event_id"), F.max(n).alias("bytes"))
 
 
-@query("SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 250 AS chunk FROM orders")
+@query("SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3 AS chunk FROM orders")
 def chunk_ids(spark, d):
-    return batching.chunk_ids(table(spark, d, "orders"), ["o_orderkey"], 250, ["o_orderstatus"]).select("o_orderkey", "chunk")
+    return batching.chunk_ids(table(spark, d, "orders"), ["o_orderkey"], 3, ["o_custkey"]).select("o_orderkey", "chunk")
 
 
 @query(f"SELECT _key, _class FROM ({_EDGES}) WHERE _type <> 'shop_order_contains_line' UNION ALL SELECT _key, _class FROM ({_EDGES}) WHERE _class = 'HAS'")
@@ -475,6 +501,17 @@ def _resolved(spark, d):
     return lookup.resolve_targets(_mapped(spark, d), nations(spark, d), ["_type", "code", "name"])
 
 
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'customer:' || o_custkey WHEN 1 THEN NULL WHEN 2 THEN 'customer:' || o_custkey
+ ELSE (SELECT min('customer:' || c_custkey) FROM customer c WHERE c.c_mktsegment = x.c_mktsegment) END AS target_key FROM orders JOIN customer x ON c_custkey = o_custkey""")
+def mapped_class_resolution(spark, d):
+    """Each order mapped to a customer by name and class: a class that it has, one that it lacks, none; or by its segment, which thousands share."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey") % 4
+    cls = F.when(k == 0, "Person").when(k == 1, "Person,Host").when(k == 3, "Person")
+    m = build.mapped_relationships(o, "HAS", source_key=key("order", "o_orderkey"), source_type="shop_order", target={"_type": F.lit("shop_customer"), "_class": cls, "name": F.when(k != 3, F.col("c_name")), "segment": F.when(k == 3, F.col("c_mktsegment"))}, filter_keys=[["_type", "_class", "name", "segment"]], properties={"_key": F.col("o_orderkey").cast("string")})
+    return lookup.resolve_targets(m, customers(spark, d), ["_type", "name", "segment"]).select(F.col("_key").cast("long").alias("o_orderkey"), "target_key")
+
+
 @query(f"SELECT {_MKEY} AS _key, CASE WHEN s_suppkey % 4 <> 0 AND s_nationkey IN (SELECT n_nationkey FROM nation) THEN 'nation:' || s_nationkey END AS target_key FROM supplier")
 def mapped_target_resolution(spark, d):
     return _resolved(spark, d).select("_key", "target_key")
@@ -525,19 +562,44 @@ def snapshot_diff_relationships(spark, d):
     return lookup.snapshot_diff(r, new, ["_fromEntityKey", "_toEntityKey", "_class"]).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'kept_partial' WHEN o_orderkey % 7 = 0 THEN 'created' ELSE 'unchanged' END AS action, count(*) AS n FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_orderkey % 7 = 0) GROUP BY 1")
+@query("""SELECT 'first' AS job, 'shop_order' AS _type, 'created' AS action, count(*) AS n FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT 'first', 'shop_supplier', 'created', count(*) FROM supplier
+ UNION ALL SELECT 'second', 'shop_order', CASE WHEN o_orderkey % 5 = 0 THEN 'kept_partial' WHEN o_orderkey % 7 = 0 THEN 'created' WHEN o_orderkey % 3 = 0 THEN 'updated' ELSE 'unchanged' END, count(*) FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_orderkey % 7 = 0) GROUP BY 3
+ UNION ALL SELECT 'second', 'shop_supplier', 'deleted', count(*) FROM supplier
+ UNION ALL SELECT 'current', 'shop_order', 'there', count(*) FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_orderkey % 7 = 0)""")
 def snapshot_sync(spark, d):
-    """What a synchronisation does when orders are a partial dataset: nothing of a partial type is deleted."""
-    k = F.substring_index("_key", ":", -1).cast("long")
-    o = orders(spark, d)
-    diff = lookup.snapshot_diff(o.where(k % 7 != 0), o.where(k % 5 != 0), ["state", "priority"])
-    action = F.when(F.col("change") == "added", "created").when(F.col("change") == "changed", "updated").when(F.col("change") == "removed", "kept_partial").otherwise("unchanged")
-    return diff.select(action.alias("action")).groupBy("action").agg(F.count("*").alias("n"))
+    """Two jobs of one instance, the second with orders as a partial dataset and without suppliers; a third is aborted."""
+    from .plans.snapshots import Snapshots
 
-
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O'")
+    k = F.substring_index("_key", ":", -1).cast("long")
+    o = orders(spark, d).select("_key", "_type", "state", "priority")
+    jobs = Snapshots(configure(spark), _scratch(spark, "snapshots"))
+    first = jobs.initiate("integration-external", instance="i")
+    jobs.upload(first, o.where(k % 7 != 0))
+    jobs.upload(first, suppliers(spark, d).select("_key", "_type", F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("priority")))
+    done = _written(spark, jobs.actions(first, ["state", "priority"]).withColumn("job", F.lit("first")))
+    jobs.finalize(first)
+    second = jobs.initiate("integration-external", instance="i")
+    jobs.upload(second, o.where(k % 5 != 0).withColumn("state", F.when(k % 3 == 0, "X").otherwise(F.col("state"))))
+    again = _written(spark, jobs.actions(second, ["state", "priority"], ["shop_order"]).withColumn("job", F.lit("second")))
+    jobs.finalize(second, ["shop_order"])
+    third = jobs.initiate("integration-external", instance="i")
+    jobs.upload(third, o.limit(1))
+    jobs.abort(third, "given up")
+    now = jobs.current().select("_key", "_type", F.lit("there").alias("action"), F.lit("current").alias("job"))
+    return done.unionByName(again).unionByName(now).groupBy("job", "_type", "action").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'node' AS kind, count(*) AS n FROM customer WHERE c_custkey % 2 = 1
+ UNION ALL SELECT 'edge', count(*) FROM orders WHERE o_custkey % 2 = 1 AND o_orderkey % 3 <> 0""")
 def wipe_instance(spark, d):
-    return table(spark, d, "orders").where(~F.col("o_orderstatus").eqNullSafe("O")).select("o_orderkey")
+    """Customers of two instances; removing one takes its nodes, its edges and those that touch its nodes."""
+    c = customers(spark, d).withColumn("even", F.substring_index("_key", ":", -1).cast("long") % 2 == 0)
+    nodes = export.nodes(c.where("even").drop("even"), "a", ["name"]).unionByName(export.nodes(c.where("NOT even").drop("even"), "b", ["name"]))
+    r = customer_orders(spark, d)
+    third = F.substring_index("_toEntityKey", ":", -1).cast("long") % 3 == 0
+    edges = export.edges(r.where(third), "a", ["_class"]).unionByName(export.edges(r.where(~third), "b", ["_class"]))
+    n, e = export.wipe_instance(nodes, edges, "a")
+    return n.select(F.lit("node").alias("kind")).unionAll(e.select(F.lit("edge").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 # ---- tier 5: steps and metadata --------------------------------------------------------------------------------------
@@ -571,14 +633,18 @@ def step_selection(spark, d):
     return steps(spark).join(need, "step_id", "left").select("step_id", (F.coalesce("e", F.lit(False)) | (F.col("step_id") == "fetch-orders")).alias("enabled"))
 
 
-@query("SELECT _type, count(*) AS n FROM (SELECT 'shop_order' AS _type FROM orders) GROUP BY 1")
+@query(f"SELECT 'fetch-orders' AS step_id, 'cached' AS status, count(*) AS n FROM orders UNION ALL SELECT 'fetch-nations', 'success', count(*) FROM nation UNION ALL SELECT 'fetch-customers', 'success', count(*) FROM customer UNION ALL SELECT 'fetch-suppliers', 'success', count(*) FROM supplier UNION ALL SELECT 'fetch-lines', 'success', count(*) FROM lineitem")
 def step_cache_load(spark, d):
-    """A step's rows read from an earlier snapshot's partition instead of running the step."""
-    from .sources.store import MemoryStore
+    """A run that takes one step's rows from the folder of an earlier run instead of running the step."""
+    from .sources.files import move
 
-    cache = MemoryStore()
-    cache.write(all_entities(spark, d))
-    return cache.read().where(F.col("step_id") == "fetch-orders").groupBy("_type").agg(F.count("*").alias("n"))
+    root = _scratch(spark, "cache")
+    orders(spark, d).select(*HEAD).write.parquet(f"{root}/graph/fetch-orders")
+    move(spark, f"{root}/graph", f"{root}/cache")
+    path = dag.cache_path(spark, f"{root}/cache", STEPS, "fetch-lines", "fetch-orders")
+    pipeline = _pipeline(spark, d)
+    pipeline.run(spark, cache={"fetch-orders": {"entities": spark.read.parquet(path)}})
+    return _results(spark, pipeline)
 
 
 @query(f"SELECT step_id, coalesce(source = 'sales', false) AS disabled, CASE WHEN source = 'sales' THEN 'USER_CONFIG' END AS reason FROM {_STEP_LIST}")
@@ -606,21 +672,40 @@ def graph_schema_distinct(spark, d):
     return lookup.first_by(o, ["cls", "type"], F.col("first_ordinal"))
 
 
-@query(f"SELECT s.step_id, s._type, CAST(row_number() OVER (ORDER BY s._type, s.step_id) AS BIGINT) AS position FROM {_STEP_TYPES}")
+def _catalogue():
+    nation, _ = metadata.entity_metadata("Nation", ["Site"], "shop_nation")
+    customer, _ = metadata.entity_metadata("Customer", ["Person"], "shop_customer")
+    order, _ = metadata.entity_metadata("Order", ["Record"], "shop_order")
+    supplier, _ = metadata.entity_metadata("Supplier", ["Vendor", "Person"], "shop_supplier")
+    rel = metadata.RelationshipMeta
+    has = rel("shop_nation_has_customer", "HAS", "shop_nation", "shop_customer")
+    declared = [("fetch-suppliers", [supplier, rel("shop_supplier_is_nation", "IS", "shop_supplier", "shop_nation", "REVERSE"), rel("shop_supplier_is_company", "IS", "shop_supplier", "company", "FORWARD")]), ("fetch-orders", [order, rel("shop_customer_has_order", "HAS", "shop_customer", "shop_order"), has]), ("fetch-customers", [customer, has]), ("fetch-nations", [nation])]
+    return metadata.catalogue(declared, dag.check_steps(STEPS))
+
+
+@query("""SELECT * FROM (VALUES (0, 'entity', 'shop_customer', 'Person'), (1, 'entity', 'shop_nation', 'Site'), (2, 'entity', 'shop_order', 'Record'), (3, 'entity', 'shop_supplier', 'Vendor+Person'),
+ (4, 'relationship', 'shop_customer|HAS|shop_order', ''), (5, 'relationship', 'shop_nation|HAS|shop_customer', ''), (6, 'mapped', 'shop_supplier|IS|company', 'FORWARD'), (7, 'mapped', 'shop_supplier|IS|shop_nation', 'REVERSE')) AS t(position, kind, what, detail)""")
 def metadata_catalog(spark, d):
-    from pyspark.sql import Window as W
+    c = _catalogue()
+    rows = [("entity", e.type, "+".join(e.classes)) for e in c.entities] + [("relationship", f"{r.source}|{r.cls}|{r.target}", "") for r in c.relationships] + [("mapped", f"{r.source}|{r.cls}|{r.target}", r.direction) for r in c.mapped]
+    return configure(spark).createDataFrame([(i, *r) for i, r in enumerate(rows)], "position int, kind string, what string, detail string")
 
-    return declared(spark).select("step_id", "_type", F.row_number().over(W.orderBy("_type", "step_id")).cast("long").alias("position"))
 
+@query("""SELECT * FROM (VALUES ('### Entities', 4), ('### Mapped Relationships', 2), ('### Relationships', 2)) AS t(section, rows)""")
+def metadata_document(spark, d):
+    """Sections of the catalogue's document, put between markers, and their rows."""
+    text = metadata.put_section("# About\n<!-- a -->\nold\n<!-- b -->\nend", metadata.document(_catalogue()), "<!-- a -->", "<!-- b -->")
+    rows = [(x.split("\n")[0], sum(y.startswith("| ") for y in x.split("\n")) - 2) for x in text.split("\n\n### ")[1:]]
+    return configure(spark).createDataFrame([(f"### {a}", n) for a, n in rows if "old" not in text and text.endswith("end")], "section string, rows int")
 
-_TYPE_EDGES = f"SELECT DISTINCT _type, regexp_extract(_fromEntityKey, '^[a-z]+') AS source, regexp_extract(_toEntityKey, '^[a-z]+') AS target FROM ({_EDGES})"
 
 
-@query(f"SELECT * FROM ({_TYPE_EDGES}) WHERE source IN ('customer', 'nation') OR target IN ('customer', 'nation')")
+
+@query("""SELECT * FROM (VALUES ('node', 'company', 'placeholder', ''), ('node', 'shop_nation', 'entity', ''), ('node', 'shop_supplier', 'entity', ''), ('edge', 'shop_supplier', 'company', 'IS*'), ('edge', 'shop_nation', 'shop_supplier', 'IS*'), ('edge', 'shop_nation', 'shop_customer', 'HAS')) AS t(kind, a, b, label)""")
 def type_graph(spark, d):
-    kind = lambda c: F.regexp_extract(c, "^[a-z]+", 0)
-    e = all_relationships(spark, d).select("_type", kind("_fromEntityKey").alias("source"), kind("_toEntityKey").alias("target")).distinct()
-    return e.where(F.col("source").isin("customer", "nation") | F.col("target").isin("customer", "nation"))
+    n, e = metadata.type_graph(configure(spark), _catalogue(), ["shop_nation", "shop_supplier"])
+    nodes = n.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("kind").alias("b"), F.lit("").alias("label"))
+    return nodes.unionByName(e.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.concat("label", F.when(F.col("mapped"), "*").otherwise("")).alias("label")))
 
 
 @query("SELECT * FROM (VALUES ('fetch-orders', 'shop_order_old', 'only_in_spec'), ('fetch-orders', 'shop_order', 'only_in_code')) AS t(step_id, _type, side)")
@@ -643,35 +728,79 @@ def schema_conformance(spark, d):
     return validate.conformance(customers(spark, d), ["Person"])
 
 
-@query("SELECT o_orderpriority AS id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+@query("""SELECT p_partkey, unnest(CASE p_partkey % 5 WHEN 0 THEN ['#shop_host platform enum', '#shop_host vendor type'] WHEN 1 THEN ['#Host ipAddress format', '#Host platform enum', '#Host vendor type'] WHEN 2 THEN [' _type required'] WHEN 3 THEN [' _class required'] ELSE [''] END) AS error,
+ CASE p_partkey % 5 WHEN 0 THEN '#Host type-already-validated' WHEN 1 THEN '#plain not-found' WHEN 4 THEN '#plain not-found|#Nothing not-found' ELSE '' END AS skipped FROM part""")
+def entity_validation(spark, d):
+    """Entities of a type with a schema of its own, of a class alone, without type, without class, and of an unknown class."""
+    k = F.col("p_partkey") % 5
+    e = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("_key"), F.when(k == 0, "shop_host").when(k != 2, "plain").alias("_type"), F.when(k == 4, F.array(F.lit("Nothing"))).when(k != 3, F.array(F.lit("Host"))).alias("_class"), F.col("p_name").alias("name"), F.col("p_name").alias("displayName"), F.lit("beos").alias("platform"), F.when(k == 1, "10.0.0.999").otherwise("10.0.0.1").alias("ipAddress"), F.lit(1).alias("vendor"))
+    v = validate.validate_entities(e, _hosts(), types={"shop_host": (["Host"], {"vendor": registry.Property()})})
+    shown = lambda c, *f: F.transform(c, lambda x: F.concat_ws(" ", *[F.coalesce(x[n], F.lit("")) for n in f]))
+    errors = F.when(F.col("valid"), F.array(F.lit(""))).otherwise(shown(F.col("errors"), "schema", "property", "validation"))
+    return v.select(F.col("_key").cast("long").alias("p_partkey"), F.explode(errors).alias("error"), F.array_join(shown(F.col("skipped"), "schema", "reason"), "|").alias("skipped"))
+
+
+def _hosts():
+    known = registry.default_registry()
+    host = known.get("Host")
+    return registry.Registry([*known.schemas.values(), registry.ClassSchema("Host", host.parents, {**host.properties, "vendor": registry.Property()}, host.required)])
+
+
+@query("""WITH q AS (SELECT p_partkey AS ordinal, CASE WHEN p_partkey % 10 = 0 THEN 'q' || (p_partkey - 1) ELSE 'q' || p_partkey END AS id, CASE WHEN p_partkey % 15 = 0 THEN 'Same title' ELSE 'Title ' || p_partkey END AS title FROM part WHERE p_partkey > 0)
+SELECT 'id' AS "check", id, id AS value FROM q WHERE ordinal % 10 = 0
+ UNION ALL SELECT 'title', id, title FROM q WHERE title = 'Same title' AND ordinal > 15
+ UNION ALL SELECT 'tag', id, 'red' FROM q WHERE ordinal % 4 = 0
+ UNION ALL SELECT 'query_name', id, 'good' FROM q WHERE ordinal % 6 = 0""")
 def question_pack_uniqueness(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    """A pack of questions written as a file, loaded, and checked for ids, titles, tags and names of queries that repeat."""
+    import json
+
+    from .sources import files, questions
 
+    n = table(spark, d, "part").agg(F.max("p_partkey")).first()[0]
+    pack = [{"id": f"q{i - 1 if i % 10 == 0 else i}", "title": "Same title" if i % 15 == 0 else f"Title {i}", "description": "", "tags": ["red", "blue", *(["red"] if i % 4 == 0 else [])], "queries": [{"name": "good", "query": "FIND a"}, {"query": "FIND b"}, {"name": "good" if i % 6 == 0 else "bad", "query": "FIND c"}]} for i in range(1, n + 1)]
+    path = _scratch(spark, "questions") + "/pack.json"
+    files.write_file(spark, path, json.dumps({"questions": pack}))
+    return questions.problems(questions.load(spark, path))
 
-def _run(spark, d):
+
+def _pipeline(spark, d):
+    configure(spark)
     make = {"fetch-nations": nations, "fetch-customers": customers, "fetch-suppliers": suppliers, "fetch-orders": orders, "fetch-lines": lines}
     bound = [dag.StepSpec(s.id, types=s.types, depends_on=s.depends_on, graph_id=s.graph_id, run=lambda sp, ctx, out, f=make[s.id]: {"entities": f(sp, d)}) for s in STEPS]
-    return dag.Pipeline(bound, graph_order=("details",)).run(spark)
+    return dag.Pipeline(bound, graph_order=("details",), before=lambda df: df.select(*HEAD))
+
+
+def _results(spark, pipeline):
+    rows = [(r.id, r.status, n) for r in pipeline.results.values() for n in r.counts.values()]
+    return spark.createDataFrame(rows, "step_id string, status string, n long")
 
 
 @query(f"SELECT step_id, 'success' AS status, count(*) AS n FROM ({_OBJECTS}) GROUP BY 1")
 def step_results(spark, d):
-    frames, status = _run(spark, d)
-    out = None
-    for step, made in frames.items():
-        n = made["entities"].agg(F.count("*").alias("n")).select(F.lit(step).alias("step_id"), F.lit(status[step]).alias("status"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    pipeline = _pipeline(spark, d)
+    pipeline.run(spark)
+    return _results(spark, pipeline)
 
 
-@query(f"SELECT step_id, name, 'info' AS level FROM {_STEP_LIST}, (VALUES ('step_start'), ('step_end')) AS e(name)")
+@query(f"SELECT row_number() OVER (ORDER BY ordinal, name DESC) - 1 AS position, 'job-1' AS job, name, CASE name WHEN 'step_start' THEN 'Starting step ' || step_id ELSE 'Completed step ' || step_id || ': success' END AS description FROM {_STEP_LIST}, (VALUES ('step_start'), ('step_end')) AS e(name)")
 def step_events(spark, d):
-    return steps(spark).select("step_id", F.explode(F.array(F.lit("step_start"), F.lit("step_end"))).alias("name"), F.lit("info").alias("level"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '***' ELSE p_brand END AS shown FROM part")
+    """Events of the steps, published through a queue whose service fails once; a queue without a job publishes nothing."""
+    sent = []
+    queue, idle = events.EventQueue(sent.append, "job-1"), events.EventQueue(lambda e: sent.append({"name": "never", "description": ""}))
+    for s in STEPS:
+        events.StepLog(queue).step_start(s.id)
+        events.StepLog(idle).step_start(s.id)
+        events.StepLog(queue).step_end(s.id, dag.SUCCESS)
+    queue.on_idle()
+    return configure(spark).createDataFrame([(i, queue.job, e["name"], e["description"]) for i, e in enumerate(sent)], "position long, job string, name string, description string")
+
+
+@query("SELECT p_partkey, unnest(['region', 'apiKey', 'other']) AS name, unnest([p_brand, '***', '***']) AS shown FROM part")
 def mask_config(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "***").otherwise(F.col("p_brand")).alias("shown"))
+    fields = {"region": config.Field(), "apiKey": config.Field(mask=True)}
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.explode(F.array(*map(F.lit, ("region", "apiKey", "other")))).alias("name"))
+    return p.select("p_partkey", "name", events.shown_column(fields, F.col("name"), F.col("p_brand")).alias("shown"))
 
 
 @query("SELECT 'customer:' || c_custkey AS _key, upper(c_name) AS name FROM customer")
@@ -681,11 +810,21 @@ def before_add_hook(spark, d):
     return frames["fetch-customers"]["entities"].select("_key", "name")
 
 
-@query("SELECT 'supplier:' || s_suppkey AS _key, s_name AS label, 'shop' AS source FROM supplier")
+@query("""SELECT 'entities' AS collection, 'supplier-' || s_suppkey AS _key, 'shop_supplier' AS _type, s_name || '|shop' AS detail FROM supplier
+ UNION ALL SELECT 'parent', 'nation:' || s_nationkey || '|has|supplier-' || s_suppkey, 'shop_nation_has_supplier', 'HAS' FROM supplier
+ UNION ALL SELECT 'direct0', 'supplier-' || s_suppkey || '|uses|' || s_nationkey, 'shop_supplier_uses_code', 'USES' FROM supplier WHERE false
+ UNION ALL SELECT 'mapped0', 'supplier-' || s_suppkey || '|is|FORWARD:code=' || s_nationkey || ':country=here', 'shop_supplier_is_mapped_entity', 'IS' FROM supplier""")
 def declarative_step(spark, d):
-    spec = {"table": "supplier", "prefix": "supplier", "keyPath": "s_suppkey", "fieldMappings": {"label": "s_name"}, "staticFields": {"source": "shop"}}
-    src = table(spark, d, spec["table"])
-    return src.select(key(spec["prefix"], spec["keyPath"]).alias("_key"), *[F.col(p).alias(n) for n, p in spec["fieldMappings"].items()], *[F.lit(v).alias(n) for n, v in spec["staticFields"].items()])
+    """A template of one step, compiled and run: entities by key path, mapped and static fields, the parent's edges and mapped ones."""
+    template = {"steps": [{"id": "fetch-suppliers", "entity": {"_type": "shop_supplier", "_class": "Vendor", "_keyPath": "body.id", "fieldMappings": {"name": "body.label"}, "staticFields": {"category": "shop"}}, "parentAssociation": {"parentEntityType": "shop_nation", "relationshipClass": "HAS"}, "response": {"responseType": "LIST"}, "mappedRelationships": [{"_class": "IS", "direction": "FORWARD", "mappings": [{"sourceProperty": "body.nation", "targetProperty": "code"}, {"targetValue": "here", "targetProperty": "country"}]}]}]}
+    body = F.struct(F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("label"), F.col("s_nationkey").alias("nation")).alias("body")
+    (step,) = declarative.compile_template(template, lambda spec, made: table(spark, d, "supplier").select(body, key("nation", "s_nationkey").alias("_parent_key")))
+    made, _ = dag.Pipeline([step]).run(spark)
+    out = made["fetch-suppliers"]
+    rows = out["entities"].select(F.lit("entities").alias("collection"), "_key", "_type", F.concat_ws("|", "name", "category").alias("detail"))
+    for name in ("parent", "mapped0"):
+        rows = rows.unionByName(out[name].select(F.lit(name).alias("collection"), "_key", "_type", F.col("_class").alias("detail")))
+    return rows
 
 
 # ---- tier 6: batches, exports ---------------------------------------------------------------------------------------
@@ -715,22 +854,59 @@ def viz_edges(spark, d):
     return direct.unionByName(mapped)
 
 
-@query(f"WITH l AS ({_LINES}) SELECT _key, arg_max(part, (part, supplier, cents)) AS part FROM l GROUP BY 1")
+@query("""SELECT 'customer:' || c_custkey AS _key, ':shop_customer:Person' AS labels, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 3 = 0 THEN 'new' END AS extra FROM customer""")
 def graph_nodes_export(spark, d):
-    return lookup.latest_wins(lines(spark, d).select("_key", "part", "supplier", "cents"), ["_key"], ["part", "supplier", "cents"]).select("_key", "part")
+    """Customers as nodes; a second export of some of them is merged over the first, property by property."""
+    c = customers(spark, d)
+    again = c.where(F.substring_index("_key", ":", -1).cast("long") % 3 == 0).select("_key", "_type", "_class", F.upper("name").alias("name"), F.lit("new").alias("extra field"))
+    n = export.upsert(export.nodes(c, "i", ["name", "segment"]), export.nodes(again, "i", ["name", "extra field"]))
+    return n.select("_key", "labels", F.col("properties")["name"].alias("name"), F.col("properties")["segment"].alias("segment"), F.try_element_at("properties", F.lit("extra_field")).alias("extra"))
 
 
-@query(f"SELECT DISTINCT _key, _fromEntityKey AS start_key, _toEntityKey AS end_key, ':' || _type AS label FROM ({_EDGES})")
+@query(f"""SELECT _fromEntityKey AS start_key, _toEntityKey AS end_key, ':' || _class AS label, '' AS end_label FROM ({_EDGES})
+ UNION ALL SELECT 'supplier:' || s_suppkey, '|is|FORWARD:_type=shop_nation:name=no such nation:_type=shop_nation:code=' || {_CODE}, ':IS', ':shop_nation' FROM supplier
+ UNION ALL SELECT 'target', '|is|FORWARD:_type=shop_nation:name=no such nation:_type=shop_nation:code=' || {_CODE}, 'node', ':shop_nation' FROM supplier GROUP BY 2""")
 def graph_edges_export(spark, d):
-    r = all_relationships(spark, d)
-    return lookup.latest_wins(r, ["_key"], ["step_id"]).select("_key", F.col("_fromEntityKey").alias("start_key"), F.col("_toEntityKey").alias("end_key"), F.concat(F.lit(":"), "_type").alias("label"))
+    """Direct and mapped relationships as edges, and the target nodes that mapped ones create."""
+    direct = export.edges(all_relationships(spark, d), "i", ["_class"])
+    mapped = export.edges(_mapped(spark, d), "i", ["_class"])
+    made = export.created_targets(_mapped(spark, d), "i").select(F.lit("target").alias("start_key"), F.col("_key").alias("end_key"), F.lit("node").alias("label"), F.col("labels").alias("end_label"))
+    return direct.unionByName(mapped).select("start_key", "end_key", "label", "end_label").unionByName(made)
+
+
+@query(f"WITH l AS ({_LINES}) SELECT _key, arg_max(part, (part, supplier, cents)) AS part FROM l GROUP BY 1")
+def latest_line(spark, d):
+    return lookup.latest_wins(lines(spark, d).select("_key", "part", "supplier", "cents"), ["_key"], ["part", "supplier", "cents"]).select("_key", "part")
+
+
+def _written(spark, df):
+    """A frame as it is now, as a table of its own."""
+    path = _scratch(spark, "now")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _scratch(spark, name):
+    """A folder in the shared checkpoint folder; it goes when the application ends."""
     import uuid
 
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_graphloom_scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    return path
+
+
+_folders: list = []
+
+
+@atexit.register
+def _clear():
+    from .sources.files import remove_storage
+
+    for spark, path in _folders:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the JVM may be gone at interpreter exit
+                remove_storage(spark, path)
 
 
 @query(f"SELECT _type, count(*) AS n FROM ({_OBJECTS}) GROUP BY 1")
@@ -785,7 +961,7 @@ def shrink_raw_data(spark, d):
     return batching.shrink_batches(e, "batch", "payload", 2000)
 
 
-@query()
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_upload(spark, d):
     from .streaming import upload
 
@@ -796,7 +972,7 @@ def stream_upload(spark, d):
     return spark.read.schema(e.schema).parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT DISTINCT event_id FROM events")
 def stream_dedup(spark, d):
     from .streaming import upload
 
@@ -808,9 +984,33 @@ def stream_dedup(spark, d):
     return spark.read.parquet(out).select("event_id")
 
 
-@query()
+@query("SELECT c_custkey, c_name FROM customer")
 def paginated_source(spark, d):
+    """Customers laid out as chains of JSON pages and read back page by page."""
     from .sources.paginated import PagesSource
 
     spark.dataSource.register(PagesSource)
-    return spark.read.format("pages").option("pages", 4).option("size", 25).load()
+    path, chains, size = _scratch(spark, "pages"), 4, 50
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.pmod("c_custkey", F.lit(chains)).alias("chain"))
+    c = batching.chunk_ids(c, ["c_custkey"], size, ["chain"]).withColumnRenamed("chunk", "page")
+    last = c.groupBy("chain").agg(F.max("page").alias("last"))
+    name = lambda page: F.concat(F.col("chain").cast("string"), F.lit("-"), page.cast("string"), F.lit(".json"))
+    pages = c.groupBy("chain", "page").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("items")).join(last, "chain")
+    pages = pages.select(name(F.col("page")).alias("name"), F.to_json(F.struct("items", F.when(F.col("page") < F.col("last"), name(F.col("page") + 1)).alias("next"))).alias("body"))
+    root = path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+    def put(batches):
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder, recursive=True)
+        for pdf in batches:
+            for page, body in zip(pdf["name"], pdf["body"], strict=True):
+                with store.open_output_stream(f"{folder}/{page}") as f:
+                    f.write(body.encode())
+            yield pdf[["name"]]
+
+    pages.mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
+    rows = spark.read.format("pages").option("path", root).option("starts", ",".join(f"{i}-0.json" for i in range(chains))).load()
+    item = F.from_json("item", "c_custkey long, c_name string").alias("x")
+    return rows.select(item).select("x.c_custkey", "x.c_name")
\ No newline at end of file

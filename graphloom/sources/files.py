@@ -14,6 +14,21 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a folder or file; what is at the new path is replaced."""
+    fs, p = _fs(spark, old)
+    _, to = _fs(spark, new)
+    fs.delete(to, True)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(p, to):
+        raise InvalidFileError(f"cannot move {old} to {new}")
+
+
 def write_file(spark: SparkSession, path: str, content: str) -> None:
     """One small text file; missing folders are made, a file at the path is replaced. ``.gz`` compresses."""
     fs, p = _fs(spark, path)

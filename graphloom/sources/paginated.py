@@ -99,27 +99,41 @@ def download(fetch: Callable[[str | None, int], Response], page: int = 4000) ->
 
 
 class PagesSource(DataSource):
-    """``spark.read.format("pages").option("pages", n).option("size", m)``: generated pages of numbered rows, one partition per page."""
+    """``spark.read.format("pages").option("path", folder).option("starts", "a.json,b.json")``: chains of JSON pages, one partition per chain.
+
+    A page is ``{"items": [...], "next": name}``; ``items`` and ``next`` can be named by options. Rows are (chain, item): the start of the chain and
+    the item as JSON text. Pages are read through :func:`paginate`, from a folder that all executors can open (a URI of file, hdfs or s3).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "pages"
 
     def schema(self) -> str:
-        return "page int, item long, payload string"
+        return "chain string, item string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _PagesReader(int(self.options.get("pages", 2)), int(self.options.get("size", 3)))
+        return _PagesReader(self.options["path"], self.options["starts"].split(","), self.options.get("items", "items"), self.options.get("next", "next"))
 
 
 class _PagesReader(DataSourceReader):
-    def __init__(self, pages: int, size: int):
-        self.pages, self.size = pages, size
+    def __init__(self, path: str, starts: list[str], items: str, following: str):
+        self.path, self.starts, self.items, self.following = path.rstrip("/"), starts, items, following
 
     def partitions(self):
-        return [InputPartition(i) for i in range(self.pages)]
+        return [InputPartition(s) for s in self.starts]
 
     def read(self, partition):
-        for i in range(self.size):
-            n = partition.value * self.size + i
-            yield partition.value, n, json.dumps({"item": n})
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(self.path)
+
+        def transport(name: str) -> Response:
+            try:
+                with store.open_input_file(f"{root}/{name}") as f:
+                    return Response(200, json.loads(f.read()))
+            except FileNotFoundError:
+                return Response(404)
+
+        for item in paginate(transport, partition.value, self.items, lambda r: r.body.get(self.following)):
+            yield partition.value, json.dumps(item, ensure_ascii=False)

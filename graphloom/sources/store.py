@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model.errors import InvalidFileError
+from .files import exists, read_json, write_json
 
 
 class ParquetStore:
-    """Objects of one kind below a path, partitioned by ``_type`` and ``step_id``: both access paths are partition pruning."""
+    """Objects of one kind below a path, partitioned by ``_type`` and ``step_id``: both access paths are partition pruning.
+
+    A run adds a set of files with every write, so later flushes of a step lose nothing of earlier ones, and :meth:`publish` makes the run the one that
+    other stores of the path read. An unpublished run is seen by its own store alone.
+    """
 
     def __init__(self, spark: SparkSession, path: str, rows_per_file: int = 500_000):
-        self.spark, self.path, self.rows_per_file = spark, path, rows_per_file
+        self.spark, self.path, self.rows_per_file = spark, path.rstrip("/"), rows_per_file
+        self._run: str | None = None
 
     def write(self, objects: DataFrame) -> None:
-        objects.write.mode("overwrite").option("maxRecordsPerFile", self.rows_per_file).option("compression", "zstd").partitionBy("_type", "step_id").parquet(self.path)
+        self._run = self._run or uuid.uuid4().hex
+        objects.write.mode("append").option("maxRecordsPerFile", self.rows_per_file).option("compression", "zstd").partitionBy("_type", "step_id").parquet(self._folder(self._run))
+
+    def publish(self) -> None:
+        """Make what this store has written the current run of the path."""
+        if self._run is None:
+            raise InvalidFileError(f"nothing was written to {self.path}")
+        write_json(self.spark, f"{self.path}/current.json", {"run": self._run})
+
+    def _folder(self, run: str) -> str:
+        return f"{self.path}/runs/{run}"
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        run = self._run
+        if run is None:
+            if not exists(self.spark, f"{self.path}/current.json"):
+                raise InvalidFileError(f"nothing was published at {self.path}")
+            run = read_json(self.spark, f"{self.path}/current.json")["run"]
+        return self.spark.read.parquet(self._folder(run))
 
     def by_type(self, type: str) -> DataFrame:
         return self.read().where(F.col("_type") == type)
@@ -28,7 +51,7 @@ class ParquetStore:
 
 
 class MemoryStore:
-    """The same interface over frames held by the session."""
+    """The same interface over frames held by the session. An empty store reads as an empty frame."""
 
     def __init__(self):
         self._parts: list[DataFrame] = []
@@ -37,6 +60,8 @@ class MemoryStore:
         self._parts.append(objects)
 
     def read(self) -> DataFrame:
+        if not self._parts:
+            return SparkSession.active().createDataFrame([], "_key string, _type string, step_id string")
         out = self._parts[0]
         for p in self._parts[1:]:
             out = out.unionByName(p, allowMissingColumns=True)
@@ -46,9 +71,15 @@ class MemoryStore:
         return self.read().where(F.col("_type") == type)
 
 
+#: Objects of a line of a collection file, on average.
+CHUNK_ROWS = 5_000
+
+
 def write_collection(objects: DataFrame, path: str, name: str = "entities") -> None:
-    """JSON files ``{name: [...]}``: one line of a chunk of objects each."""
-    objects.withColumn("_chunk", F.pmod(F.xxhash64("_key"), F.lit(16))).groupBy("_type", "_chunk").agg(F.collect_list(F.struct(*objects.columns)).alias(name)).select(name).write.mode("overwrite").json(path)
+    """JSON files ``{name: [...]}``: one line of a chunk of objects each; a type has as many chunks as its rows ask for."""
+    chunks = objects.groupBy("_type").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("_chunks"))
+    rows = objects.join(chunks.withColumnRenamed("_type", "_t"), F.col("_type").eqNullSafe(F.col("_t"))).withColumn("_chunk", F.pmod(F.xxhash64("_key"), F.col("_chunks")))
+    rows.groupBy("_type", "_chunk").agg(F.collect_list(F.struct(*objects.columns)).alias(name)).select(name).write.mode("overwrite").json(path)
 
 
 def read_collection(spark: SparkSession, path: str, schema: str, name: str = "entities") -> DataFrame:

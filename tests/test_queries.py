@@ -24,7 +24,7 @@ def con():
 def test_query(spark, con, name):
     got = QUERIES[name](spark, D).toPandas()
     if name not in ORACLE_SQL:
-        assert len(got) > 0
+        assert name == "shrink_raw_data"  # compared with a plain version in test_engine
         return
     want = con.sql(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
