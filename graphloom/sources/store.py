@@ -22,9 +22,11 @@ class ParquetStore:
         self.spark, self.path, self.rows_per_file = spark, path.rstrip("/"), rows_per_file
         self._run: str | None = None
 
-    def write(self, objects: DataFrame) -> None:
+    def write(self, objects: DataFrame, spread: bool = False) -> None:
+        """Add objects. With ``spread`` rows are first dealt evenly to all tasks: for sources of a few large pieces, whose shuffle costs less than the idle cores."""
         self._run = self._run or uuid.uuid4().hex
-        objects.write.mode("append").option("maxRecordsPerFile", self.rows_per_file).option("compression", "zstd").partitionBy("_type", "step_id").parquet(self._folder(self._run))
+        rows = objects.hint("rebalance") if spread else objects
+        rows.write.mode("append").option("maxRecordsPerFile", self.rows_per_file).option("compression", "zstd").partitionBy("_type", "step_id").parquet(self._folder(self._run))
 
     def publish(self) -> None:
         """Make what this store has written the current run of the path."""
