@@ -130,9 +130,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     """Components of an undirected graph given as long pairs (a, b).
 
     Returns (node, component) for every node of an edge, component being the smallest node reachable.
-    Edges are first contracted batch by batch, then large-star and small-star steps alternate until nothing
-    changes. Each step is a written table; minima are combined map-side, so a hub with a third of all edges
-    costs no task more than the others, and nothing is collected but a count and a checksum.
+    Edges are first contracted batch by batch, which leaves a hub at most one edge per batch and neighbour; then large-star and small-star steps alternate until nothing
+    changes. Each step is a written table; minima are combined map-side, but what is left of a hub's edges meets in the task of its key.
+    Nothing is collected but a count and a checksum.
     Empty input gives an empty frame; self loops and repeated edges are harmless.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")

@@ -5,7 +5,8 @@ half-width within which a linked vector's projection falls with a known probabil
 count of windows are verified by cosine in double precision; width and count are chosen by the binomial law so that a pair
 exactly at the threshold is missed with a probability of at most ``MISS``.
 
-Vectors with one label and one number of components form a group. A group is dealt into blocks by a hash, and each
+At this threshold a window on one line holds nearly half of all vectors, so collisions are not written out as rows: they are counted by rank,
+a byte per pair and only inside a task. Vectors with one label and one number of components form a group. A group is dealt into blocks by a hash, and each
 pair of blocks is one task of bounded size, however large the group: a label that holds a third of all vectors only has more
 pairs of blocks. Equal vectors are one class from the start. Tasks return link counts and spanning stars, never pairs.
 """
@@ -70,6 +71,8 @@ def _collisions(pa: np.ndarray, pb: np.ndarray, half: float):
 
 def links_between(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, same: bool = False):
     """Row pairs of two blocks of vectors (doubles, not zero) that collide often enough and have the cosine; with ``same``, i < j only."""
+    # powers of two: exact, and norms of very large or small components neither overflow nor vanish
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (a, b))
     ua, ub = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
     lines = directions(a.shape[1])
     half = WIDTH * math.sqrt(2 - 2 * threshold)
@@ -122,7 +125,7 @@ def near_duplicates(embeddings: DataFrame, scratch: Scratch, *, id_col="vec_id",
     """id, n_links (other vectors linked directly), component (smallest id reachable by links) and kept of every row.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null label or id link with
-    nothing. Vectors with different numbers of components are not compared. Rows that repeat an id are vectors of their own, linked
+    nothing. Components may be as large or small as doubles are. Vectors with different numbers of components are not compared. Rows that repeat an id are vectors of their own, linked
     if equal, with one component. An empty table gives no rows.
     """
     if threshold != THRESHOLD:

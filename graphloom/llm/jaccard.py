@@ -416,19 +416,19 @@ def keep_one(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_co
     Rows go by id and text: another row of a repeated id with an unlinked text stays, as do rows with a null id and texts without words. Of
     rows equal in id and text one stays. An empty table gives no rows.
     """
-    rows = jaccard_join(documents, scratch, id_col=id_col, text_col=text_col).where(F.col("n_links") > 0).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"), "component")
+    rows = jaccard_join(documents, scratch, id_col=id_col, text_col=text_col).where(F.col("n_links") > 0).select(F.col(id_col).alias("_graphloom_id"), F.col("text_hash").alias("_graphloom_h"), "component")
     rows = scratch.write(rows, "linked")
-    first = scratch.write(rows.groupBy("component").agg(F.min(F.struct("_id", "_h")).alias("_first")), "first")
+    first = scratch.write(rows.groupBy("component").agg(F.min(F.struct("_graphloom_id", "_graphloom_h")).alias("_graphloom_first")), "first")
     rows = rows.join(first, "component")
-    stays = F.struct("_id", "_h") == F.col("_first")
-    gone = scratch.write(rows.where(~stays).select("_id", "_h").distinct(), "gone")
-    again = scratch.write(rows.where(stays).groupBy("_id", "_h").count().where("count > 1").select("_id", "_h"), "again")
-    on = (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+    stays = F.struct("_graphloom_id", "_graphloom_h") == F.col("_graphloom_first")
+    gone = scratch.write(rows.where(~stays).select("_graphloom_id", "_graphloom_h").distinct(), "gone")
+    again = scratch.write(rows.where(stays).groupBy("_graphloom_id", "_graphloom_h").count().where("count > 1").select("_graphloom_id", "_graphloom_h"), "again")
+    on = (F.col(id_col) == F.col("_graphloom_id")) & (F.xxhash64(text_col) == F.col("_graphloom_h"))
     out = documents.join(bounded(gone), on, "left_anti")
     if again.isEmpty():
         return out
-    twice = out.join(bounded(again), on, "left_semi").withColumn("_h", F.xxhash64(text_col)).dropDuplicates([id_col, "_h"])
-    return out.join(bounded(again), on, "left_anti").unionAll(twice.drop("_h"))
+    twice = out.join(bounded(again), on, "left_semi").withColumn("_graphloom_h", F.xxhash64(text_col)).dropDuplicates([id_col, "_graphloom_h"])
+    return out.join(bounded(again), on, "left_anti").unionAll(twice.drop("_graphloom_h"))
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:
