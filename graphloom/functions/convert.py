@@ -136,3 +136,35 @@ def truncate_value(s: Column, most: int = 4096) -> Column:
 def object_size(*columns: str) -> Column:
     """UTF-8 bytes of a row's JSON text; null properties are left out."""
     return F.octet_length(F.to_json(F.struct(*columns))).cast("long")
+
+
+def property_sizes(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """(keep, prop, bytes, rank): JSON bytes of each property of each row; null ones are left out. ``rank`` is its place among ``columns``."""
+    def size(c: str) -> Column:
+        kind, value = df.schema[c].dataType.typeName(), F.col(f"`{c}`")
+        text = json_text(value) if kind == "string" else F.to_json(value) if kind in ("struct", "map", "array") else value.cast("string")
+        return F.octet_length(text).cast("long")
+
+    sizes = F.array(*[F.struct(F.lit(c).alias("prop"), size(c).alias("bytes"), F.lit(i).alias("rank")) for i, c in enumerate(columns)])
+    return df.select(*keep, F.explode(sizes).alias("x")).select(*keep, "x.prop", "x.bytes", "x.rank").where("bytes IS NOT NULL")
+
+
+def largest_property(sizes: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, prop, bytes) of each row's largest property, the first of equals, from :func:`property_sizes`."""
+    return sizes.groupBy(*keep).agg(F.max_by("prop", F.struct("bytes", -F.col("rank"))).alias("prop"), F.max("bytes").alias("bytes"))
+
+
+def trim_strings(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All texts without blanks at their ends, also inside structs and arrays of any depth; columns of ``keep`` stay as they are."""
+
+    def trimmed(c: Column, t) -> Column:
+        kind = t.typeName()
+        if kind == "string":
+            return F.trim(c)
+        if kind == "struct":
+            return F.when(c.isNotNull(), F.struct(*[trimmed(c[f.name], f.dataType).alias(f.name) for f in t]))
+        if kind == "array":
+            return F.transform(c, lambda x: trimmed(x, t.elementType))
+        return c
+
+    return df.select(*[F.col(f"`{f.name}`") if f.name in keep else trimmed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])

@@ -158,3 +158,33 @@ def first_by(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """First-wins distinct over a composite key."""
     cols = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("_v")).select(*keys, *[F.col(f"_v.{c}") for c in cols])
+
+
+def split_mapped(relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(direct, mapped) relationships; mapped ones have a mapping."""
+    mapped = F.col("_mapping").isNotNull()
+    return relationships.where(~mapped), relationships.where(mapped)
+
+
+def indexed(objects: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Objects whose step and type are not declared as unindexed: ``metadata`` has (step_id, _type, indexed), where a null or missing row means indexed."""
+    off = metadata.where("NOT indexed").select("step_id", "_type").distinct()
+    return objects.join(F.broadcast(off), ["step_id", "_type"], "left_anti")
+
+
+def placeholders(resolved: DataFrame) -> DataFrame:
+    """One row per distinct target that was not found: (target: its filter properties alone, used: relationships that aim at it)."""
+    t = resolved.where("target_key IS NULL").select(F.col("_mapping.target").alias("t"), F.array_distinct(F.flatten("_mapping.filter_keys")).alias("names"))
+    trimmed = F.array_sort(F.filter(F.transform("names", lambda n: F.struct(n.alias("name"), F.try_element_at("t", n).alias("value"))), lambda x: x["value"].isNotNull()))
+    return t.groupBy(trimmed.alias("pairs")).agg(F.count("*").alias("used")).select(F.map_from_entries("pairs").alias("target"), "used")
+
+
+def target_counts(wanted: DataFrame, wanted_on: str, entities: DataFrame, entity_on: str) -> DataFrame:
+    """The rows of ``wanted`` with the number of entities (``targets``) that have their value; counted per value before the join."""
+    per = entities.groupBy(F.col(entity_on).alias("_v")).agg(F.count("*").alias("targets"))
+    return wanted.join(per, F.col(wanted_on) == F.col("_v"), "left").drop("_v").withColumn("targets", F.coalesce("targets", F.lit(0)))
+
+
+def missing_sources(mapped: DataFrame, entities: DataFrame) -> DataFrame:
+    """(_key) of the sources that mapped relationships name and no entity has, each once."""
+    return has_key(mapped.select(F.col("_mapping.source_key").alias("_key")).distinct(), "_key", entities, negate=True)

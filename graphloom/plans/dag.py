@@ -176,3 +176,38 @@ def cache_path(spark: SparkSession, root: str, steps: list[StepSpec], running: s
 
     path = f"{root.rstrip('/')}/{step}"
     return path if step in ancestors(steps, running) and exists(spark, path) else None
+
+
+def select_steps(steps: list[StepSpec], wanted: set[str]) -> dict[str, bool]:
+    """Which steps a local run enables: the wanted ones and all that they depend on; all of them where none is wanted. An unknown one raises."""
+    from .context import ancestors
+
+    if unknown := wanted - {s.id for s in steps}:
+        raise UnknownStepError(f"unknown steps {sorted(unknown)}")
+    need = wanted.union(*(ancestors(steps, w) for w in wanted))
+    return {s.id: not wanted or s.id in need for s in steps}
+
+
+def start_states(steps: list[StepSpec], disabled_sources: tuple[str, ...] = ()) -> dict[str, dict]:
+    """Start states by step: a step of a disabled ingestion source is disabled, with the reason."""
+    off = set(disabled_sources)
+    return {s.id: {"disabled": True, "reason": "USER_CONFIG"} if s.ingestion_source in off else {"disabled": False, "reason": None} for s in steps}
+
+
+def source_children(steps: list[StepSpec]) -> dict[str, list[str]]:
+    """Steps that depend on a step of each ingestion source, sorted."""
+    source = {s.id: s.ingestion_source for s in steps}
+    out: dict[str, set[str]] = {s.ingestion_source: set() for s in steps if s.ingestion_source}
+    for s in steps:
+        for d in s.depends_on:
+            if source.get(d):
+                out[source[d]].add(s.id)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def execution_order(steps: list[StepSpec], step: str) -> list[str]:
+    """A step's transitive dependencies in an order in which they can run, and the step."""
+    from .context import ancestors
+
+    need = ancestors(steps, step)
+    return [i for i in check_steps(steps) if i in need] + [step]

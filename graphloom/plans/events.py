@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import sys
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
@@ -72,3 +73,16 @@ def shown_column(fields: Mapping[str, Field], name: Column, value: Column) -> Co
     """:func:`shown` over rows of names and values."""
     open_ = [n for n in fields if n not in masked_fields(fields)]
     return F.when(name.isin(open_), value).otherwise(F.lit(MASK)) if open_ else F.lit(MASK)
+
+
+def log_uncaught(log: logging.Logger):
+    """Send exceptions that nothing catches to a logger; returns a function that undoes it."""
+    before = sys.excepthook
+
+    def hook(kind, error, trace):
+        if not issubclass(kind, KeyboardInterrupt):
+            log.critical("uncaught exception", exc_info=(kind, error, trace))
+        before(kind, error, trace)
+
+    sys.excepthook = hook
+    return lambda: setattr(sys, "excepthook", before)

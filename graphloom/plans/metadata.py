@@ -124,3 +124,22 @@ def type_graph(spark: SparkSession, c: Catalogue, types: list[str] | None = None
     ends = r.select(F.when(back, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(back, F.col("source")).otherwise(F.col("target")).alias("target"), "label", mapped.alias("mapped"))
     edges = ends.groupBy("source", "target", "label").agg(F.bool_and("mapped").alias("mapped"))
     return nodes, edges
+
+
+def authorization(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(kind, items): the distinct non-empty entries of list columns over all rows, sorted."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("v")) for c in columns]))
+    entries = rows.select(each.alias("x")).select("x.kind", F.explode("x.v").alias("item")).where("item <> ''")
+    return entries.groupBy("kind").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def conformance(spec: DataFrame, code: DataFrame) -> DataFrame:
+    """Rows of declared metadata on one side alone, with ``side``: only_in_spec or only_in_code."""
+    return spec.exceptAll(code).withColumn("side", F.lit("only_in_spec")).unionByName(code.exceptAll(spec).withColumn("side", F.lit("only_in_code")))
+
+
+def undeclared(objects: DataFrame, declared: DataFrame) -> DataFrame:
+    """(step_id, _type, problem): types that steps made and do not declare, or declare and did not make."""
+    made = objects.select("step_id", "_type").distinct().withColumn("_made", F.lit(True))
+    j = made.join(declared.select("step_id", "_type").distinct().withColumn("_said", F.lit(True)), ["step_id", "_type"], "full_outer")
+    return j.where("_made IS NULL OR _said IS NULL").select("step_id", "_type", F.when(F.col("_made").isNull(), "not_produced").otherwise("undeclared").alias("problem"))

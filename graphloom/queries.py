@@ -279,7 +279,7 @@ def sanitize_values(spark, d):
 @query("SELECT c_custkey, c_name AS name, ' ' || c_mktsegment AS kept FROM customer")
 def trim_strings(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("  "), "c_name", F.lit(" ")).alias("name"), F.concat(F.lit(" "), "c_mktsegment").alias("kept"))
-    return c.select(*[F.trim(f.name).alias(f.name) if f.dataType.typeName() == "string" and f.name != "kept" else F.col(f.name) for f in c.schema])
+    return C.trim_strings(c, keep=("kept",))
 
 
 @query("SELECT s_suppkey, s_suppkey BETWEEN 10 AND 999999 AS asn, s_suppkey < 256 AS ip, s_suppkey % 40 <= 32 AS cidr, s_suppkey % 2 = 0 AS six FROM supplier")
@@ -428,20 +428,17 @@ _PROPS = "SELECT p_partkey, 'p_name' AS prop, strlen(p_name) + 2 AS bytes FROM p
 
 
 def _property_sizes(spark, d):
-    one = lambda n, c: F.struct(F.lit(n).alias("prop"), F.octet_length(c).cast("long").alias("bytes"))
-    p = table(spark, d, "part")
-    return p.select("p_partkey", F.explode(F.array(one("p_name", C.json_text(F.col("p_name"))), one("p_brand", C.json_text(F.col("p_brand"))), one("p_size", F.col("p_size").cast("string")))).alias("x")).select("p_partkey", "x.prop", "x.bytes")
+    return C.property_sizes(table(spark, d, "part"), ["p_name", "p_brand", "p_size"], ["p_partkey"])
 
 
 @query(f"SELECT p_partkey, prop, CAST(bytes AS BIGINT) AS bytes FROM ({_PROPS})")
 def property_sizes(spark, d):
-    return _property_sizes(spark, d)
+    return _property_sizes(spark, d).select("p_partkey", "prop", "bytes")
 
 
 @query(f"SELECT p_partkey, arg_max(prop, bytes * 10 - rank) AS prop, CAST(max(bytes) AS BIGINT) AS bytes FROM (SELECT *, CASE prop WHEN 'p_name' THEN 0 WHEN 'p_brand' THEN 1 ELSE 2 END AS rank FROM ({_PROPS})) GROUP BY 1")
 def largest_property(spark, d):
-    rank = F.when(F.col("prop") == "p_name", 0).when(F.col("prop") == "p_brand", 1).otherwise(2)
-    return _property_sizes(spark, d).groupBy("p_partkey").agg(F.max_by("prop", F.struct("bytes", -rank)).alias("prop"), F.max("bytes").alias("bytes"))
+    return C.largest_property(_property_sizes(spark, d), ["p_partkey"])
 
 
 @query("SELECT user_id, arg_max(event_id, strlen(props) * 1000000000 - event_id) AS event_id, CAST(max(strlen(props)) AS BIGINT) AS bytes FROM events GROUP BY 1")
@@ -468,13 +465,14 @@ def _mapped(spark, d):
 @query("SELECT kind, count(*) AS n FROM (SELECT 'direct' AS kind FROM customer UNION ALL SELECT 'mapped' FROM supplier) GROUP BY 1")
 def split_direct_mapped(spark, d):
     both = nation_customers(spark, d).select("_key").unionByName(_mapped(spark, d).select("_key", "_mapping"), allowMissingColumns=True)
-    return both.select(F.when(F.col("_mapping").isNull(), "direct").otherwise("mapped").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    direct, mapped = lookup.split_mapped(both)
+    return direct.select(F.lit("direct").alias("kind")).unionAll(mapped.select(F.lit("mapped").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT _type, count(*) AS n FROM ({_OBJECTS}) WHERE NOT (step_id = 'fetch-lines' AND _type = 'shop_order_line') GROUP BY 1")
 def indexable_filter(spark, d):
-    off = spark.createDataFrame([("fetch-lines", "shop_order_line", False)], "step_id string, _type string, indexed boolean")
-    return all_entities(spark, d).join(F.broadcast(off), ["step_id", "_type"], "left").where(F.coalesce("indexed", F.lit(True))).groupBy("_type").agg(F.count("*").alias("n"))
+    off = spark.createDataFrame([("fetch-lines", "shop_order_line", False), ("fetch-orders", "shop_order", True)], "step_id string, _type string, indexed boolean")
+    return lookup.indexed(all_entities(spark, d), off).groupBy("_type").agg(F.count("*").alias("n"))
 
 
 # ---- tier 4: mapped relationships, differences ----------------------------------------------------------------------
@@ -526,20 +524,19 @@ def mapped_edge_resolution(spark, d):
 @query("SELECT DISTINCT 'supplier:' || s_suppkey AS _key FROM supplier WHERE s_suppkey % 3 <> 0")
 def missing_source_entities(spark, d):
     have = suppliers(spark, d).where(F.substring_index("_key", ":", -1).cast("long") % 3 == 0)
-    return lookup.has_key(_mapped(spark, d).select(F.col("_mapping.source_key").alias("_key")), "_key", have, negate=True).distinct()
+    return lookup.missing_sources(_mapped(spark, d), have)
 
 
 @query("SELECT 'shop_nation' AS _type, 'none' AS code, CAST(count(*) AS BIGINT) AS used FROM supplier WHERE s_suppkey % 4 = 0")
 def placeholder_entities(spark, d):
-    t = _resolved(spark, d).where("target_key IS NULL").select(F.col("_mapping.target").alias("t"))
-    return t.select(F.try_element_at("t", F.lit("_type")).alias("_type"), F.try_element_at("t", F.lit("code")).alias("code")).groupBy("_type", "code").agg(F.count("*").alias("used"))
+    p = lookup.placeholders(_resolved(spark, d))
+    return p.select(F.col("target")["_type"].alias("_type"), F.col("target")["code"].alias("code"), "used")
 
 
 @query("SELECT c_custkey, count(s_suppkey) AS targets FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1 HAVING count(s_suppkey) <> 1")
 def mapped_target_cardinality(spark, d):
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    per = s.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count("*").alias("n"))
-    return c.join(per, "c_nationkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("targets")).where("targets <> 1")
+    c, sup = table(spark, d, "customer"), table(spark, d, "supplier")
+    return lookup.target_counts(c, "c_nationkey", sup, "s_nationkey").select("c_custkey", "targets").where("targets <> 1")
 
 
 @query("SELECT 'shop_customer_has_order' AS _type, 'to' AS missing, count(*) AS n FROM orders WHERE o_orderstatus = 'F' HAVING count(*) > 0")
@@ -629,8 +626,7 @@ def steps_by_graph(spark, d):
 
 @query(f"{_CLOSURE} SELECT l.step_id, l.step_id = 'fetch-orders' OR l.step_id IN (SELECT ancestor FROM reach WHERE step_id = 'fetch-orders') AS enabled FROM {_STEP_LIST}")
 def step_selection(spark, d):
-    need = dag.closure(steps(spark)).where("step_id = 'fetch-orders'").select(F.col("ancestor").alias("step_id")).withColumn("e", F.lit(True))
-    return steps(spark).join(need, "step_id", "left").select("step_id", (F.coalesce("e", F.lit(False)) | (F.col("step_id") == "fetch-orders")).alias("enabled"))
+    return configure(spark).createDataFrame(list(dag.select_steps(STEPS, {"fetch-orders"}).items()), "step_id string, enabled boolean")
 
 
 @query(f"SELECT 'fetch-orders' AS step_id, 'cached' AS status, count(*) AS n FROM orders UNION ALL SELECT 'fetch-nations', 'success', count(*) FROM nation UNION ALL SELECT 'fetch-customers', 'success', count(*) FROM customer UNION ALL SELECT 'fetch-suppliers', 'success', count(*) FROM supplier UNION ALL SELECT 'fetch-lines', 'success', count(*) FROM lineitem")
@@ -649,21 +645,20 @@ def step_cache_load(spark, d):
 
 @query(f"SELECT step_id, coalesce(source = 'sales', false) AS disabled, CASE WHEN source = 'sales' THEN 'USER_CONFIG' END AS reason FROM {_STEP_LIST}")
 def ingestion_source_states(spark, d):
-    off = spark.createDataFrame([("sales",)], "ingestion_source string").withColumn("off", F.lit(True))
-    return steps(spark).join(F.broadcast(off), "ingestion_source", "left").select("step_id", F.coalesce("off", F.lit(False)).alias("disabled"), F.when(F.col("off"), "USER_CONFIG").alias("reason"))
+    instance = config.local_instance({}, {"DISABLED_INGESTION_SOURCES": "sales, none"})
+    states = dag.start_states(STEPS, instance.disabled_sources)
+    return configure(spark).createDataFrame([(i, x["disabled"], x["reason"]) for i, x in states.items()], "step_id string, disabled boolean, reason string")
 
 
 @query(f"SELECT l.source, e.step_id AS child FROM {_STEP_LIST} JOIN {_STEP_DEPS} ON e.dep = l.step_id WHERE l.source IS NOT NULL GROUP BY ALL")
 def ingestion_source_children(spark, d):
-    s = steps(spark)
-    kids = s.select(F.col("step_id").alias("child"), F.explode("depends_on").alias("step_id"))
-    return s.where("ingestion_source IS NOT NULL").join(kids, "step_id").select(F.col("ingestion_source").alias("source"), "child").distinct()
+    return configure(spark).createDataFrame([(k, c) for k, v in dag.source_children(STEPS).items() for c in v], "source string, child string")
 
 
 @query("SELECT 'permissions' AS kind, string_agg(DISTINCT r_name, ',' ORDER BY r_name) AS items FROM region WHERE r_name <> ''")
 def authorization_rollup(spark, d):
-    r = table(spark, d, "region").select(F.lit("permissions").alias("kind"), F.array("r_name", F.lit(""), "r_name").alias("v"))
-    return r.select("kind", F.explode("v").alias("x")).where("x <> ''").groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("items"))
+    r = table(spark, d, "region").select(F.array("r_name", F.lit(""), "r_name").alias("permissions"))
+    return metadata.authorization(r, ["permissions"]).select("kind", F.array_join("items", ",").alias("items"))
 
 
 @query("SELECT o_orderstatus AS cls, o_orderpriority AS type, min(o_orderkey) AS first_ordinal FROM orders GROUP BY 1, 2")
@@ -711,16 +706,13 @@ def type_graph(spark, d):
 @query("SELECT * FROM (VALUES ('fetch-orders', 'shop_order_old', 'only_in_spec'), ('fetch-orders', 'shop_order', 'only_in_code')) AS t(step_id, _type, side)")
 def spec_conformance(spark, d):
     code = declared(spark)
-    spec = code.withColumn("_type", F.when(F.col("_type") == "shop_order", "shop_order_old").otherwise(F.col("_type")))
-    return spec.exceptAll(code).withColumn("side", F.lit("only_in_spec")).unionByName(code.exceptAll(spec).withColumn("side", F.lit("only_in_code")))
+    return metadata.conformance(code.withColumn("_type", F.when(F.col("_type") == "shop_order", "shop_order_old").otherwise(F.col("_type"))), code)
 
 
 @query(f"""WITH o AS (SELECT DISTINCT step_id, _type FROM ({_OBJECTS} UNION ALL SELECT _key, _type, step_id FROM ({_EDGES})))
 SELECT coalesce(o.step_id, s.step_id) AS step_id, coalesce(o._type, s._type) AS _type, CASE WHEN o._type IS NULL THEN 'not_produced' ELSE 'undeclared' END AS problem FROM o FULL JOIN {_STEP_TYPES} ON o.step_id = s.step_id AND o._type = s._type WHERE o._type IS NULL OR s._type IS NULL""")
 def step_conformance(spark, d):
-    o = all_entities(spark, d).unionByName(all_relationships(spark, d).select(*HEAD)).select("step_id", "_type").distinct().withColumn("o", F.lit(1))
-    j = o.join(declared(spark).withColumn("s", F.lit(1)), ["step_id", "_type"], "full_outer").where("o IS NULL OR s IS NULL")
-    return j.select("step_id", "_type", F.when(F.col("o").isNull(), "not_produced").otherwise("undeclared").alias("problem"))
+    return metadata.undeclared(all_entities(spark, d).unionByName(all_relationships(spark, d).select(*HEAD)), declared(spark))
 
 
 @query("SELECT 'customer:' || c_custkey AS _key, p AS property, 'required' AS validation FROM customer, (VALUES ('firstName'), ('lastName')) AS r(p)")

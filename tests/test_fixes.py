@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import convert, text
 from graphloom.model import errors
 from graphloom.operators import batching, build, export, lookup, validate
-from graphloom.plans import config, context, dag, declarative, events, metadata, snapshots
+from graphloom.plans import config, context, dag, declarative, events, generate, metadata, snapshots
 from graphloom.session import configure
 from graphloom.sources import paginated, questions, store
 
@@ -221,3 +221,43 @@ def test_pages(spark, tmp_path):
     assert sorted(tuple(r) for r in read("a,b").collect()) == [("a", "1"), ("a", "2"), ("a", "3"), ("b", "3")]
     with pytest.raises(Exception, match="404"):
         read("none").collect()
+
+
+def test_selection_order_and_sources():
+    steps = [dag.StepSpec("a", ingestion_source="x"), dag.StepSpec("b", depends_on=("a",)), dag.StepSpec("c", depends_on=("b",)), dag.StepSpec("d")]
+    assert dag.select_steps(steps, {"b"}) == {"a": True, "b": True, "c": False, "d": False} and all(dag.select_steps(steps, set()).values())
+    assert dag.execution_order(steps, "c") == ["a", "b", "c"] and dag.source_children(steps) == {"x": ["b"]}
+    assert dag.start_states(steps, ("x",))["a"] == {"disabled": True, "reason": "USER_CONFIG"}
+    with pytest.raises(errors.UnknownStepError):
+        dag.select_steps(steps, {"z"})
+
+
+def test_trim_reaches_nested_texts(spark):
+    df = spark.range(1).select(F.struct(F.lit(" a ").alias("x"), F.array(F.lit(" b"), F.lit("c ")).alias("y")).alias("s"), F.lit(" k ").alias("k"))
+    assert convert.trim_strings(df, ("k",)).first().asDict(True) == {"s": {"x": "a", "y": ["b", "c"]}, "k": " k "}
+
+
+def test_new_project(spark, tmp_path):
+    answers = {"vendor": "My Shop", "entities": [{"name": "User", "class": "User"}, {"name": "Site", "class": "Site"}], "relationships": [{"from": "Site", "class": "HAS", "to": "User"}], "steps": [{"id": "a"}, {"id": "b", "dependsOn": ["a"]}], "config": [{"name": "apiKey", "mask": True}]}
+    made = generate.new_project(answers)
+    for name, content in made.items():
+        (tmp_path / name).write_text(content)
+    assert config.load_pipeline(str(tmp_path / "pipeline.py")).run(spark)[1] == {"a": "success", "b": "success"} and made[".env"] == "API_KEY=\n"
+    assert json.loads(made["template.json"])["relationships"] == [{"source": "my_shop_site", "class": "HAS", "target": "my_shop_user"}]
+    for bad in ({"relationships": [{"from": "Site", "class": "NO", "to": "User"}]}, {"steps": [{"id": "a", "dependsOn": ["a"]}]}, {"entities": [{"name": "x", "class": "Nothing"}]}):
+        with pytest.raises(errors.ConfigError):
+            generate.new_project(answers | bad)
+
+
+def test_uncaught_exceptions_are_logged():
+    import logging
+    import sys
+
+    seen, log = [], logging.getLogger("uncaught")
+    log.critical = lambda *a, **k: seen.append(a[0])
+    before, sys.excepthook = sys.excepthook, lambda *a: None
+    undo = events.log_uncaught(log)
+    sys.excepthook(ValueError, ValueError("x"), None)
+    undo()
+    sys.excepthook = before
+    assert seen == ["uncaught exception"]
