@@ -131,8 +131,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
 
     Returns (node, component) for every node of an edge, component being the smallest node reachable.
     Edges are first contracted batch by batch, which leaves a hub at most one edge per batch and neighbour; then large-star and small-star steps alternate until nothing
-    changes. Each step is a written table; minima are combined map-side, but what is left of a hub's edges meets in the task of its key.
-    Nothing is collected but a count and a checksum.
+    changes. Each step is a written table. Minima are combined map-side, and joined with the edges by broadcast where they are counted to be
+    few; beyond, both sides of the join are plain shuffles, which skew handling can split. Nothing is collected but counts and a checksum.
     Empty input gives an empty frame; self loops and repeated edges are harmless.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
@@ -141,14 +141,14 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     for _ in range(max_rounds if not e.isEmpty() else 0):
         # large star: every larger neighbour moves to the smallest neighbour
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        low = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = scratch.write(both.where("v > u").join(bounded(low), "u").select(F.col("v").alias("a"), F.col("m").alias("b")), "large")
         # small star: smaller neighbours and the node itself move to the smallest one
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low2 = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(bounded(low2), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         nxt = scratch.write(small, "stars")
         stats = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        scratch.drop(e)
+        scratch.drop(e, low, large, low2)
         e = nxt
         if stats == seen:
             break

@@ -24,6 +24,7 @@ MAX_EPOCHS = 3
 SCHEDULES = ((0.5, 1.5), (1.0, 1.0), (1.5, 0.5))
 #: Documents per bin of the hash order, on average.
 BIN_ROWS = 20_000
+LEAST_BINS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -61,8 +62,9 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EP
     return s.withColumn("target", target.cast("double")).select("source", "source_size", "rank", "weight", "target")
 
 
-def _order_key(id_col: str) -> Column:
-    return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+def _order_key(id_col: str, text_col: str) -> Column:
+    """An order of documents that their source and size do not tell: md5 of id and text, so that rows of one id, or of none, are spread too."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary"))
 
 
 def demand_time(share: Column, start: Column, end: Column) -> Column:
@@ -78,20 +80,20 @@ def mix(documents: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="te
     """One row per document: id, source, size, source_size, weight, target, taken, copies, the times of its copies, and a hash of the text.
 
     ``taken`` is how many words the mix takes: whole epochs of its source, and in the last, partial epoch the
-    documents that come first in an md5 order of ids, the last of them in part, so that a source's words sum to its
+    documents that come first in an md5 order of id and text, the last of them in part, so that a source's words sum to its
     target but for less than one word. ``times`` holds one training time per copy, the partial one last.
 
     Null text has size 0 and is never taken; null source is a source of its own, after the others; repeated ids are
-    rows of their own, in a fixed order by id, size and a hash of the text; an empty table gives no rows. Other columns are ignored.
+    rows of their own; an empty table gives no rows. Other columns are ignored.
     """
     spark = documents.sparkSession
-    sized = documents.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_h"))
+    sized = documents.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_h"), _order_key(id_col, text_col).alias("_key"))
     sized = scratch.write(sized, "sizes")
     n = sized.count()
-    bins = max(16, 1 << (n // BIN_ROWS).bit_length())
+    bins = max(LEAST_BINS, 1 << (n // BIN_ROWS).bit_length())
     sources = scratch.write(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs), "sources")
 
-    keyed = sized.withColumn("_key", _order_key("_id")).withColumn("_bin", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * bins / (1 << 32))
+    keyed = sized.withColumn("_bin", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * bins / (1 << 32))
     keyed = keyed.withColumn("_bin", F.floor("_bin").cast("long"))
     per_bin = keyed.groupBy("source", "_bin").agg(F.sum("size").alias("_in_bin"))
     upto = W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
@@ -132,7 +134,7 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS k FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k FROM documents
 ), s0 AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source
 ), s1 AS (

@@ -148,7 +148,7 @@ def plain_mix(docs):
         a, b = ((0.5, 1.5), (1.0, 1.0), (1.5, 0.5))[n % 3]
         before, epochs = 0, int(target[s] // total[s]) if total[s] else 0
         more = int(target[s] - epochs * total[s] + 1e-9)
-        key = lambda r: (hashlib.md5(str("" if r["doc_id"] is None else r["doc_id"]).encode()).hexdigest(), r["doc_id"] or 0, size[id(r)])
+        key = lambda r: (hashlib.md5(f'{"" if r["doc_id"] is None else r["doc_id"]}|{hashlib.md5((r["text"] or "").encode()).hexdigest()}'.encode()).hexdigest(), r["doc_id"] or 0, size[id(r)])
         for r in sorted((r for r in docs if r["source"] == s), key=key):
             words = size[id(r)]
             part = max(0, min(words, more - before))

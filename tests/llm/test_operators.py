@@ -382,7 +382,7 @@ def test_pipeline_stages(spark):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     accepted = P.quality_classifier(spark, d, sf)
     single = P.jaccard_join(spark, accepted, sf).cache()
-    comp = jaccard.jaccard_components(accepted, Scratch(spark, "t"))
+    comp = jaccard.jaccard_join(accepted, Scratch(spark, "t"))
     assert {r[0] for r in single.select("doc_id").collect()} == {r[0] for r in comp.where("doc_id = component").select("doc_id").collect()}
     clean = P.benchmark_decontamination(spark, single, sf).cache()
     dirty = decontamination.decontaminate(single, spark.read.parquet(f"{sf}/benchmark.parquet"), Scratch(spark, "t")).where("n_hit > 0")
