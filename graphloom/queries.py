@@ -744,15 +744,16 @@ SELECT 'id' AS "check", id, id AS value FROM q WHERE ordinal % 10 = 0
  UNION ALL SELECT 'tag', id, 'red' FROM q WHERE ordinal % 4 = 0
  UNION ALL SELECT 'query_name', id, 'good' FROM q WHERE ordinal % 6 = 0""")
 def question_pack_uniqueness(spark, d):
-    """A pack of questions written as a file, loaded, and checked for ids, titles, tags and names of queries that repeat."""
-    import json
-
-    from .sources import files, questions
-
-    n = table(spark, d, "part").agg(F.max("p_partkey")).first()[0]
-    pack = [{"id": f"q{i - 1 if i % 10 == 0 else i}", "title": "Same title" if i % 15 == 0 else f"Title {i}", "description": "", "tags": ["red", "blue", *(["red"] if i % 4 == 0 else [])], "queries": [{"name": "good", "query": "FIND a"}, {"query": "FIND b"}, {"name": "good" if i % 6 == 0 else "bad", "query": "FIND c"}]} for i in range(1, n + 1)]
-    path = _scratch(spark, "questions") + "/pack.json"
-    files.write_file(spark, path, json.dumps({"questions": pack}))
+    """A pack of questions, one for each part, written as documents, loaded, and checked for ids, titles, tags and names of queries that repeat."""
+    from .sources import questions
+
+    k = F.col("p_partkey").cast("long")
+    ask = lambda query, name=F.lit(None): F.struct(name.cast("string").alias("name"), F.lit(query).alias("query"))
+    tags = F.concat(F.array(F.lit("red"), F.lit("blue")), F.when(k % 4 == 0, F.array(F.lit("red"))).otherwise(F.array().cast("array<string>")))
+    asked = F.array(ask("FIND a", F.lit("good")), ask("FIND b"), ask("FIND c", F.when(k % 6 == 0, "good").otherwise("bad")))
+    pack = table(spark, d, "part").where(k > 0).select(k.alias("ordinal"), F.concat(F.lit("q"), F.when(k % 10 == 0, k - 1).otherwise(k)).alias("id"), F.when(k % 15 == 0, "Same title").otherwise(F.concat(F.lit("Title "), k)).alias("title"), F.lit("").alias("description"), asked.alias("queries"), tags.alias("tags"))
+    path = _scratch(spark, "questions")
+    questions.write(pack, path)
     return questions.problems(questions.load(spark, path))
 
 

@@ -155,6 +155,38 @@ def test_questions(spark, tmp_path):
         questions.load(spark, str(tmp_path / "none"))
 
 
+def test_question_packs_of_many_documents_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+
+    # keys with gaps and in no order; only tasks may read documents
+    spark.createDataFrame([(k,) for k in (30, 4, 0, 15, 45, 19, 29, 60, 18, -4)], "p_partkey long").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(questions, "parse", lambda text: pytest.fail("parsed by the driver"))
+    monkeypatch.setattr(questions, "DOCUMENT", 3)
+    got = __spark_entry__.queries()["question_pack_uniqueness"](spark, str(tmp_path)).collect()
+    want = [("id", "q29", "q29"), *[("title", i, "Same title") for i in ("q29", "q45", "q59")], *[("tag", i, "red") for i in ("q4", "q59")], *[("query_name", i, "good") for i in ("q29", "q59", "q18")]]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_question_packs_in_folders(spark, tmp_path):
+    q = lambda i, **k: {"id": i, "title": f"T{i}", "description": "d", "queries": [{"name": None, "query": "a"}], "tags": ["a"], **k}
+    pack = spark.createDataFrame([(9 - i, str(i), f"T{i}", "d", [(None, "a", "v1")], ["a"]) for i in range(9)], questions.SCHEMA)
+    questions.write(pack, str(tmp_path / "w"))
+    back = questions.load(spark, str(tmp_path / "w")).orderBy("ordinal").collect()
+    assert [r["id"] for r in back] == [str(i) for i in range(8, -1, -1)] and back[0]["queries"][0].asDict() == {"name": None, "query": "a", "version": "v1"}
+    questions.write(pack.limit(0), str(tmp_path / "none"))
+    assert questions.problems(questions.load(spark, str(tmp_path / "none"))).count() == 0
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "b c%20.json").write_text(json.dumps({"questions": [q("1", title="later"), q("2")]}))
+    (tmp_path / "p" / "a.json").write_text(json.dumps({"questions": [q("1", title="first")]}))
+    pack = questions.load(spark, str(tmp_path / "p"))
+    assert [r["title"] for r in pack.orderBy("ordinal").collect()] == ["first", "later", "T2"]
+    assert [tuple(r) for r in questions.problems(pack).collect()] == [("id", "1", "1")]
+    for bad in ("", "{}", json.dumps({"questions": [q("1", tags=[1])]}), json.dumps({"questions": [7]})):
+        (tmp_path / "p" / "z.json").write_text(bad)
+        with pytest.raises(errors.InvalidFileError):
+            questions.load(spark, str(tmp_path / "p"))
+
+
 def test_metadata(spark):
     meta, entities = metadata.entity_metadata("Person", ["Person", "User"], "my_person")
     assert {"firstName", "username"} <= set(meta.schema.properties)
