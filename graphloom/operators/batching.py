@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,19 +80,30 @@ def shrink(entities: list[dict], limit: int) -> list[dict]:
     Each time it is the largest field of the largest payload of the entity with the most raw data; the first of equals.
     """
     batch = json.loads(json.dumps(entities))
+    if error := _shrink(batch, limit):
+        raise UploadFailedError(error)
+    return batch
+
+
+def _shrink(batch: list[dict], limit: int) -> str | None:
+    """:func:`shrink` in place; says why the batch does not fit after all cuts, if so."""
     total, cut = _bytes(batch), _bytes("TRUNCATED")
-    raw = [_bytes(e["_rawData"]) if e.get("_rawData") else -1 for e in batch]
+    if total <= limit:
+        return None
+    most = [(-_bytes(e["_rawData"]), i) for i, e in enumerate(batch) if e.get("_rawData")]
+    heapq.heapify(most)
     while total > limit:
-        i = max(range(len(batch)), key=lambda x: raw[x], default=None)
-        if i is None or raw[i] < 0:
-            raise UploadFailedError("payload is too large and cannot shrink")
+        if not most:
+            return "payload is too large and cannot shrink"
+        raw, i = most[0]
         entry = largest_raw_entry(batch[i]["_rawData"])["rawData"] or {}
         key, size = largest_item(entry)
         if key is None or size <= cut:
-            raise UploadFailedError("payload is still too large after performing as much shrinking as possible")
+            return "payload is still too large after performing as much shrinking as possible"
         entry[key] = "TRUNCATED"
-        total, raw[i] = total - size + cut, raw[i] - size + cut
-    return batch
+        total -= size - cut
+        heapq.heapreplace(most, (raw + size - cut, i))
+    return None
 
 
 def largest_raw_entry(raw: list[dict]) -> dict:
@@ -103,12 +116,19 @@ def largest_item(payload: dict) -> tuple[str | None, int]:
     return max(((k, _bytes(v)) for k, v in payload.items()), key=lambda x: x[1], default=(None, 0))
 
 
-def shrink_batches(rows: DataFrame, batch: str, payload: str, limit: int) -> DataFrame:
-    """(batch, payloads, bytes) after :func:`shrink` of each batch; payloads are JSON entities. Batches are bounded by packing."""
+def shrink_batches(rows: DataFrame, batch: str, payload: str, limit: int, order: str | None = None) -> DataFrame:
+    """(batch, rows, bytes, truncated, error) after :func:`shrink` of each batch; payloads are JSON entities, by ``order`` and then by their text.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = shrink([json.loads(p) for p in pdf[payload]], limit)
+    A batch that cannot shrink to the limit fails alone: ``error`` says why, and the other columns are those after all its cuts; null is the error of
+    the others. Batches are bounded by packing.
+    """
+    by = [(c, "ascending") for c in (order, payload) if c]
+
+    def run(group: pa.Table) -> pa.Table:
+        out = [json.loads(p) for p in group.sort_by(by).column(payload).to_pylist()]
+        error = _shrink(out, limit)
         text = json.dumps(out, ensure_ascii=False, separators=(",", ":"))
-        return pd.DataFrame({batch: [pdf[batch].iloc[0]], "rows": [len(out)], "bytes": [len(text.encode())], "truncated": [text.count('"TRUNCATED"')]})
+        values = [group.column(batch)[0].as_py(), len(out), len(text.encode()), text.count('"TRUNCATED"'), error]
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64()] * 4 + [pa.string()], strict=True)], [batch, "rows", "bytes", "truncated", "error"])
 
-    return rows.groupBy(batch).applyInPandas(run, f"{batch} long, rows long, bytes long, truncated long")
+    return rows.select(batch, *[c for c, _ in by]).groupBy(batch).applyInArrow(run, f"{batch} long, rows long, bytes long, truncated long, error string")

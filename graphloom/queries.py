@@ -950,8 +950,9 @@ def scan_graph_relationships(spark, d):
 
 @query()
 def shrink_raw_data(spark, d):
-    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 20).cast("long").alias("batch"), F.to_json(F.struct(F.col("event_id").cast("string").alias("_key"), F.array(F.struct(F.lit("default").alias("name"), F.struct(F.col("props").alias("props"), F.col("event_type").alias("kind")).alias("rawData"))).alias("_rawData"))).alias("payload"))
-    return batching.shrink_batches(e, "batch", "payload", 2000)
+    """Batches of 20 events after shrinking to 2,000 bytes; those of more bytes could not shrink further and have no upload."""
+    e = table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 20).cast("long").alias("batch"), F.to_json(F.struct(F.col("event_id").cast("string").alias("_key"), F.array(F.struct(F.lit("default").alias("name"), F.struct(F.col("props").alias("props"), F.col("event_type").alias("kind")).alias("rawData"))).alias("_rawData"))).alias("payload"))
+    return batching.shrink_batches(e, "batch", "payload", 2000, order="event_id").select("batch", "rows", "bytes", "truncated")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -87,6 +87,33 @@ def test_shrink_query_against_plain_version(spark):
     assert got == want
 
 
+def test_batches_that_cannot_shrink_fail_alone(spark):
+    e = lambda k, **raw: json.dumps({"_key": k, "_rawData": [{"name": "n", "rawData": raw}]}, separators=(",", ":"))
+    rows = [(1, 0, e("k" * 90, a="x" * 20, b="y")), (2, 0, e("a", a="x" * 90)), (3, 0, '{"_key":"%s"}' % ("k" * 99)), (4, 0, e("b"))]
+    # equal raw data, but a cut of the first is enough and one of the second is not: their order decides
+    tie = [(5, 1, e("z", a="x" * 20, b="y" * 2)), (5, 2, e("a", a="x" * 11, b="y" * 11))]
+    size = lambda *p: sum(len(x) for x in p) + len(p) + 1
+    for frame in (rows + tie, (rows + tie)[::-1]):
+        df = spark.createDataFrame(frame, "batch long, o long, payload string").coalesce(1)
+        got = {r["batch"]: r for r in batching.shrink_batches(df, "batch", "payload", size(tie[0][2], tie[1][2]) - 9, order="o").collect()}
+        assert got[5]["truncated"] == 1 and got[5]["error"] is None
+        got = {r["batch"]: r for r in batching.shrink_batches(df, "batch", "payload", 100, order="o").collect()}
+        assert got[1]["error"].startswith("payload is still") and (got[1]["rows"], got[1]["bytes"], got[1]["truncated"]) == (1, size(rows[0][2]) - 11, 1)
+        assert got[3]["error"] == "payload is too large and cannot shrink" and got[3]["bytes"] == size(rows[2][2])
+        assert got[2]["error"] is None and (got[2]["bytes"], got[2]["truncated"]) == (size(rows[1][2]) - 81, 1) and (got[4]["truncated"], got[4]["error"]) == (0, None)
+
+
+def test_shrink_query_on_long_ids(spark, tmp_path):
+    import __spark_entry__
+
+    # ids of 9 digits do not leave room for 20 events of a long kind in 2,000 bytes, the batch of fewer has room
+    df = spark.range(10**9, 10**9 + 39).select(F.col("id").alias("event_id"), F.lit('{"k": 10}').alias("props"), F.lit("purchase").alias("event_type"))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["batch"]: tuple(r)[1:] for r in __spark_entry__.queries()["shrink_raw_data"](spark, str(tmp_path)).collect()}
+    one = len('{"_key":"1000000000","_rawData":[{"name":"default","rawData":{"props":"{\\"k\\": 10}","kind":"purchase"}}]}')
+    assert got[10**9 // 20][0] == 20 and got[10**9 // 20][1] > 2000 and got[10**9 // 20 + 1] == (19, 19 * one + 20 - 2 * got[10**9 // 20 + 1][2], got[10**9 // 20 + 1][2])
+
+
 def test_store_keeps_every_flush(spark, tmp_path):
     df = lambda k: spark.createDataFrame([(k, "t")], "_key string, _type string")
     s = store.ParquetStore(spark, str(tmp_path / "s"))
